@@ -106,16 +106,16 @@ def copies(size: np.ndarray, count: np.ndarray, rates: np.ndarray, target: float
     From the largest size down, what rounding leaves over is carried to the next, so that the
     source ends within half of its smallest document of the target.
     """
-    base = np.minimum(np.floor(rates + 1e-12), limit).astype(np.int64)
-    extra = np.zeros(len(size), np.int64)
-    order = np.argsort(-size, kind="stable")
+    total = np.zeros(len(size), np.int64)
     owed = target - float((rates * count * size).sum())  # what the limit or the solver left
-    for i in order:
-        owed += float(rates[i] - base[i]) * float(count[i]) * float(size[i])
-        if size[i] > 0 and base[i] < limit:
-            extra[i] = min(max(round(owed / float(size[i])), 0), int(count[i]))
-            owed -= float(extra[i]) * float(size[i])
-    return base, extra
+    for i in np.argsort(-size, kind="stable"):
+        if size[i] <= 0:
+            continue
+        owed += float(rates[i]) * float(count[i]) * float(size[i])
+        total[i] = min(max(round(owed / float(size[i])), 0), limit * int(count[i]))
+        owed -= float(total[i]) * float(size[i])
+    base = total // np.maximum(count, 1)
+    return base, total - base * count
 
 
 def mix(
