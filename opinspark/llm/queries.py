@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontamination import decontaminate
 from .mixing import mix
+from .ngram_join import ngram_jaccard_components
 from .sharding import shard_by_bytes
 
 
@@ -50,10 +51,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_components(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "n_links"
+    )
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 SQL: dict[str, str] = {}
