@@ -11,9 +11,17 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import decontaminate
+from .licenses import scan_licenses
 from .mixing import mix
 from .ngram_join import ngram_jaccard_components
 from .sharding import shard_by_bytes
+from .toxicity import grade, train
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return grade(docs, model).select("doc.doc_id", "severity", "p_toxic", "toxic")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +36,23 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    labels = lambda c: F.transform(c, lambda x: x["label"])
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    best = F.array_max(F.transform("spans", lambda x: x["coverage"]))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(F.transform("places", lambda x: x["start"])).alias("first_word"),
+        F.array_max(F.transform("places", lambda x: x["start"])).alias("last_word"),
+        joined(labels("places")).alias("base_labels"),
+        joined(F.concat(labels("places"), labels("spans"))).alias("labels"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
+    )
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), 24).select(
         "doc_id",
@@ -58,7 +83,9 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op6_licenses": op6_licenses,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
     "op10_ngram_join": op10_ngram_join,
