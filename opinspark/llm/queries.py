@@ -14,6 +14,8 @@ from .decontamination import decontaminate
 from .licenses import scan_licenses
 from .mixing import mix
 from .ngram_join import ngram_jaccard_components
+from .secrets import KINDS, scan_secrets
+from .secrets import train as train_secrets
 from .sharding import shard_by_bytes
 from .toxicity import grade, train
 
@@ -76,6 +78,20 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = scan_secrets(docs, train_secrets(docs))
+    line = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    base = F.filter("spans", lambda x: x["kind"] != "crf")
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc.doc_id",
+        *[count(k) for k in KINDS[:3]],
+        F.sha2(F.array_join(F.transform(base, line), ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", line), ",").alias("spans"),
+    )
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id", "n_links"
@@ -88,6 +104,7 @@ QUERIES = {
     "op6_licenses": op6_licenses,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
+    "op9_secrets": op9_secrets,
     "op10_ngram_join": op10_ngram_join,
 }
 
