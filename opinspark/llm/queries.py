@@ -13,6 +13,7 @@ from .common import table
 from .decontamination import decontaminate
 from .licenses import scan_licenses
 from .mixing import mix
+from .mtree import top_k
 from .ngram_join import ngram_jaccard_components
 from .secrets import KINDS, scan_secrets
 from .secrets import train as train_secrets
@@ -20,6 +21,10 @@ from .sharding import shard_by_bytes
 from .toxicity import grade, train
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
@@ -99,6 +104,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op6_licenses": op6_licenses,
