@@ -18,6 +18,7 @@ from .ngram_join import ngram_jaccard_components
 from .secrets import KINDS, scan_secrets
 from .secrets import train as train_secrets
 from .sharding import shard_by_bytes
+from .substring_dedup import substring_dedup
 from .toxicity import grade, train
 
 
@@ -43,6 +44,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"))
     labels = lambda c: F.transform(c, lambda x: x["label"])
@@ -107,6 +114,7 @@ QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_licenses": op6_licenses,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
