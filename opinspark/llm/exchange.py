@@ -24,16 +24,18 @@ NONE = np.iinfo(np.int64).max  # stands for a null id: larger than all others
 class Pages:
     """Documents (doc_id, text) by chunk, and how many key ranges suit them."""
 
-    def __init__(self, docs: DataFrame, doc_id: str, text: str, small: int = 2 << 20, large: int = 32 << 20, most_small: int = 512):
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, small: int = 2 << 20, large: int = 32 << 20, most_small: int = 512, describe: tuple | None = None):
         spark = docs.sparkSession
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         self.bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         self.chunks = max(1, min(-(-self.bytes // small), most_small), -(-self.bytes // large))
         name, path = f"opinspark_{uuid.uuid4().hex}", f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
         files = min(self.chunks, 10_000)
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(self.chunks)).cast("int"))
+        if describe:  # columns worth computing once, before the documents are dealt out
+            rows = rows.mapInArrow(*describe)
         (
-            rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(self.chunks)).cast("int"))
-            .repartition(files, "chunk")
+            rows.repartition(files, "chunk")
             .write.option("path", path)
             .option("compression", "zstd")
             .bucketBy(files, "chunk")

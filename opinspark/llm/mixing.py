@@ -127,7 +127,7 @@ def mix(
     source: str = "source",
     seed: int = 0,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, size`` (words), ``source, source_size, target, rate, copies``.
+    """One row per row of ``docs``: ``doc_id, key, size`` (words), ``source, source_size, target, rate, copies``.
 
     Which of equally long documents of a source get one copy more is decided by a seeded hash of
     id and text, so reruns agree. Null texts have no words and documents without words no copies that
@@ -139,7 +139,7 @@ def mix(
             docs.select(
                 F.col(doc_id).alias("doc_id"),
                 F.col(source).alias("source"),
-                F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("_key"),
+                F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("key"),
                 F.col(text).alias("_text"),
             ),
             "_text",
@@ -166,7 +166,7 @@ def mix(
             "source string, size long, count long, source_size long, target double, rate double, _base long, _extra long, _first long",
         )
     )
-    ordered = global_order(sized, ["source", "size", "_key", "doc_id"], [])
+    ordered = global_order(sized, ["source", "size", "key", "doc_id"], [])
     starts = ordered.groupBy("source", "size").agg(F.min("row_index").alias("_start"))
     strata = strata.join(
         starts.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "_start"),
@@ -177,6 +177,7 @@ def mix(
     on = same("source", "_s") & (F.col("size") == F.col("_z"))
     return ordered.join(F.broadcast(strata) if small else strata, on).select(
         "doc_id",
+        "key",
         "size",
         "source",
         "source_size",
@@ -184,3 +185,19 @@ def mix(
         "rate",
         (F.col("_base") + (F.col("row_index") - F.col("_start") < F.col("_extra")).cast("long")).alias("copies"),
     )
+
+
+def take(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 0, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``mixed`` (made with the same ids, texts and seed) says.
+
+    Rows of equal id and text count as one document with all their copies.
+    """
+    plan = materialize(mixed.groupBy("key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n")))
+    size = plan.agg(F.count("*").alias("rows"), F.max("_n").alias("most")).first()
+    wanted = plan.filter("_copies > 0").select(F.col("key").alias("_key"), "_copies")
+    wanted = F.broadcast(wanted) if size["rows"] <= broadcast_rows else wanted  # 16 bytes a row
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("row_key"))
+    if (size["most"] or 0) > 1:
+        rows = rows.dropDuplicates(["row_key"])
+    taken = rows.join(wanted, F.col("row_key") == F.col("_key"))
+    return taken.select("doc", F.explode(F.expr("sequence(1L, _copies)"))).select("doc.*")

@@ -19,6 +19,7 @@ from .secrets import KINDS, scan_secrets
 from .secrets import train as train_secrets
 from .sharding import shard_by_bytes
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .toxicity import grade, train
 
 
@@ -44,6 +45,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
@@ -114,6 +121,7 @@ QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_licenses": op6_licenses,
     "op7_sharding": op7_sharding,
