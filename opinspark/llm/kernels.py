@@ -50,7 +50,7 @@ def _powers_to(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n."""
-    size = 1 << 16
+    size = 1 << 14
     while size < n:
         size *= 2
     up, down = _powers_to(base, size)
@@ -91,7 +91,7 @@ class Texts:
         return len(self.bounds) - 1
 
 
-def parts(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+def parts(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Slices of a batch with about ``most`` bytes of text each (a longer text comes alone), whole texts only."""
     texts = batch.column(column)
     sizes = np.asarray(pc.binary_length(texts.cast(pa.large_binary()).fill_null(b"")))

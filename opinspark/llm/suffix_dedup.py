@@ -150,7 +150,7 @@ def fingerprints(texts: K.Texts, length: int) -> tuple[np.ndarray, ...]:
 def _describe(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in K.parts(batch, "text", PART):
+            for part, texts in K.parts(batch, "text"):
                 doc, _, first, last, hashes = fingerprints(texts, length)
                 of = np.searchsorted(doc, np.arange(len(texts) + 1))
                 cut = lambda x, t: pa.array([x[a:b].astype(t).tobytes() for a, b in zip(of[:-1], of[1:], strict=True)], pa.binary())
@@ -216,6 +216,8 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         raise ValueError("length must be 16 bytes at least")
     pages = X.Pages(docs, doc_id, text, describe=(_describe(length), "doc_id long, text string, chunk int, prints binary, first binary, last binary"))
     bits = pages.ranges(pages.bytes / (length // 4))
+    # a piece takes about five times the bytes it stands for: tasks sort 2 MB at most, if all is shared
+    sort_bits = pages.ranges(5 * pages.bytes, 2 << 20)
     by = lambda df, key: df.groupBy(key)
     chunk_of = lambda t: t.column("chunk")[0].as_py() if len(t) else 0
 
@@ -295,7 +297,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         at = at[one]
         start, end = own.bounds()
         at = at[np.argsort(own.prints[at], kind="stable")]
-        key_range = (own.prints[at] >> np.uint64(64 - bits)).astype(np.int64)
+        key_range = (own.prints[at] >> np.uint64(64 - sort_bits)).astype(np.int64)
         edges = np.append(np.flatnonzero(np.diff(key_range, prepend=-1)), len(at))
         data, rows = own.data(), []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
