@@ -20,7 +20,7 @@ Model = Callable[[str], str]
 
 def with_model(df: DataFrame, prompt: str, model: Model, out: str = "answer", tries: int = 3) -> DataFrame:
     """Adds a model's answer to a prompt column; null after ``tries`` failures. The model runs on the executors."""
-    schema = df.withColumn(out, F.lit("")).schema
+    schema = df.withColumn(out, F.lit(None).cast("string")).schema
 
     def ask(text: str) -> str | None:
         for _ in range(tries):
