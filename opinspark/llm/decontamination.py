@@ -144,8 +144,9 @@ def decontaminate(
     for block in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()
         index = spark.sparkContext.broadcast(Index([r.id for r in rows], [r.text for r in rows], window))
-        out = out.mapInArrow(_scan(index), out.schema)
-    return out.mapInArrow(_spans, _spans_schema(docs))
+        last = block + 1 == blocks
+        out = out.mapInArrow(_scan(index, last), _spans_schema(docs) if last else out.schema)
+    return out
 
 
 def _spans_schema(docs: DataFrame) -> T.StructType:
@@ -159,7 +160,9 @@ def _spans_schema(docs: DataFrame) -> T.StructType:
     )
 
 
-def _scan(index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scan(index, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hits of one block added to those of the blocks before; the last one gives the spans, in the same worker."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Index = index.value
         for batch in batches:
@@ -191,7 +194,7 @@ def _scan(index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
                     names=["doc", "text", "n_words", "mask", "items"],
                 )
 
-    return run
+    return (lambda batches: _spans(run(batches))) if last else run
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(8)
+KEPT = 1 << 18  # powers that a worker keeps; longer runs (a very long text) make theirs anew
+
+
 def _powers_to(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for b in (base, pow(base, -1, 2**64)):
@@ -48,12 +50,12 @@ def _powers_to(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+_kept = lru_cache(8)(lambda base: _powers_to(base, KEPT))
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n."""
-    size = 1 << 14
-    while size < n:
-        size *= 2
-    up, down = _powers_to(base, size)
+    up, down = _kept(base) if n <= KEPT else _powers_to(base, n)
     return up[:n], down[:n]
 
 
@@ -91,7 +93,7 @@ class Texts:
         return len(self.bounds) - 1
 
 
-def parts(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+def parts(batch: pa.RecordBatch, column: str, most: int = KEPT - 1) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Slices of a batch with about ``most`` bytes of text each (a longer text comes alone), whole texts only."""
     texts = batch.column(column)
     sizes = np.asarray(pc.binary_length(texts.cast(pa.large_binary()).fill_null(b"")))
