@@ -29,7 +29,7 @@ def deduplicated(jobs: DataFrame, seconds: int = 600) -> DataFrame:
     rest = keyed.filter(~F.coalesce("force", F.lit(False)))
     if jobs.isStreaming:
         rest = rest.withWatermark("enqueued_at", f"{seconds} seconds").dropDuplicatesWithinWatermark(["job_key"])
-        return rest
+        return rest.unionByName(forced)
     bucket = F.floor(F.unix_seconds("enqueued_at") / seconds)
     first = rest.groupBy("job_key", bucket.alias("_b")).agg(F.min(F.struct("enqueued_at", *[c for c in keyed.columns if c not in ("enqueued_at", "job_key")])).alias("j"))
     return first.select("j.*", "job_key").select(*keyed.columns).unionByName(forced)
