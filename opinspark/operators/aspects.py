@@ -45,15 +45,18 @@ def canonical_text(long: DataFrame) -> DataFrame:
     return long.groupBy("review_id").agg(F.array_join(lines, "\n").alias("canonical_text"))
 
 
-def spans(long: DataFrame, p: Params = Params()) -> DataFrame:
-    """Pieces between sentence ends, semicolons and line ends, of three characters or more; the first few of a review."""
+def pieces(long: DataFrame) -> DataFrame:
+    """All pieces between sentence ends, semicolons and line ends, of three characters or more, numbered within a review."""
     parts = F.transform(F.split("text", r"[.!?;\n]+"), X.strip)
     rows = long.select("review_id", "product_id", "section", "section_pos", F.posexplode(parts).alias("pos", "span_text"))
     order = Window.partitionBy("review_id").orderBy("section_pos", "pos")
     rows = rows.filter(F.length("span_text") >= 3).withColumn("span_index", F.row_number().over(order) - 1)
-    return rows.filter(F.col("span_index") < p.max_spans_per_review).select(
-        "review_id", "product_id", "section", "span_index", "span_text", F.lower("span_text").alias("normalized")
-    )
+    return rows.select("review_id", "product_id", "section", "span_index", "span_text", F.lower("span_text").alias("normalized"))
+
+
+def spans(long: DataFrame, p: Params = Params()) -> DataFrame:
+    """The first few pieces of a review: the cap is of aspects alone, other readers take ``pieces``."""
+    return pieces(long).filter(F.col("span_index") < p.max_spans_per_review)
 
 
 def candidates(spanned: DataFrame, p: Params = Params()) -> DataFrame:

@@ -364,7 +364,8 @@ def rouge_l(spark, d):
 
 
 def _segments(spark, d):
-    return N.segments(_spans(spark, d), reviews(spark, d))
+    rows = reviews(spark, d)
+    return N.segments(A.pieces(A.sections(rows)), rows)
 
 
 @query()

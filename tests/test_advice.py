@@ -2,6 +2,9 @@
 
 import json
 
+from pyspark.sql import functions as F
+
+from opinspark.plans import queries as Q
 from opinspark.streaming import jobs as J
 
 
@@ -15,3 +18,18 @@ def test_forced_jobs_of_a_stream_pass_by(spark, tmp_path):
     got = spark.read.parquet(stored).collect()
     assert sorted(r.attempt for r in got if r.force) == [1, 3]
     assert sum(not r.force for r in got) == 1
+
+
+def tables(spark, path, texts):
+    rows = [(i, t, "web") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_segments_hold_whole_texts(spark, tmp_path):
+    d = tables(spark, tmp_path, [". ".join(f"piece number{i}" for i in range(40)) + ". rare pair. rare pair"])
+    segs = Q._segments(spark, d)
+    assert segs.count() == 42 and segs.agg(F.max("span_index")).first()[0] == 41
+    assert Q.phrase_bank(spark, d).filter("phrase = 'rare pair'").count() == 1
+    assert Q.spans_capped(spark, d).count() == 30
