@@ -88,27 +88,92 @@ def semantic_clusters(rows: DataFrame, key: str, item: str, vector: str, thresho
     return rows.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {item} {kinds[item]}, cluster long")
 
 
+def furthest(a: int, b: int, least: float) -> int:
+    """Most insertions and deletions between texts of these lengths that still reach the ratio; -1 where none do."""
+    most = int((a + b) * (100 - least) / 100 + 1e-9)
+    most -= (most - a - b) % 2
+    return most if most >= abs(a - b) else -1
+
+
+def cuts(length: int, parts: int) -> list[tuple[int, int]]:
+    return [(k * length // parts, (k + 1) * length // parts) for k in range(parts)]
+
+
+def near_pairs(short: list[str], long: list[str], least: float):
+    """All pairs of texts of one length each whose ratio is ``least`` or more, as places.
+
+    Texts that are d steps apart share one of d + 1 pieces of the shorter, moved by no more than the insertions or deletions.
+    """
+    a, b = len(short[0]), len(long[0])
+    far = furthest(a, b, least)
+    if far < 0:
+        return
+    back, ahead = (far - (b - a)) // 2, (far + (b - a)) // 2
+    found: set[tuple[int, int]] = set()
+    for start, stop in cuts(a, far + 1) if far < a else [(0, 0)]:
+        index: dict[str, list[int]] = {}
+        for i, text in enumerate(short):
+            index.setdefault(text[start:stop], []).append(i)
+        for j, text in enumerate(long):
+            for at in range(max(0, start - back), min(b - (stop - start), start + ahead) + 1):
+                for i in index.get(text[at : at + stop - start], ()):
+                    if (i, j) not in found and a + b - 2 * common(short[i], text) <= far:
+                        found.add((i, j))
+    yield from found
+
+
+def common(a: str, b: str) -> int:
+    """``lcs`` of texts, a row in the bits of one number."""
+    marks: dict[str, int] = {}
+    for i, x in enumerate(a):
+        marks[x] = marks.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & marks.get(y, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
 def distinct_phrases(phrases: DataFrame, least: float = 92.0) -> DataFrame:
     """Phrases of a product by falling quality, without those nearly equal to a kept one.
 
-    Lengths more than 8 % apart can't reach 92, so only kept phrases of like length are compared.
+    Near pairs are sought within a product and length: a group holds the texts of one length and the shorter ones
+    that can still reach ``least``. The fold then sees only phrases that have a near one.
     """
+    text = F.array_join(F.filter(F.split(F.lower("phrase"), r"\s+"), lambda w: w != ""), " ")
+    rows = phrases.select("product_id", "phrase", "quality", text.alias("low")).withColumn("size", F.length("low"))
+    reach = F.floor(F.col("size") * (100 + (100 - least)) / least) + 1
+    rows = rows.select("*", F.explode(F.sequence(F.col("size").cast("long"), reach)).alias("block"))
+
+    def pairs(key, group: pd.DataFrame) -> pd.DataFrame:
+        by_size = {n: g for n, g in group.groupby("size")}
+        out = []
+        if (long := by_size.get(key[1])) is not None:
+            value = lambda g, i: (g["phrase"].iat[i], g["quality"].iat[i])
+            for n, short in by_size.items():
+                for i, j in near_pairs(short["low"].to_list(), long["low"].to_list(), least):
+                    if n < key[1] or i < j:
+                        out.append((key[0], *value(short, i), *value(long, j)))
+        return pd.DataFrame(out, columns=["product_id", "a", "qa", "b", "qb"])
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["quality", "phrase"], ascending=[False, True])
-        kept: dict[int, list[str]] = {}
-        keep = []
-        for phrase in group["phrase"]:
-            low = " ".join(phrase.lower().split())
-            slack = int(len(low) * 2 * (100 - least) / least) + 1
-            near = (k for n in range(len(low) - slack, len(low) + slack + 1) for k in kept.get(n, ()))
-            fresh = all(ratio(low, k) < least for k in near)
-            keep.append(fresh)
-            if fresh:
-                kept.setdefault(len(low), []).append(low)
-        return group[keep]
-
-    return phrases.groupBy("product_id").applyInPandas(fold, phrases.schema)
+        near: dict[tuple[float, str], list[tuple[float, str]]] = {}
+        for a, qa, b, qb in zip(group["a"], group["qa"], group["b"], group["qb"], strict=True):
+            first, second = sorted([(-qa, a), (-qb, b)])
+            near.setdefault(first, [])
+            near.setdefault(second, []).append(first)
+        kept: set[tuple[float, str]] = set()
+        for one in sorted(near):
+            if kept.isdisjoint(near[one]):
+                kept.add(one)
+        lost = [x for _, x in sorted(set(near) - kept)]
+        return pd.DataFrame({"product_id": [group["product_id"].iat[0]] * len(lost), "phrase": lost})
+
+    product = dict(phrases.dtypes)["product_id"]
+    found = rows.groupBy("product_id", "block").applyInPandas(pairs, f"product_id {product}, a string, qa double, b string, qb double")
+    lost = found.groupBy("product_id").applyInPandas(fold, f"product_id {product}, phrase string")
+    return phrases.join(lost, ["product_id", "phrase"], "left_anti")
 
 
 def rouge_l(pairs: DataFrame, words_a: str, words_b: str) -> DataFrame:

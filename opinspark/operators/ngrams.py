@@ -50,8 +50,8 @@ def keyphrases(segs: DataFrame, most: int = 400, stop: Sequence[str] = L.KEYPHRA
     return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
-def phrase_bank(segs: DataFrame, most: int = 2000) -> DataFrame:
-    """Surface 2- and 3-grams that come twice or more, with their last field and sentiment and mean rating; no specific facts."""
+def phrase_bank(segs: DataFrame) -> DataFrame:
+    """Surface 2- and 3-grams that come twice or more, with their last field and sentiment and mean rating; no specific facts. All of them."""
     grams = F.concat(*[X.ngrams(F.col("tokens"), n) for n in (2, 3)])
     rows = segs.select("product_id", "seq", "field", "weak", "rating", F.posexplode(grams).alias("pos", "phrase"))
     last = F.struct("seq", "pos")
@@ -62,9 +62,13 @@ def phrase_bank(segs: DataFrame, most: int = 2000) -> DataFrame:
         F.avg("rating").alias("rating_avg"),
     )
     fine = (F.col("n") >= 2) & (F.length("phrase") <= 120) & ~X.specific_fact(F.col("phrase"))
-    counted = counted.filter(fine).withColumn("quality", F.least(F.lit(1.0), 0.3 + F.col("n") / 20))
+    return counted.filter(fine).withColumn("quality", F.least(F.lit(1.0), 0.3 + F.col("n") / 20))
+
+
+def stored_phrases(bank: DataFrame, most: int = 2000) -> DataFrame:
+    """The part of a bank that a profile keeps."""
     order = Window.partitionBy("product_id").orderBy(F.desc("quality"), F.desc("n"), "phrase")
-    return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    return bank.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
 def continuations(segs: DataFrame, following: int = 1, most: int = 30) -> DataFrame:

@@ -373,15 +373,18 @@ def keyphrases(spark, d):
     return N.keyphrases(_segments(spark, d), stop=STOP)
 
 
+def _bank(segs):
+    return folds.distinct_phrases(N.phrase_bank(segs))
+
+
 @query()
 def phrase_bank(spark, d):
-    return N.phrase_bank(_segments(spark, d))
+    return N.stored_phrases(_bank(_segments(spark, d)))
 
 
 @query()
 def phrase_dedupe(spark, d):
-    top = N.phrase_bank(_segments(spark, d)).filter("rank <= 200").drop("rank")
-    return folds.distinct_phrases(top)
+    return _bank(_segments(spark, d))
 
 
 @query()
@@ -391,7 +394,7 @@ def continuation_index(spark, d):
 
 @query()
 def prefix_index(spark, d):
-    return N.prefix_index(N.phrase_bank(_segments(spark, d)))
+    return N.prefix_index(N.stored_phrases(_bank(_segments(spark, d))))
 
 
 @query()
@@ -415,7 +418,7 @@ def text_state(spark, d):
 @query()
 def suggest_ranked(spark, d):
     segs = _segments(spark, d)
-    return S.suggest(_requests(spark, d), N.prefix_index(N.phrase_bank(segs)), N.continuations(segs))
+    return S.suggest(_requests(spark, d), N.prefix_index(N.stored_phrases(_bank(segs))), N.continuations(segs))
 
 
 @query()

@@ -1,9 +1,11 @@
 """Whole jobs: what an earlier version cut away."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
+from opinspark.operators import folds
 from opinspark.plans import queries as Q
 from opinspark.streaming import jobs as J
 
@@ -33,3 +35,29 @@ def test_segments_hold_whole_texts(spark, tmp_path):
     assert segs.count() == 42 and segs.agg(F.max("span_index")).first()[0] == 41
     assert Q.phrase_bank(spark, d).filter("phrase = 'rare pair'").count() == 1
     assert Q.spans_capped(spark, d).count() == 30
+
+
+def test_near_phrases_fall_over_the_whole_bank(spark):
+    rng = random.Random(3)
+    roots = ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 45))).strip() or "x" for _ in range(60)]
+    rows = {}
+    for _ in range(900):
+        word = list(rng.choice(roots))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(word) + 1)
+            word[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b"])
+        rows["".join(word) or "y"] = rng.randint(1, 9) / 10
+    kept = []
+    for phrase, quality in sorted(rows.items(), key=lambda x: (-x[1], x[0])):
+        if all(folds.ratio(" ".join(phrase.split()), " ".join(k.split())) < 92 for k in kept):
+            kept.append(phrase)
+    bank = spark.createDataFrame([(1, p, q) for p, q in rows.items()], "product_id long, phrase string, quality double")
+    assert sorted(r.phrase for r in folds.distinct_phrases(bank).collect()) == sorted(kept)
+    assert len(kept) < len(rows)
+
+
+def test_dedupe_returns_phrases_past_rank_200(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(500)]
+    d = tables(spark, tmp_path, [" ".join(words)] + ["other"] * 49 + [" ".join(words)])
+    assert Q.phrase_dedupe(spark, d).count() > 900
