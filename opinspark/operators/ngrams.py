@@ -102,11 +102,14 @@ def continuations(segs: DataFrame, following: int = 1, most: int = 30) -> DataFr
 
 
 def prefix_index(phrases: DataFrame, most: int = 20) -> DataFrame:
-    """Phrases by each prefix of 2 to 40 characters, of the phrase and of its words of three letters or more."""
-    entries = F.concat(F.array("phrase"), F.filter(F.split("phrase", " "), lambda w: F.length(w) >= 3))
+    """Phrases by each prefix of 2 to 40 characters, of the phrase and of its words of three letters or more.
+
+    A phrase comes once a product, so distinct entries of a phrase are distinct rows and the cut can begin before the shuffle.
+    """
+    entries = F.array_distinct(F.concat(F.array("phrase"), F.filter(F.split("phrase", " "), lambda w: F.length(w) >= 3)))
     rows = phrases.select("product_id", "phrase", "quality", "weak", F.explode(entries).alias("insert_text"))
     prefixes = F.transform(F.sequence(F.lit(2), F.least(F.lit(40), F.length("insert_text"))), lambda n: F.left("insert_text", n))
-    rows = rows.filter(F.length("insert_text") >= 2).select("*", F.explode(prefixes).alias("prefix")).distinct()
+    rows = rows.filter(F.length("insert_text") >= 2).select("*", F.explode(prefixes).alias("prefix"))
     order = Window.partitionBy("product_id", "prefix").orderBy(F.desc("quality"), "phrase", "insert_text")
     ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     return ranked.select("product_id", "prefix", "rank", F.col("phrase").alias("text"), "insert_text", F.col("quality").alias("score"), "weak")

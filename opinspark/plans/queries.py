@@ -394,7 +394,7 @@ def continuation_index(spark, d):
 
 @query()
 def prefix_index(spark, d):
-    return N.prefix_index(N.stored_phrases(_bank(_segments(spark, d))))
+    return N.prefix_index(_bank(_segments(spark, d)))
 
 
 @query()
@@ -418,7 +418,7 @@ def text_state(spark, d):
 @query()
 def suggest_ranked(spark, d):
     segs = _segments(spark, d)
-    return S.suggest(_requests(spark, d), N.prefix_index(N.stored_phrases(_bank(segs))), N.continuations(segs))
+    return S.suggest(_requests(spark, d), N.prefix_index(_bank(segs)), N.continuations(segs))
 
 
 @query()

@@ -61,3 +61,12 @@ def test_dedupe_returns_phrases_past_rank_200(spark, tmp_path):
     words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(500)]
     d = tables(spark, tmp_path, [" ".join(words)] + ["other"] * 49 + [" ".join(words)])
     assert Q.phrase_dedupe(spark, d).count() > 900
+
+
+def test_prefixes_of_rare_phrases(spark, tmp_path):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxy") for _ in range(9)) for _ in range(1200)] + ["zz", "zebra"]
+    d = tables(spark, tmp_path, [" ".join(words)] + ["other"] * 49 + [" ".join(words)])
+    assert Q.phrase_bank(spark, d).count() == 2000
+    got = {r.text for r in Q.prefix_index(spark, d).filter("prefix = 'zebra'").collect()}
+    assert "zz zebra" in got
