@@ -2,8 +2,8 @@
 
 Tokens are tagged O(utside), B(egin) or I(nside). Features of a token: its shape, length, character mix and
 entropy, the words and signs around it, and what the whole file looks like. A secret can only begin at a token of
-eight or more characters with a digit in it, and go on over tokens that touch; these rules are part of the
-lattice, so wherever no token may begin a secret, Viterbi's best path is O throughout, and
+eight or more characters that has a digit in it, is long or comes soon after a word like "password", and go on over
+tokens that touch; these rules are part of the lattice, so wherever no token may begin a secret, Viterbi's best path is O throughout, and
 only the stretches around such tokens need decoding.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,8 +36,12 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_.\-]+|[^\sA-Za-z0-9+/_.\-]")
-# a piece of a line that may begin a secret: eight or more characters of a token, a digit among them
-OPEN = re.compile(r"(?=[A-Za-z+/_.\-]*[0-9])[A-Za-z0-9+/_.\-]{8,}")
+# a token that may begin a secret: eight or more characters, with a digit, or LONG, or after a cue
+OPEN = re.compile(r"[A-Za-z0-9+/_.\-]{8,}")
+DIGIT = re.compile("[0-9]")
+LONG = 20
+CUE = re.compile("pass|pwd|secret|token|key|auth|bearer|credential|private", re.IGNORECASE | re.ASCII)
+CUED = 4  # tokens
 O, B, I = 0, 1, 2  # noqa: E741
 AROUND = 3
 
@@ -62,8 +67,14 @@ def _shape(token: str) -> str:
 
 
 def file_features(text: str) -> list[str]:
-    lines = text.count("\n") + 1
-    assigns = text.count("=") + text.count(": ")
+    return counted_features(text.count("\n") + 1, assigns_of(text))
+
+
+def assigns_of(text: str) -> int:
+    return text.count("=") + text.count(": ")
+
+
+def counted_features(lines: int, assigns: int) -> list[str]:
     return [f"file:assigns={min(3, assigns * 4 // lines)}", f"file:lines={min(6, lines.bit_length())}"]
 
 
@@ -89,15 +100,19 @@ def features(tokens: list[tuple[int, str]], at: int, file: list[str]) -> list[st
             out.append(f"{d}:{near if len(near) <= 16 and near.isalpha() or len(near) == 1 else '<long>'}")
     if at:
         out.append(f"touches={tokens[at - 1][0] + len(tokens[at - 1][1]) == tokens[at][0]}")
-    before = [t.lower() for _, t in tokens[max(0, at - 4) : at]]
-    if any(re.search("pass|pwd|secret|token|key|auth|bearer|credential|private", t) for t in before):
+    if cued(tokens, at):
         out.append("cue")
     return out + file
 
 
+def cued(tokens: list[tuple[int, str]], at: int) -> bool:
+    return any(CUE.search(t) for _, t in tokens[max(0, at - CUED) : at])
+
+
 def allowed(tokens: list[tuple[int, str]], at: int) -> tuple[bool, bool]:
     """May the token begin a secret; may it go on from the token before."""
-    begin = bool(OPEN.fullmatch(tokens[at][1]))
+    word = tokens[at][1]
+    begin = bool(OPEN.fullmatch(word)) and (len(word) >= LONG or bool(DIGIT.search(word)) or cued(tokens, at))
     follows = at > 0 and tokens[at - 1][0] + len(tokens[at - 1][1]) == tokens[at][0]
     return begin, follows and tokens[at][1] not in "\"'`<>()[]{},;"
 
@@ -142,24 +157,38 @@ def crf_spans(text: str, model: Model) -> list[tuple[int, int]]:
     """Spans that the field tags as secrets, over the whole text."""
     out: list[tuple[int, int]] = []
     file, done = None, 0
+    cues = [m.start() for m in CUE.finditer(text)]
     for m in OPEN.finditer(text):
         if m.start() < done:
             continue
-        file = file_features(text) if file is None else file
+        plain = m.end() - m.start() < LONG and not DIGIT.search(m[0])
+        if plain and not (cues and cues[0] < m.start()):
+            continue
         begin = text.rfind("\n", 0, m.start()) + 1
+        if plain and bisect_left(cues, begin) == bisect_left(cues, m.start()):
+            continue
+        left = _back(text, begin, m.start())
+        if plain and not cued(own := [(0, t[0]) for t in TOKEN.finditer(text[left : m.start()])], len(own)):
+            continue
+        file = file_features(text) if file is None else file
         end = text.find("\n", m.start())
         end = len(text) if end < 0 else end
-        left = _back(text, begin, m.start())
-        tokens = [(left + t.start(), t[0]) for t in TOKEN.finditer(text[left : _ahead(text, m.end(), end)])]
-        at = next(k for k, (s, t) in enumerate(tokens) if s + len(t) > m.start())
-        stop = at + 1
-        may = [allowed(tokens, at)]
-        while stop < len(tokens):
-            b, go_on = allowed(tokens, stop)
-            if not (b or go_on):
+        right = m.end()
+        while True:
+            right = _ahead(text, right, end)
+            tokens = [(left + t.start(), t[0]) for t in TOKEN.finditer(text[left:right])]
+            at = next(k for k, (s, t) in enumerate(tokens) if s + len(t) > m.start())
+            stop = at + 1
+            may = [allowed(tokens, at)]
+            while stop < len(tokens):
+                b, go_on = allowed(tokens, stop)
+                if not (b or go_on):
+                    break
+                may.append((b, go_on))
+                stop += 1
+            # a stretch that nears the end of what was read may go on behind it
+            if right >= end or stop + AROUND < len(tokens):
                 break
-            may.append((b, go_on))
-            stop += 1
         tags = viterbi([model.scores(features(tokens, k, file)) for k in range(at, stop)], may, model.moves)
         done = tokens[stop - 1][0] + len(tokens[stop - 1][1])
         for k, tag in enumerate(tags):
@@ -200,6 +229,10 @@ def _ahead(text: str, at: int, end: int) -> int:
         step *= 2
 
 
+def _word(rng: random.Random) -> str:
+    return "".join(rng.choice("bcdfghjklmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(1, 3))) + rng.choice("nrstlm")
+
+
 def _make_secret(rng: random.Random) -> str:
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     pick = lambda s, n: "".join(rng.choice(s) for _ in range(n))
@@ -211,6 +244,8 @@ def _make_secret(rng: random.Random) -> str:
             lambda: pick(letters + "+/", rng.randint(24, 60)) + "1" + "=" * rng.randint(0, 2),
             lambda: "sk_live_" + pick(letters, 24) + "7",
             lambda: pick(letters, 8) + str(rng.randint(10, 99)) + rng.choice("_-.") + pick(letters, 8),
+            lambda: pick(letters[:52], rng.randint(20, 48)),
+            lambda: "".join(_word(rng).capitalize() for _ in range(rng.randint(2, 4))),
         ]
     )()
 
@@ -228,11 +263,16 @@ def _make_plain(rng: random.Random) -> str:
             lambda: f"{pick(low, 6)}_{pick(low, 4)}_{rng.randint(1, 20)}",
             lambda: f"/usr/lib/{pick(low, 5)}{rng.randint(1, 9)}/{pick(low, 6)}",
             lambda: f"+{rng.randint(1, 99)}-{pick('0123456789', 3)}-{pick('0123456789', 7)}",
+            lambda: "".join(_word(rng) for _ in range(rng.randint(2, 3))),
+            lambda: "_".join(_word(rng) for _ in range(rng.randint(3, 5))),
+            lambda: f"/usr/{_word(rng)}/{_word(rng)}/{_word(rng)}.{pick(low, 3)}",
+            lambda: rng.choice("-._/") * rng.randint(8, 60),
         ]
     )()
 
 
 _CUES = ["password", "passwd", "secret", "token", "api_key", "apikey", "auth", "pwd", "client_secret", "private_key", "Authorization: Bearer"]
+_TALK = ["password", "secret", "token", "key", "author", "authority", "passed", "passage", "private", "bearer", "credential", "keyboard"]
 _JOINS = [" = ", ": ", "=", ' = "', ": '", " ", " => ", " is "]
 
 
@@ -255,17 +295,27 @@ def examples(lines: list[str], rng: random.Random) -> Iterator[tuple[str, list[t
             put = f" {rng.choice(['', '', 'at ', 'id ', 'key '])}{_make_plain(rng)}"
             spans = [(s, e) if e <= at else (s + len(put), e + len(put)) for s, e in spans]
             line = line[:at] + put + line[at:]
+        elif kind < 0.9:
+            # words that follow a cue in plain text
+            put = f" {rng.choice(_TALK)} {rng.choice(['', '', 'of the ', 'was ', 'is ', 'and ', 'for '])}{_word(rng)}{_word(rng)}{rng.choice(['', 'ed', 'ing', 'tion'])}"
+            spans = [(s, e) if e <= at else (s + len(put), e + len(put)) for s, e in spans]
+            line = line[:at] + put + line[at:]
         yield line, sorted(spans)
 
 
-def fit(lines: list[tuple[str, list[tuple[int, int]]]], steps: int = 150, l2: float = 1e-3) -> Model:
-    """Maximum likelihood, by Adam over batched forward-backward passes on stretches that may hold a secret."""
+def fit(
+    lines: list[tuple[str, list[tuple[int, int]]]], steps: int = 150, l2: float = 1e-3, files: list[list[str]] | None = None
+) -> Model:
+    """Maximum likelihood, by Adam over batched forward-backward passes on stretches that may hold a secret.
+
+    ``files`` has the file features of each line; without it each line is a file.
+    """
     names: dict[str, int] = {}
     stretches = []
-    for line, spans in lines:
+    for place, (line, spans) in enumerate(lines):
         tokens = [(t.start(), t[0]) for t in TOKEN.finditer(line)]
         may = [allowed(tokens, k) for k in range(len(tokens))]
-        file, k = file_features(line), 0
+        file, k = files[place] if files else file_features(line), 0
         while k < len(tokens):
             if not may[k][0]:
                 k += 1
@@ -342,13 +392,24 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_line
     """Fit on at most ``most_lines`` lines of at most ``most_chars`` characters, chosen by hash, into which drawn secrets
     and look-alikes are put; what the base patterns find there counts as secret as well. The bound holds for fitting only.
     """
-    lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line"))
-    lines = lines.filter(F.length("line").between(1, most_chars))
-    rows = lines.groupBy("line").agg(F.xxhash64("line").alias("h")).orderBy("h", "line").limit(most_lines).collect()
+    count = lambda sign: F.length(text) - F.length(F.replace(F.col(text), F.lit(sign), F.lit("")))
+    split = F.split(F.col(text), "\n")
+    assigns = count("=") + (count(": ") / 2).cast("int")
+    files = docs.select(split.alias("split"), (F.size(split) * F.lit(2**32) + assigns).alias("file"))
+    lines = files.select("file", F.explode("split").alias("line")).filter(F.length("line").between(1, most_chars))
+    # of the files that hold a line, one by hash
+    file = F.min_by("file", F.xxhash64("line", "file"))
+    rows = lines.groupBy("line").agg(F.xxhash64("line").alias("h"), file.alias("file")).orderBy("h", "line").limit(most_lines).collect()
     rng = random.Random(seed)
-    found = [r.line for r in rows] or [""]
-    more = list(examples([found[i % len(found)] for i in range(most_lines)], rng))
-    return fit(more)
+    found = [(r.line, r.file >> 32, r.file % 2**32) for r in rows] or [("", 1, 0)]
+    dealt = [found[i % len(found)] for i in range(most_lines)]
+    more = list(examples([line for line, _, _ in dealt], rng))
+    # each second one as a file of its own, so that short files are known too
+    files = [
+        file_features(new) if i % 2 else counted_features(n, assigns + assigns_of(new) - assigns_of(old))
+        for i, ((old, n, assigns), (new, _)) in enumerate(zip(dealt, more, strict=True))
+    ]
+    return fit(more, files=files)
 
 
 def scan_secrets(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
