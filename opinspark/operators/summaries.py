@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as X
 from . import aspects as A
+from .folds import label_clusters
 from .ngrams import bigrams_and_trigrams
 
 Model = Callable[[str], str]
@@ -117,7 +118,8 @@ def aspect_phrases(reviews: DataFrame, keywords: DataFrame, per_aspect: int = 5,
 def aspect_evidence(reviews: DataFrame, p: A.Params = A.Params()) -> dict[str, DataFrame]:
     """The whole deterministic method, all products in one plan; the artifacts by name."""
     spanned = A.spans(A.sections(reviews), p)
-    found = A.canonical(A.mentions(spanned, A.candidates(spanned, p), p))
+    raw = A.mentions(spanned, A.candidates(spanned, p), p)
+    found = A.canonical(raw, label_clusters(raw.select("product_id", F.col("aspect").alias("label")).distinct()))
     totals = reviews.groupBy("product_id").agg(F.count("*").alias("reviews_count"))
     scored = A.stats(found, totals, p)
     planned = A.plan(scored, p)

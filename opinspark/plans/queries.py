@@ -490,7 +490,7 @@ def stub_summary(spark, d):
 
 @query()
 def llm_summary(spark, d):
-    rows = M.llm(reviews(spark, d), stop=STOP, top=20)
+    rows = M.llm(reviews(spark, d), stop=STOP)
     return rows.select("product_id", "texts.positive", "texts.general")
 
 

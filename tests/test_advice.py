@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from opinspark.operators import folds
+from opinspark.operators import summaries as M
 from opinspark.plans import queries as Q
 from opinspark.streaming import jobs as J
 
@@ -70,3 +71,17 @@ def test_prefixes_of_rare_phrases(spark, tmp_path):
     assert Q.phrase_bank(spark, d).count() == 2000
     got = {r.text for r in Q.prefix_index(spark, d).filter("prefix = 'zebra'").collect()}
     assert "zz zebra" in got
+
+
+def test_llm_summary_asks_about_80_phrases(spark, tmp_path, monkeypatch):
+    d = tables(spark, tmp_path, [" ".join(f"word{i}" for i in range(100))])
+    asked = M.llm
+    monkeypatch.setattr(M, "llm", lambda *a, **k: asked(*a, **k, model=lambda prompt: json.dumps({"general": str(prompt.count('"phrase"'))})))
+    assert Q.llm_summary(spark, d).first().general == "80"
+
+
+def test_near_equal_labels_are_one_aspect(spark):
+    schema = "review_id long, product_id long, rating double, title string, plus string, minus string, comment string"
+    rows = spark.createDataFrame([(1, 1, 5.0, None, "дисплей", None, None), (2, 1, 5.0, None, "дисплеи", None, None)], schema)
+    got = M.summarize("aspect_evidence", rows)["clusters"].collect()
+    assert [(r.total, r.aliases) for r in got] == [(2, 2)]
