@@ -3,11 +3,11 @@
 Every word 5-gram of a text is hashed; of each 6 consecutive hashes the smallest
 (the last of equals) is kept as a fingerprint. Two texts that share 10 words in a
 row share all six hashes in between, so they share a fingerprint: no shared span
-of ``window`` words is missed. Documents' fingerprints are joined with those of the
-benchmark, and every hit is extended to the windows around it, which are compared
-by two independent 64-bit hashes.
+of ``window`` words is missed. Both sides' fingerprints become rows, with the windows that they stand for; the rows are joined
+on the fingerprint, and a hit is extended by comparing the window around it by two more independent 64-bit hashes.
 
-Items with fewer words than a window are looked up whole, by rolling windows of
+Of the documents' rows only those leave a task whose fingerprint a filter of bounded size lets pass, so that
+texts never move and hardly any rows do. Items with fewer words than a window are windows as they are, looked up by rolling windows of
 exactly their length.
 """
 
@@ -17,94 +17,142 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import kernels as K
+from .common import materialize
 
 GRAM = 5
+#: a word, in texts of any case: what [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ finds after A-Z are lower-cased
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+PRINTS = "key string, start long, length int, print long, a long, b long"
 
 
 def winnow(grams: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
-    """Places of the smallest of ``width`` hashes from each place of ``first`` on."""
+    """For each place of ``first`` that of the smallest of ``width`` hashes from there on."""
     best, place = grams[first], first.copy()
     for j in range(1, width):
         here = grams[first + j]
         less = here <= best
         best, place = np.where(less, here, best), np.where(less, first + j, place)
-    return np.unique(place)
-
-
-class Index:
-    """Windows and fingerprints of a bounded block of benchmark items."""
-
-    def __init__(self, ids: list[str], texts: list[str | None], window: int):
-        words = K.Words(K.Texts(pa.array(texts, pa.large_string())), K.ALNUM, True)
-        first, second = words.hashes(0), words.hashes(1)
-        self.window, self.ids = window, np.array(ids, object)
-        counts = np.diff(words.of)
-        self.tables: dict[int, tuple[np.ndarray, ...]] = {}
-        for length in sorted({window, *counts[(counts > 0) & (counts < window)].tolist()}):
-            at = words.windows(length)
-            if length < window:
-                at = at[counts[words.doc[at]] == length]
-            if not len(at):
-                continue
-            a, b = K.rolling(first, length, K.BASE[2])[at], K.rolling(second, length, K.BASE[3])[at]
-            # one row for each (window, item)
-            pairs = np.unique(np.rec.fromarrays([a, b, words.doc[at]], names="a,b,row"))
-            keys, begin = np.unique(pairs.a, return_index=True)
-            self.tables[length] = keys, pairs.b[begin], np.append(begin, len(pairs)), np.asarray(pairs.row)
-        self.prints = np.zeros(0, np.uint64)
-        at = words.windows(window)
-        if len(at):
+    return place
+
+
+class Filter:
+    """A set of bits by hash: what was put in is found, few others are."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits  # 64 in a word
+        self.words = np.uint64(len(bits) - 1)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        word = self.bits[((hashes >> np.uint64(6)) & self.words).astype(np.int64)]
+        return (word >> (hashes & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _prints(window: int, lengths: list[int], passing, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of ``PRINTS`` of (key, text): windows with their fingerprints.
+
+    Of an item (``whole``) of fewer words than a window its only one; of a document those of ``lengths`` and ``window`` that pass the filter.
+    """
+
+    def rows(words: K.Words, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = words.windows(length)
+        if whole and length < window:
+            at = at[np.diff(words.of)[words.doc[at]] == length]
+        if not len(at):
+            return at, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        if length == window:
             grams = K.rolling(first, GRAM, K.BASE[2])
-            self.prints = np.unique(grams[winnow(grams, at, window - GRAM + 1)])
-
-    def hits(self, words: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Mask of hit words; and (document, item) pairs."""
-        mask, docs, items = np.zeros(len(words), bool), [], []
-        if not self.tables or not len(words):
-            return mask, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        first, second = words.hashes(0), None
-        for length, (keys, check, begin, item) in self.tables.items():
-            at = words.windows(length)
-            if length == self.window:
-                at = self._around_prints(first, at)
-            if not len(at):
-                continue
-            a = K.rolling(first, length, K.BASE[2])[at]
-            found = np.minimum(np.searchsorted(keys, a), len(keys) - 1)
-            same = keys[found] == a
-            at, found = at[same], found[same]
-            if not len(at):
-                continue
-            second = words.hashes(1) if second is None else second
-            same = K.rolling(second, length, K.BASE[3])[at] == check[found]
-            at, found = at[same], found[same]
-            mask |= K.cover(len(words), at, length)
-            pairs = np.unique(np.stack([words.doc[at], found]), axis=1)
-            n = begin[pairs[1] + 1] - begin[pairs[1]]
-            docs.append(np.repeat(pairs[0], n))
-            items.append(item[np.repeat(begin[pairs[1]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
-        if not docs:
-            return mask, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return mask, np.concatenate(docs), np.concatenate(items)
-
-    def _around_prints(self, first: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Those windows of ``at`` that hold a fingerprint of the benchmark."""
-        if not len(at) or not len(self.prints):
-            return at[:0]
-        grams = K.rolling(first, GRAM, K.BASE[2])
-        width = self.window - GRAM + 1
-        place = winnow(grams, at, width)
-        found = np.minimum(np.searchsorted(self.prints, grams[place]), len(self.prints) - 1)
-        place = place[self.prints[found] == grams[place]]
-        near = np.zeros(len(first), bool)
-        for j in range(width):
-            near[np.maximum(place - j, 0)] = True
-        return at[near[at]]
+            found = grams[winnow(grams, at, window - GRAM + 1)]
+        else:
+            found = K.rolling(first, length, K.BASE[2])[at]
+        if passing is not None:
+            pass_ = passing.value.has(found)
+            at, found = at[pass_], found[pass_]
+        return at, found, K.rolling(first, length, K.BASE[2])[at] if len(at) else found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in K.parts(batch, "text"):
+                words = K.Words(texts, K.ALNUM, True)
+                if not len(words):
+                    continue
+                first, second, key = words.hashes(0), None, part.column("key")
+                counts = np.diff(words.of)
+                for length in [*(np.unique(counts[(counts > 0) & (counts < window)]).tolist() if whole else lengths), window]:
+                    at, found, a = rows(words, first, length)
+                    if not len(at):
+                        continue
+                    second = words.hashes(1) if second is None else second
+                    b = K.rolling(second, length, K.BASE[3])[at]
+                    doc = words.doc[at]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            key.take(pa.array(doc)),
+                            pa.array(at - words.of[doc], pa.int64()),
+                            pa.array(np.full(len(at), length), pa.int32()),
+                            *[pa.array(x.view(np.int64)) for x in (found, a, b)],
+                        ],
+                        names=["key", "start", "length", "print", "a", "b"],
+                    )
+
+    return run
+
+
+def _filter(prints: DataFrame, most_words: int) -> Filter:
+    """The filter of the distinct ``print`` values: 16 bits a value, ``most_words`` words of 64 bits at most."""
+    count = prints.agg(F.approx_count_distinct("print")).first()[0]
+    words = min(most_words, 1 << max(6, (count // 4).bit_length()))
+    word = F.shiftrightunsigned("print", 6).bitwiseAND(F.lit(words - 1))
+    bit = F.expr("shiftleft(1L, int(print & 63))")
+    found = prints.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # ``words`` rows at most
+    bits = np.zeros(words, np.uint64)
+    bits[np.asarray(found.column("word"))] = np.asarray(found.column("bits")).view(np.uint64)
+    return Filter(bits)
+
+
+def text_key(text: Column) -> Column:
+    """Texts are told apart by 128 bits."""
+    return F.md5(text.cast("binary"))
+
+
+def hits(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, filter_words: int = 1 << 20
+) -> DataFrame:
+    """``key`` (see ``text_key``), ``n_hit``, ``items`` and ``spans`` of each distinct text with a window of the benchmark."""
+    if window < GRAM:
+        raise ValueError(f"window must be {GRAM} words at least")
+    spark = docs.sparkSession
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("key"), F.col(item_text).alias("text"))
+    known = materialize(items.mapInArrow(_prints(window, [], None, True), PRINTS).drop("start").withColumnRenamed("key", "item").distinct())
+    lengths = sorted(r.length for r in known.select("length").distinct().filter(F.col("length") < window).collect())  # fewer than ``window``
+    passing = spark.sparkContext.broadcast(_filter(known, filter_words))
+    texts = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text")).filter("key is not null")
+    rows = texts.mapInArrow(_prints(window, lengths, passing, False), PRINTS)
+    on = ["length", "print", "a", "b"]
+    # equal texts have equal rows: one of each stays
+    rows = materialize(rows.join(known.select(*on).distinct(), on, "left_semi").dropDuplicates(["key", "start", "length"]))
+    passing.unpersist()
+    # windows to maximal runs; a partition is the windows of one text
+    in_order = Window.partitionBy("key").orderBy("start", "length")
+    runs = rows.select("key", "start", "length", (F.col("start") + F.col("length")).alias("end"))
+    runs = runs.withColumn("_reach", F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = runs.withColumn("_run", F.sum(F.when(F.col("start") <= F.col("_reach"), 0).otherwise(1)).over(in_order))
+    runs = runs.groupBy("key", "_run").agg(F.min("start").alias("first"), F.max("end").alias("end"))
+    runs = runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("spans"), F.sum(F.col("end") - F.col("first")).alias("n_hit"))
+    named = rows.select("key", *on).distinct().join(known, on).select("key", "item").distinct()
+    named = named.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return materialize(runs.join(named, "key").select("key", "n_hit", "items", "spans"))
+
+
+def _small(found: DataFrame, most_bytes: int) -> DataFrame:
+    """``found``, to be broadcast where it's ``most_bytes`` or less."""
+    listed = F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 8) if "items" in found.columns else F.lit(0)
+    spans = 16 * F.size("spans") if "spans" in found.columns else F.lit(0)
+    size = found.agg(F.sum(80 + listed + spans)).first()[0] or 0
+    return F.broadcast(found) if size <= most_bytes else found
 
 
 def decontaminate(
@@ -114,107 +162,40 @@ def decontaminate(
     item_id: str = "item_id",
     item_text: str = "text",
     window: int = 10,
-    block_bytes: int = 32 << 20,
+    broadcast_bytes: int = 64 << 20,
+    filter_words: int = 1 << 20,
 ) -> DataFrame:
     """One row per document row: ``doc`` (a struct of all its columns), ``n_words``, ``n_hit``,
     ``items`` (sorted ids, as strings, of the items with a window in the text) and
     ``spans`` (maximal runs of hit words: first word, end exclusive).
 
-    The benchmark is broadcast in blocks of at most about ``block_bytes`` of text, so
-    what a task holds is bounded; documents stream through one map a block and are never
-    shuffled. Null texts have no words; null item texts have no windows; a null item id
-    is named by the empty string. Repeated rows are judged one by one, an empty
-    benchmark hits nothing.
+    Fingerprints are joined as rows; of the benchmark the driver and the tasks see a filter of ``filter_words`` 64-bit words at most
+    and nothing else. What hit texts have goes back to the documents by a key of the text: broadcast if it's ``broadcast_bytes`` or less,
+    else by a shuffle of the documents. Null texts have no words; null item texts have no windows; a null item id
+    is named by the empty string, and items of one id are one. Repeated rows are judged one by one, an empty
+    benchmark hits nothing. The documents' other columns are carried, whatever their names.
     """
-    if window < GRAM:
-        raise ValueError(f"window must be {GRAM} words at least")
-    spark = docs.sparkSession
-    items = benchmark.select(
-        F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("text")
-    )
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
-    out = docs.select(
-        F.struct("*").alias("doc"),
-        F.col(text).alias("text"),
-        F.lit(None).cast("long").alias("n_words"),
-        F.lit(None).cast("binary").alias("mask"),
-        F.array().cast("array<string>").alias("items"),
-    )
-    for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()
-        index = spark.sparkContext.broadcast(Index([r.id for r in rows], [r.text for r in rows], window))
-        last = block + 1 == blocks
-        out = out.mapInArrow(_scan(index, last), _spans_schema(docs) if last else out.schema)
-    return out
-
-
-def _spans_schema(docs: DataFrame) -> T.StructType:
-    return (
-        T.StructType()
-        .add("doc", docs.schema, False)
-        .add("n_words", "long")
-        .add("n_hit", "long")
-        .add("items", T.ArrayType(T.StringType()))
-        .add("spans", T.ArrayType(T.StructType().add("first", "long").add("end", "long")))
+    found = _small(hits(docs, benchmark, text, item_id, item_text, window, filter_words), broadcast_bytes).withColumnRenamed("key", "_hit")
+    rows = docs.select(F.struct("*").alias("doc"), text_key(F.col(text)).alias("_key"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    return rows.join(found, F.col("_key") == F.col("_hit"), "left").select(
+        "doc",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("spans", F.array().cast("array<struct<first:long,end:long>>")).alias("spans"),
     )
 
 
-def _scan(index, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Hits of one block added to those of the blocks before; the last one gives the spans, in the same worker."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Index = index.value
-        for batch in batches:
-            for part, texts in K.parts(batch, "text"):
-                words = K.Words(texts, K.ALNUM, True)
-                mask, docs, items = found.hits(words)
-                names: dict[int, set] = {}
-                for d, i in zip(docs.tolist(), found.ids[items].tolist(), strict=True):
-                    names.setdefault(d, set()).add(i)
-                old_mask, old_items = part.column("mask").to_pylist(), part.column("items").to_pylist()
-                new_mask = []
-                hit = np.diff(np.concatenate(([0], np.cumsum(mask)))[words.of])
-                for d in range(len(texts)):
-                    bits = old_mask[d]
-                    if hit[d]:
-                        own = np.packbits(mask[words.of[d] : words.of[d + 1]])
-                        bits = (own | np.frombuffer(bits, np.uint8) if bits else own).tobytes()
-                    new_mask.append(bits)
-                    if d in names:
-                        old_items[d] = sorted(names[d].union(old_items[d]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc"),
-                        part.column("text"),
-                        pa.array(np.diff(words.of), pa.int64()),
-                        pa.array(new_mask, pa.binary()),
-                        pa.array(old_items, pa.list_(pa.string())),
-                    ],
-                    names=["doc", "text", "n_words", "mask", "items"],
-                )
-
-    return (lambda batches: _spans(run(batches))) if last else run
-
-
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hit, spans = [], []
-        for n, bits in zip(batch.column("n_words").to_pylist(), batch.column("mask").to_pylist(), strict=True):
-            if not bits:
-                hit.append(0)
-                spans.append([])
-                continue
-            mask = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-            hit.append(int(mask.sum()))
-            spans.append([{"first": a, "end": b} for a, b in zip(*(x.tolist() for x in K.runs(mask)), strict=True)])
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc"),
-                batch.column("n_words"),
-                pa.array(hit, pa.int64()),
-                batch.column("items"),
-                pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
-            ],
-            names=["doc", "n_words", "n_hit", "items", "spans"],
-        )
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = 10,
+    broadcast_bytes: int = 64 << 20,
+) -> DataFrame:
+    """The rows of ``docs``, in all their columns, without a window of the benchmark. Nulls and repeats as in ``decontaminate``."""
+    found = _small(hits(docs, benchmark, text, item_id, item_text, window).select(F.col("key").alias("_hit")), broadcast_bytes)
+    rows = docs.select(F.struct("*").alias("doc"), text_key(F.col(text)).alias("_key"))
+    return rows.join(found, F.col("_key") == F.col("_hit"), "left_anti").select("doc.*")

@@ -93,19 +93,25 @@ class Texts:
         return len(self.bounds) - 1
 
 
-def parts(batch: pa.RecordBatch, column: str, most: int = KEPT - 1) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Slices of a batch with about ``most`` bytes of text each (a longer text comes alone), whole texts only."""
-    texts = batch.column(column)
+def slices(texts: pa.Array, most: int = KEPT - 1) -> Iterator[tuple[int, int]]:
+    """Bounds of slices with about ``most`` bytes of text each (a longer text comes alone), whole texts only."""
     sizes = np.asarray(pc.binary_length(texts.cast(pa.large_binary()).fill_null(b"")))
     ends = np.cumsum(sizes)
     at = 0
     while at < len(sizes):
         done = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
-        yield batch.slice(at, to - at), Texts(texts.slice(at, to - at), at)
+        yield at, to
         at = to
 
 
+def parts(batch: pa.RecordBatch, column: str, most: int = KEPT - 1) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Slices of a batch, and their texts."""
+    texts = batch.column(column)
+    for at, to in slices(texts, most):
+        yield batch.slice(at, to - at), Texts(texts.slice(at, to - at), at)
+
+
 class Words:
     """Words of ``texts``: byte ``start`` and ``end``, the ``doc`` (text number) of each, and ``of``: bounds by text."""
 

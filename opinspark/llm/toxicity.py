@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import kernels as K
 
@@ -107,7 +106,8 @@ def train(
     least ``severe_words`` of the words that flagged texts have and others (nearly) never do; unflagged
     texts are grade 0. The ``most_words`` words that tell flagged texts best (chi-squared of ``least_chi`` or
     more, in 5 texts at least) are the features. Null labels, ids and texts are left out; without both flagged and
-    unflagged texts, the model grades everything by the share of flagged ones.
+    unflagged texts, the model grades everything by the share of flagged ones. An id's repeated labels count by the largest, its
+    repeated texts by the first in order. Other columns of either table are not looked at.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label")).dropna()
@@ -115,7 +115,8 @@ def train(
     n = known.count()
     share = F.lit(int(min(1.0, most_rows / max(n, 1)) * 1_000_000))
     known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share)  # at most about most_rows small rows
-    texts = docs.join(F.broadcast(known), docs[doc_id] == known["_id"]).select("label", F.col(text).alias("text"))
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).dropna()
+    texts = texts.join(F.broadcast(known), "_id").groupBy("_id", "label").agg(F.min("text").alias("text")).select("label", "text")
     schema = "label int, words array<long>"
     counted = texts.mapInArrow(_presence(None), schema)
     flagged = (F.col("label") > 0).cast("long")
@@ -149,29 +150,26 @@ def train(
 def grade(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``doc`` (a struct of all columns), ``severity`` (expected grade, from 0 to 2), ``p_toxic`` and ``toxic``.
 
-    One map over the documents, no shuffle; the model is a bounded table. Null and wordless texts get
+    Only the texts go to Python, and three numbers come back; no shuffle; the model is a bounded table. Null and wordless texts get
     what the thresholds alone say. Repeated rows are graded alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType().add("doc", docs.schema, False).add("severity", "double").add("p_toxic", "double").add("toxic", "boolean")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         for batch in batches:
-            for part, texts in K.parts(batch, "text"):
-                words = K.Words(texts, K.ALNUM, True)
-                at, found = _find(model.words, words.hashes())
-                pairs = np.unique(np.stack([words.doc[found], at[found]]), axis=1)
-                score = np.bincount(pairs[0], model.weights[pairs[1]] if len(model.weights) else None, len(texts))
-                above = model.above(score)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc"),
-                        pa.array(np.round(above.sum(axis=1), 6)),
-                        pa.array(np.round(above[:, 0], 6)),
-                        pa.array(above[:, 0] >= threshold),
-                    ],
-                    names=["doc", "severity", "p_toxic", "toxic"],
-                )
-
-    return docs.select(F.struct("*").alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema)
+            above = [np.zeros((0, len(model.thresholds)))]
+            for at, to in K.slices(batch):
+                words = K.Words(K.Texts(batch.slice(at, to - at)), K.ALNUM, True)
+                place, found = _find(model.words, words.hashes())
+                pairs = np.unique(np.stack([words.doc[found], place[found]]), axis=1)
+                above.append(model.above(np.bincount(pairs[0], model.weights[pairs[1]] if len(model.weights) else None, to - at)))
+            above = np.concatenate(above)
+            yield pa.StructArray.from_arrays(
+                [pa.array(np.round(above.sum(axis=1), 6)), pa.array(np.round(above[:, 0], 6)), pa.array(above[:, 0] >= threshold)],
+                names=["severity", "p_toxic", "toxic"],
+            )
+
+    # declared nondeterministic so that it isn't run once more for a filter on its result
+    graded = F.arrow_udf(run, "severity double, p_toxic double, toxic boolean").asNondeterministic()
+    return docs.select(F.struct("*").alias("doc"), graded(F.col(text)).alias("_grade")).select("doc", "_grade.*")
