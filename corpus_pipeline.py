@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from opinspark.llm.common import materialize, table
-from opinspark.llm.decontamination import decontaminate
+from opinspark.llm.decontamination import clean
 from opinspark.llm.mixing import mix, take
 from opinspark.llm.ngram_join import ngram_jaccard_components, one_of_each
 from opinspark.llm.sharding import shard_by_bytes
@@ -32,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit = 0").select("doc.*")
+    return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
