@@ -12,7 +12,7 @@ from opinspark.llm.common import materialize, table
 from opinspark.llm.decontamination import clean
 from opinspark.llm.mixing import mix, take
 from opinspark.llm.ngram_join import ngram_jaccard_components, one_of_each
-from opinspark.llm.sharding import shard_by_bytes
+from opinspark.llm.sharding import sharded
 from opinspark.llm.toxicity import grade, train
 
 SHARDS = 24
@@ -41,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's shard of near-equal bytes, and its place there."""
-    return shard_by_bytes(docs, SHARDS).drop("text_hash")
+    """Every row, with its shard of near-equal bytes and its place there."""
+    return sharded(docs, SHARDS).select("doc.*", "size", "shard", "slot")
 
 
 STAGES = [
