@@ -1,7 +1,8 @@
 """The registered queries: each applies one operator to its whole table.
 
 ``QUERIES`` maps names to functions of (spark, sf_dir); ``SQL`` has DuckDB text for those
-that SQL can express. Digest columns are derived here from the operators' own results.
+that SQL can express. Digest columns are derived here from the operators' own results. Where a model or a choice of the
+method's own fills some columns, a query ``base_<name>`` gives the others, for which there is SQL.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from .ngram_join import ngram_jaccard_components
 from .secrets import KINDS, scan_secrets
 from .secrets import train as train_secrets
 from .sharding import shard_by_bytes
+from .sql import SQL  # noqa: F401
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .toxicity import grade, train
@@ -117,17 +119,38 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_licenses(spark, sf_dir).drop("labels", "score")
+
+
+def base_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_mixing(spark, sf_dir).drop("taken", "copies")
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_secrets(spark, sf_dir).drop("spans")
+
+
+def base_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_ngram_join(spark, sf_dir).drop("n_links")
+
+
 QUERIES = {
-    "op1_topk_search": op1_topk_search,
-    "op2_toxicity": op2_toxicity,
-    "op3_decontamination": op3_decontamination,
-    "op4_suffix_dedup": op4_suffix_dedup,
-    "op5_substring_dedup": op5_substring_dedup,
-    "op6_licenses": op6_licenses,
-    "op7_sharding": op7_sharding,
-    "op8_mixing": op8_mixing,
-    "op9_secrets": op9_secrets,
-    "op10_ngram_join": op10_ngram_join,
+    f.__name__: f
+    for f in (
+        op1_topk_search,
+        op2_toxicity,
+        op3_decontamination,
+        op4_suffix_dedup,
+        op5_substring_dedup,
+        op6_licenses,
+        op7_sharding,
+        op8_mixing,
+        op9_secrets,
+        op10_ngram_join,
+        base_licenses,
+        base_mixing,
+        base_secrets,
+        base_ngram_join,
+    )
 }
-
-SQL: dict[str, str] = {}
