@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver see: ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the session names none (local tests).
+    Where the session names none, a local master gets a folder of its own (tests); on a cluster that is an error, since
+    each machine would write to its own disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="opinspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -391,12 +391,16 @@ def fit(
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_lines: int = 3_000, most_chars: int = 400, seed: int = 7) -> Model:
     """Fit on at most ``most_lines`` lines of at most ``most_chars`` characters, chosen by hash, into which drawn secrets
     and look-alikes are put; what the base patterns find there counts as secret as well. The bound holds for fitting only.
+    Lines are drawn by a threshold on their hash, set from the number of all lines, so that a bounded number leaves the tasks.
     """
     count = lambda sign: F.length(text) - F.length(F.replace(F.col(text), F.lit(sign), F.lit("")))
     split = F.split(F.col(text), "\n")
     assigns = count("=") + (count(": ") / 2).cast("int")
     files = docs.select(split.alias("split"), (F.size(split) * F.lit(2**32) + assigns).alias("file"))
     lines = files.select("file", F.explode("split").alias("line")).filter(F.length("line").between(1, most_chars))
+    total = docs.agg(F.sum(F.size(split))).first()[0] or 0
+    most = min(2**63 - 1, int(min(1.0, 16 * most_lines / max(total, 1)) * 2**64) - 2**63)
+    lines = lines.filter(F.xxhash64("line") <= F.lit(most).cast("long"))
     # of the files that hold a line, one by hash
     file = F.min_by("file", F.xxhash64("line", "file"))
     rows = lines.groupBy("line").agg(F.xxhash64("line").alias("h"), file.alias("file")).orderBy("h", "line").limit(most_lines).collect()
