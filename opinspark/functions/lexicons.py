@@ -47,33 +47,26 @@ UNSAFE = (
 DATE = r"\d{1,2}\.\d{1,2}\.\d{2,4}"
 SPECIFIC = r"\d+\s*(руб|₽|месяц|недел|дн|дней|час)|достав|заказ|купил"
 
-# How readers of a category are addressed, by the first key that the category holds, in this order.
-READERS = [
-    ("клиенты", ["услуги"]),
-    ("гости", ["отель", "отели", "гостиница", "гостиницы", "хостел", "хостелы", "апартаменты", "квартира", "дом отдыха"]),
-    ("пациенты", [
-        "медицинская клиника", "клиника", "больница", "поликлиника", "стоматология", "медцентр", "медицинский центр",
-        "лечение", "терапия",
-    ]),
-    ("посетители", ["ресторан", "рестораны", "кафе", "бар", "бары", "столовая", "быстрое питание"]),
-    ("клиенты", [
-        "салон красоты", "парикмахерская", "спа", "spa", "массаж", "косметология", "маникюр", "педикюр", "автосервис", "сто",
-        "автомойка", "шиномонтаж", "аренда автомобилей",
-    ]),
-    ("учащиеся", ["школа", "курсы"]),
-    ("студенты", ["университет", "институт", "колледж"]),
-    ("учащиеся", ["репетитор"]),
-    ("покупатели", ["магазин", "супермаркет", "торговый центр", "бутик"]),
-    ("клиенты", ["банк", "банки", "страховая", "мфо"]),
-    ("пассажиры", ["такси", "авиакомпания", "автобус", "поезд"]),
-    ("туристы", ["турагенство"]),
-    ("клиенты", ["туристические агентства"]),
-    ("туристы", [
-        "туристическое агенство", "туристическая компания", "тур оператор", "туроператор", "турфирма", "туристическая фирма",
-        "путешествия", "туры", "экскурсии", "отдых",
-    ]),
-    ("зрители", ["кинотеатр", "театр", "концерт"]),
-    ("посетители", ["музей", "парк развлечений", "боулинг", "каток", "спортзал", "фитнес", "бассейн"]),
-    ("участники", ["йога"]),
-]
+# How readers of a category are addressed, by the first key that the category holds, in this order. Fixed values.
+READERS = {
+    "услуги": "клиенты", "отель": "гости", "отели": "гости", "гостиница": "гости", "гостиницы": "гости",
+    "хостел": "гости", "хостелы": "гости", "апартаменты": "гости", "квартира": "гости", "дом отдыха": "гости",
+    "медицинская клиника": "пациенты", "клиника": "пациенты", "больница": "пациенты", "поликлиника": "пациенты",
+    "стоматология": "пациенты", "медцентр": "пациенты", "медицинский центр": "пациенты", "лечение": "пациенты",
+    "терапия": "пациенты", "ресторан": "посетители", "рестораны": "посетители", "кафе": "посетители",
+    "бар": "посетители", "бары": "посетители", "столовая": "посетители", "быстрое питание": "посетители",
+    "салон красоты": "клиенты", "парикмахерская": "клиенты", "спа": "клиенты", "spa": "клиенты", "массаж": "клиенты",
+    "косметология": "клиенты", "маникюр": "клиенты", "педикюр": "клиенты", "автосервис": "клиенты", "сто": "клиенты",
+    "автомойка": "клиенты", "шиномонтаж": "клиенты", "аренда автомобилей": "клиенты", "школа": "учащиеся",
+    "курсы": "учащиеся", "университет": "студенты", "институт": "студенты", "колледж": "студенты",
+    "репетитор": "учащиеся", "магазин": "покупатели", "супермаркет": "покупатели", "торговый центр": "покупатели",
+    "бутик": "покупатели", "банк": "клиенты", "банки": "клиенты", "страховая": "клиенты", "мфо": "клиенты",
+    "такси": "пассажиры", "авиакомпания": "пассажиры", "автобус": "пассажиры", "поезд": "пассажиры",
+    "турагенство": "туристы", "туристические агентства": "клиенты", "туристическое агенство": "туристы",
+    "туристическая компания": "туристы", "тур оператор": "туристы", "туроператор": "туристы", "турфирма": "туристы",
+    "туристическая фирма": "туристы", "путешествия": "туристы", "туры": "туристы", "экскурсии": "туристы",
+    "отдых": "туристы", "кинотеатр": "зрители", "театр": "зрители", "концерт": "зрители", "музей": "посетители",
+    "парк развлечений": "посетители", "боулинг": "посетители", "каток": "посетители", "спортзал": "посетители",
+    "фитнес": "посетители", "бассейн": "посетители", "йога": "участники",
+}
 READERS_DEFAULT = "пользователи"

@@ -127,6 +127,39 @@ def good_keyphrase(c: Column) -> Column:
     )
 
 
+def has_punctuation(c: Column) -> Column:
+    """Any ASCII punctuation sign."""
+    return F.rlike(c, F.lit(r"\p{Punct}"))
+
+
+def lemmatize(c: Column, known: dict[str, str] | None = None, stop: Sequence[str] = L.STOP_WORDS) -> Column:
+    """Letters and spaces alone, each word by a table of lemmas (a plug-in; without one it's its own), stop-words dropped afterwards."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\s]", " "), r"\s+"), lambda w: w != "")
+    if known:
+        table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+        words = F.transform(words, lambda w: F.coalesce(F.element_at(table, w), w))
+    return F.array_join(F.filter(words, lambda w: ~w.isin(*stop)), " ")
+
+
+NOMINAL = ("NOUN", "PROPN", "ADJ", "NUM")
+
+
+def nominal_chunks(tagged: Column, least: int = 3) -> Column:
+    """Longest runs of nouns, names, adjectives and numerals in an array of (token, pos); runs of fewer than ``least`` characters go."""
+    kind = "struct<done:array<string>,run:array<string>>"
+    empty = F.from_json(F.lit('{"done":[],"run":[]}'), kind)
+    none = F.array().cast("array<string>")
+    closed = lambda s: F.when(F.size(s["run"]) > 0, F.concat(s["done"], F.array(F.array_join(s["run"], " ")))).otherwise(s["done"])
+
+    def step(s: Column, x: Column) -> Column:
+        nominal = x["pos"].isin(*NOMINAL)
+        done = F.when(nominal, s["done"]).otherwise(closed(s))
+        run = F.when(nominal, F.concat(s["run"], F.array(x["token"]))).otherwise(none)
+        return F.struct(done.alias("done"), run.alias("run")).cast(kind)
+
+    return F.filter(F.aggregate(tagged, empty, step, closed), lambda c: F.length(c) >= least)
+
+
 def specific_fact(c: Column) -> Column:
     return F.rlike(c, F.lit(f"(?iu){L.SPECIFIC}"))
 
@@ -158,7 +191,7 @@ def cosine(a: Column, b: Column) -> Column:
 def reader(category: Column) -> Column:
     """Who reads reviews of a category: exact key first, then the first key inside it."""
     low = strip(F.lower(category))
-    pairs = [(k, who) for who, keys in L.READERS for k in keys]
+    pairs = list(L.READERS.items())
     out = F.when(low.isNull() | (low == ""), F.lit(L.READERS_DEFAULT))
     for key, who in pairs:
         out = out.when(low == key, F.lit(who))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -174,10 +174,118 @@ def mark_status(profiles: DataFrame, keys: DataFrame, status: str, key: str = "p
 
 
 def fingerprint(reviews: DataFrame, key: str) -> DataFrame:
-    """A hash of a key's reviews that doesn't depend on their order."""
-    parts = ["review_id", "rating", "title", "comment", "plus", "minus"]
-    one = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts], F.unix_seconds("created_at").cast("string")), 256)
+    """A hash of a key's reviews that doesn't depend on their order; any changed field changes it.
+
+    Texts are hashed with their lengths, so that none can pass for two. Hashes (64 characters a review) are joined in order of the id; a key's
+    reviews are those of one profile.
+    """
+    stamp = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit(""))
+    text = lambda c: F.concat(F.octet_length(F.coalesce(c, F.lit(""))).cast("string"), F.lit(":"), F.coalesce(c, F.lit("")))
+    parts = [text(c) for c in ("title", "comment", "plus", "minus")]
+    one = F.sha2(F.concat_ws(",", F.coalesce(F.format_number("rating", 4), F.lit("")), stamp("review_date"), stamp("created_at"), *parts), 256)
     rows = reviews.filter(F.col(key).isNotNull()).select(key, "review_id", one.alias("h"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("review_id", "h"))), lambda x: x["h"])
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("review_id", "h"))), lambda x: F.concat(x["review_id"].cast("string"), F.lit(":"), x["h"]))
     joined = F.concat_ws(":", F.col(key).cast("string"), F.array_join(F.col("hashes"), ","))
     return rows.groupBy(key).agg(lines.alias("hashes")).select(key, F.sha2(joined, 256).alias("source_hash"))
+
+
+def artifacts(rows: DataFrame, summary, kind: str, limit: int = 1000) -> DataFrame:
+    """What is stored of a summary, in its kind's order: mentions by time, clusters by falling importance, evidence by rank and time."""
+    orders = {"mentions": ["created_at", "id"], "clusters": [F.desc("importance"), "name"], "evidence": ["rank", "created_at", "id"]}
+    return rows.filter(F.col("summary_id") == summary).orderBy(*orders[kind]).limit(limit)
+
+
+def products_deep(products: DataFrame, children: dict[str, tuple[DataFrame, list[str]]], by_set: str | None = None, limit: int | None = None) -> DataFrame:
+    """Products with an array of each kind of child rows (name -> rows, order), each gathered first so that nothing multiplies.
+
+    With ``by_set``, those of one benchmark set; in order of platform and title.
+    """
+    out = products.filter(F.col("set_name") == by_set) if by_set is not None else products
+    out = out.orderBy("platform", "title", "product_id")
+    out = out.limit(limit) if limit is not None else out
+    for name, (rows, order) in children.items():
+        out = with_children(out, rows, "product_id", name, order)
+    return out
+
+
+def products_of_set(products: DataFrame, by_set: str) -> DataFrame:
+    return products.filter(F.col("set_name") == by_set).orderBy("platform", "title", "product_id")
+
+
+def insert_bundle(existing: dict[str, DataFrame], bundle: dict[str, DataFrame], key: str = "product_id") -> dict[str, DataFrame]:
+    """A benchmark bundle (products first, then their children) replaces what is there of its products; repeated bundles change nothing."""
+    first = next(iter(bundle.values())).select(key).distinct()
+    return {name: existing[name].join(first, key, "left_anti").unionByName(rows) for name, rows in bundle.items()}
+
+
+def upsert_ready(profiles: DataFrame, fresh: DataFrame, key: str = "product_id") -> DataFrame:
+    """Built profiles replace those of their keys, as ready and without an error."""
+    ready = fresh.withColumn("status", F.lit("ready")).withColumn("last_error", F.lit(None).cast("string"))
+    return profiles.join(ready.select(key), key, "left_anti").unionByName(ready.select(*profiles.columns))
+
+
+def synced(products: DataFrame, reviews: DataFrame, fresh_products: DataFrame, fresh_reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Benchmark products and reviews to the main tables: products merge by id, a product's reviews are replaced as a whole.
+
+    Names are cut to 255 characters, sources to 50, descriptions to 10,000.
+    """
+    cut = {"name": 255, "source": 50, "description": 10_000}
+
+    def short(df: DataFrame) -> DataFrame:
+        return df.withColumns({c: F.left(c, F.lit(n)) for c, n in cut.items() if c in df.columns})
+
+    merged = upsert(products, short(fresh_products).select(*products.columns), "product_id")
+    return merged, sync(reviews, short(fresh_reviews).select(*reviews.columns))
+
+
+def ledger_tree(ledgers: DataFrame, aspects: DataFrame, evidence: DataFrame) -> dict[str, DataFrame]:
+    """Three levels to store, with keys made from their parents': ledgers, aspects of a ledger, evidence of an aspect.
+
+    Children of unknown parents fail.
+    """
+    aspect_id = F.concat_ws("/", "ledger_id", "name")
+    known = aspects.join(ledgers.select("ledger_id", F.lit(True).alias("_known")), "ledger_id", "left")
+    missing = F.when(F.col("_known").isNull(), F.raise_error(F.lit("an aspect of an unknown ledger"))).otherwise(aspect_id)
+    stored = known.withColumn("aspect_id", missing).drop("_known")
+    proof = evidence.withColumn("aspect_id", aspect_id).join(stored.select("aspect_id", F.lit(True).alias("_known")), "aspect_id", "left")
+    own = F.when(F.col("_known").isNull(), F.raise_error(F.lit("evidence of an unknown aspect"))).otherwise(F.concat_ws("/", "aspect_id", F.col("rank").cast("string")))
+    return {"ledgers": ledgers, "aspects": stored, "evidence": proof.withColumn("evidence_id", own).drop("_known")}
+
+
+def cached(contexts: DataFrame, asked: DataFrame, key: str = "context_id", seconds: int = 1800) -> DataFrame:
+    """A context cache: what was last put for a key, if that is less than ``seconds`` ago; else nothing comes back.
+
+    ``contexts`` (key, put_at, ...) and ``asked`` (key, asked_at, ...): only puts within the time to live meet an ask.
+    """
+    inside = (F.col("put_at") <= F.col("asked_at")) & (F.unix_micros("asked_at") - F.unix_micros("put_at") < seconds * 1_000_000)
+    rows = asked.withColumnRenamed(key, "_key").join(contexts, (F.col("_key") == F.col(key)) & inside)
+    newest = Window.partitionBy("ask_id").orderBy(F.desc("put_at"))
+    return rows.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") == 1).drop("_n", "_key")
+
+
+def clipped(label: Column, most: int = 48) -> Column:
+    """Long labels end in an ellipsis."""
+    return F.when(F.length(label) > most, F.concat(F.left(label, F.lit(most)), F.lit("…"))).otherwise(label)
+
+
+def counted_label(name: Column, n: Column) -> Column:
+    return F.format_string("%s (%d отз.)", name, n)
+
+
+def named(rows: DataFrame, names: DataFrame, on: str, name: str, default: Column) -> DataFrame:
+    """A name looked up by key, or the default."""
+    return rows.join(names.select(on, F.col(name).alias("_name")), on, "left").withColumn(name, F.coalesce("_name", default)).drop("_name")
+
+
+def filter_evidence(evidence: DataFrame, aspects: Sequence[str] = (), polarities: Sequence[str] = ()) -> DataFrame:
+    out = evidence.filter(F.col("name").isin(*aspects)) if aspects else evidence
+    return out.filter(F.col("sentiment").isin(*polarities)) if polarities else out
+
+
+def dashboard_counts(mentions: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Headline numbers of a product."""
+    own = mentions.groupBy("product_id").agg(
+        F.count("*").alias("mentions"), F.countDistinct("aspect").alias("candidates"), F.countDistinct("review_id").alias("reviews")
+    )
+    rest = clusters.groupBy("product_id").agg(F.count("*").alias("clusters"), F.count_if("rare").alias("rare_clusters"))
+    return own.join(rest, "product_id", "left")

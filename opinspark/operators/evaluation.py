@@ -42,89 +42,155 @@ def ledger_evidence(named: DataFrame, most: int = 5) -> DataFrame:
     return rows.select("product_id", "name", "rank", "review_id", "span_text", "section", "sentiment", "confidence")
 
 
-def _named_in(text: Column) -> Column:
-    return F.contains(text, F.lower("name")) | F.exists("aliases", lambda a: F.contains(text, F.lower(a)))
+TEXTS = ("text_overall", "text_neutral", "text_pros", "text_cons", "summary_text")
 
 
-def flat(summary: DataFrame) -> DataFrame:
-    """Adds ``flat``: all texts of a summary by line."""
-    return summary.withColumn("flat", F.concat_ws("\n", "text_overall", "text_pros", "text_cons", "text_neutral"))
+def with_flat(summary: DataFrame) -> DataFrame:
+    """Adds ``flat``: the texts of a summary that aren't blank, then its key phrases (an array of texts), by line."""
+    some = [F.nullif(X.strip(F.col(c)), F.lit("")) for c in TEXTS if c in summary.columns]
+    phrases = [F.filter("key_phrases", lambda p: p != "")] if "key_phrases" in summary.columns else []
+    return summary.withColumn("flat", F.concat_ws("\n", *some, *phrases))
+
+
+def ledger_arrays(ledgers: DataFrame) -> DataFrame:
+    """A product's ledger as one array, by name; a product has no more aspects than candidates."""
+    names = F.array_distinct(F.concat(F.array(F.lower("name")), F.transform("aliases", lambda a: F.lower(a))))
+    item = F.struct("name", F.filter(names, lambda n: n != "").alias("names"), "salience", "expected", F.lower("name").alias("low"), "aliases")
+    return ledgers.groupBy("product_id").agg(F.array_sort(F.collect_list(item)).alias("ledger"))
+
+
+def judged(ledgers: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Each summary beside its product's ledger (empty where there is none): what all metrics read, without one row an aspect."""
+    rows = with_flat(summaries).join(ledger_arrays(ledgers), "product_id", "left").withColumn("low", F.lower("flat"))
+    kind = "array<struct<name:string,names:array<string>,salience:double,expected:string,low:string,aliases:array<string>>>"
+    return rows.withColumn("ledger", F.coalesce("ledger", F.array().cast(kind)))
+
+
+def _keys(summaries: DataFrame) -> list[str]:
+    return [c for c in summaries.columns if c not in (*TEXTS, "key_phrases")]
+
+
+def _inside(text: Column, aspect: Column) -> Column:
+    return F.coalesce(F.exists(aspect["names"], lambda n: F.contains(text, n)), F.lit(False))
+
+
+def _share(items: Column, holds) -> Column:
+    return F.size(F.filter(items, holds)) / F.size(items)
 
 
 def coverage(ledgers: DataFrame, summaries: DataFrame) -> DataFrame:
     """Share of the ledger's aspects that a summary names, plain and by salience; 1 where there are none."""
-    texts = flat(summaries).select("product_id", F.lower("flat").alias("flat"))
-    rows = texts.join(ledgers, "product_id", "left").withColumn("hit", F.coalesce(_named_in(F.col("flat")), F.lit(False)))
-    none = F.count("name") == 0
-    return rows.groupBy("product_id").agg(
-        F.when(none, 1.0).otherwise(F.avg(F.col("hit").cast("double"))).alias("coverage"),
-        F.when(none, 1.0).otherwise(F.sum(F.when(F.col("hit"), F.col("salience")).otherwise(0.0)) / F.sum("salience")).alias("coverage_weighted"),
+    rows, none = judged(ledgers, summaries), F.size("ledger") == 0
+    hit = lambda x: _inside(F.col("low"), x)
+    total = F.aggregate("ledger", F.lit(0.0), lambda s, x: s + x["salience"])
+    found = F.aggregate("ledger", F.lit(0.0), lambda s, x: s + F.when(hit(x), x["salience"]).otherwise(0.0))
+    weighted = F.when(total > 0, found / total).otherwise(_share(F.col("ledger"), hit))
+    return rows.select(
+        *_keys(summaries), F.when(none, 1.0).otherwise(_share(F.col("ledger"), hit)).alias("coverage"), F.when(none, 1.0).otherwise(weighted).alias("coverage_weighted")
     )
 
 
-def polarity_in(names_hit_pros: Column, names_hit_cons: Column) -> Column:
-    return F.when(names_hit_pros & names_hit_cons, "mixed").when(names_hit_pros, "positive").when(names_hit_cons, "negative")
+def normalized_weights(rows: DataFrame, weight: str, *by: str) -> DataFrame:
+    """Weights to shares of their sum; all alike where it isn't above 0."""
+    own = Window.partitionBy(*by)
+    total = F.sum(weight).over(own)
+    return rows.withColumn(weight, F.when(total > 0, F.col(weight) / total).otherwise(1.0 / F.count("*").over(own)))
 
 
-def sentiment_consistency(ledgers: DataFrame, summaries: DataFrame) -> DataFrame:
+GOOD, BAD = ("хорош", "отлич", "нрав", "+"), ("плох", "ужас", "минус")
+
+
+def sentiment_consistency(ledgers: DataFrame, summaries: DataFrame, good: tuple = GOOD, bad: tuple = BAD) -> DataFrame:
     """Over named aspects: 1 for the expected polarity, 0 for its opposite, else one half; unknown ones don't count."""
-    rows = flat(summaries).join(ledgers, "product_id")
-    inside = lambda c: F.coalesce(_named_in(F.lower(c)), F.lit(False))
-    frag = F.lower(F.coalesce(F.nullif("text_overall", F.lit("")), "text_neutral"))
-    good, bad = X.any_of(frag, ("хорош", "отлич", "нрав", "+")), X.any_of(frag, ("плох", "ужас", "минус"))
-    general = F.when(inside("text_overall") | inside("text_neutral"), F.when(good & ~bad, "positive").when(bad & ~good, "negative"))
-    got = F.coalesce(polarity_in(inside("text_pros"), inside("text_cons")), general)
-    opposite = F.array_sort(F.array("got", "expected")) == F.array(F.lit("negative"), F.lit("positive"))
-    value = F.when(F.col("got") == F.col("expected"), 1.0).when(opposite, 0.0).otherwise(0.5)
-    rows = rows.withColumn("got", got).withColumn("value", F.when(F.col("got").isNotNull() & inside("flat"), value))
-    return rows.groupBy("product_id").agg(F.coalesce(F.avg("value"), F.lit(1.0)).alias("sentiment_consistency"))
+    rows = judged(ledgers, summaries)
+    low = {c: F.lower(F.coalesce(c, F.lit(""))) if c in summaries.columns else F.lit("") for c in TEXTS}
+    frag = F.when(low["text_overall"] != "", low["text_overall"]).otherwise(low["text_neutral"])
+    plus, minus = X.any_of(frag, good), X.any_of(frag, bad)
+
+    def value(x: Column) -> Column:
+        pros, cons = _inside(low["text_pros"], x), _inside(low["text_cons"], x)
+        general = F.when(plus & ~minus, "positive").when(minus & ~plus, "negative")
+        got = F.when(pros & cons, "mixed").when(pros, "positive").when(cons, "negative")
+        got = got.when(_inside(low["text_overall"], x) | _inside(low["text_neutral"], x), general)
+        opposite = got.isin("positive", "negative") & x["expected"].isin("positive", "negative")
+        worth = F.when(got == x["expected"], 1.0).when(opposite, 0.0).otherwise(0.5)
+        return F.when(got.isNotNull() & _inside(F.col("low"), x), worth)
+
+    values = F.filter(F.transform("ledger", value), lambda v: v.isNotNull())
+    mean = F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size(values)
+    return rows.select(*_keys(summaries), F.when(F.size(values) == 0, 1.0).otherwise(mean).alias("sentiment_consistency"))
 
 
 def evidence_support(summaries: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Share of a summary's claims with two words of four letters or more found in one piece of evidence."""
-    parts = flat(summaries).select("product_id", F.explode_outer(X.claims(F.col("flat"))).alias("claim"))
-    texts = evidence.groupBy("product_id").agg(F.collect_set(F.lower("span_text")).alias("texts"))
-    words = F.array_distinct(F.filter(X.tokens(F.col("claim")), lambda w: F.length(w) > 3))
-    found = F.exists("texts", lambda t: F.size(F.filter(words, lambda w: F.contains(t, w))) >= 2)
-    rows = parts.join(texts, "product_id", "left").withColumn("ok", F.coalesce(found, F.lit(False)))
-    return rows.groupBy("product_id").agg(
-        F.when(F.count("claim") == 0, 1.0).otherwise(F.avg(F.when(F.col("claim").isNotNull(), F.col("ok").cast("double")))).alias("evidence_support")
-    )
+    """Share of a summary's claims with two words of four characters or more (repeats count) in one piece of evidence, and of the others.
 
+    Words are what stands between white space. Without claims 1 and 0, without evidence 0 and 1.
+    """
+    rows = with_flat(summaries).withColumn("claims", X.claims(X.strip(F.lower("flat"))))
+    rows = rows.withColumn("claims", F.transform("claims", lambda c: F.filter(F.split(c, r"\s+"), lambda w: F.length(w) > 3)))
+    texts = evidence.filter(X.strip(F.col("span_text")) != "").groupBy("product_id").agg(F.collect_set(F.lower("span_text")).alias("texts"))
+    held = lambda words: F.exists("texts", lambda t: F.size(F.filter(words, lambda w: F.contains(t, w))) >= 2)
+    rows = rows.join(texts, "product_id", "left")
+    rate = F.when(F.size("claims") == 0, 1.0).when(F.col("texts").isNull(), 0.0).otherwise(_share(F.col("claims"), held))
+    return rows.select(*_keys(summaries), rate.alias("evidence_support")).withColumn("unsupported_rate", 1 - F.col("evidence_support"))
 
-def specificity(ledgers: DataFrame, summaries: DataFrame) -> DataFrame:
+
+def specificity(ledgers: DataFrame, summaries: DataFrame, generic: tuple = L.GENERIC_TOKENS) -> DataFrame:
     """.6 of the share of words that aren't generic and .4 of the share of aspects named (one half without aspects)."""
-    texts = flat(summaries).withColumn("low", F.lower("flat"))
+    rows = judged(ledgers, summaries)
     words = F.filter(F.split("low", r"\s+"), lambda w: F.length(w) > 2)
-    content = F.filter(words, lambda w: ~w.isin(*L.GENERIC_TOKENS))
-    texts = texts.select("product_id", "low", F.size(words).alias("words"), F.size(content).alias("content"))
-    rows = texts.join(ledgers, "product_id", "left").withColumn("hit", _named_in(F.col("low")).cast("double"))
-    rows = rows.groupBy("product_id", "words", "content").agg(F.coalesce(F.avg("hit"), F.lit(0.5)).alias("hits"))
-    value = F.when(F.col("words") == 0, 0.0).otherwise(0.6 * F.col("content") / F.col("words") + 0.4 * F.least(F.lit(1.0), "hits"))
-    return rows.select("product_id", value.alias("specificity"))
+    content = F.size(F.filter(words, lambda w: ~w.isin(*generic))) / F.size(words)
+    hits = F.when(F.size("ledger") == 0, 0.5).otherwise(_share(F.col("ledger"), lambda x: _inside(F.col("low"), x)))
+    return rows.select(*_keys(summaries), F.when(F.size(words) == 0, 0.0).otherwise(0.6 * content + 0.4 * hits).alias("specificity"))
 
 
 def aspect_balance(ledgers: DataFrame, summaries: DataFrame) -> DataFrame:
-    """1 less the Jensen-Shannon distance (base 2) of salience and mentions; counts don't overlap, each plus .001."""
-    texts = flat(summaries).select("product_id", F.lower("flat").alias("low"))
-    rows = texts.join(ledgers, "product_id")
-    names = F.concat(F.array(F.lower("name")), F.transform("aliases", lambda a: F.lower(a)))
-    count = lambda n: (F.length("low") - F.length(F.replace(F.col("low"), n, F.lit("")))) / F.length(n)
-    hits = F.aggregate(names, F.lit(0.001), lambda s, n: s + F.when(F.length(n) > 0, count(n)).otherwise(0.0))
-    own = Window.partitionBy("product_id")
-    rows = rows.withColumn("h", hits)
-    rows = rows.withColumn("p", F.col("salience") / F.sum("salience").over(own)).withColumn("q", F.col("h") / F.sum("h").over(own))
-    m = (F.col("p") + F.col("q")) / 2
-    half = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / m)).otherwise(0.0)
-    js = F.sqrt(F.greatest(F.lit(0.0), F.sum((half("p") + half("q")) / 2)))
-    return rows.groupBy("product_id").agg(F.greatest(F.lit(0.0), 1 - js).alias("aspect_balance"))
+    """1 less the Jensen-Shannon distance (base 2) of salience and mentions; counts don't overlap, each plus .001. 1 without aspects or text."""
+    rows = judged(ledgers, summaries)
+    count = lambda n: F.when(F.length(n) > 0, (F.length("low") - F.length(F.replace(F.col("low"), n, F.lit("")))) / F.length(n)).otherwise(0.0)
+    hits = lambda x: F.aggregate(F.concat(F.array(x["low"]), F.transform(x["aliases"], lambda a: F.lower(a))), F.lit(0.001), lambda s, n: s + count(n))
+    rows = rows.withColumn("h", F.transform("ledger", hits)).withColumn("w", F.transform("ledger", lambda x: x["salience"]))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    rows = rows.withColumn("ht", total("h")).withColumn("wt", total("w"))
+    half = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
+
+    def apart(w: Column, h: Column) -> Column:
+        p, q = w / F.col("wt"), h / F.col("ht")
+        m = (p + q) / 2
+        return (half(p, m) + half(q, m)) / 2
+
+    js = F.sqrt(F.greatest(F.lit(0.0), total(F.zip_with("w", "h", apart))))
+    value = F.when((F.size("ledger") == 0) | (X.strip(F.col("flat")) == ""), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - js))
+    return rows.select(*_keys(summaries), value.alias("aspect_balance"))
 
 
 def non_redundancy(summaries: DataFrame) -> DataFrame:
     """Share of claims that differ; 1 for one or none."""
-    parts = flat(summaries).select("product_id", F.transform(X.claims(F.col("flat")), lambda c: X.strip(F.lower(c))).alias("c"))
+    rows = with_flat(summaries).withColumn("c", X.claims(X.strip(F.lower(F.replace(F.col("flat"), F.lit("\n"), F.lit(" "))))))
     value = F.when(F.size("c") <= 1, 1.0).otherwise(F.size(F.array_distinct("c")) / F.size("c"))
-    return parts.select("product_id", value.alias("non_redundancy"))
+    return rows.select(*_keys(summaries), value.alias("non_redundancy"))
+
+
+def non_redundancy_by_vectors(claims: DataFrame, keys: list[str], order: str, vector: str, least: float = 0.92) -> DataFrame:
+    """The same over vectors of claims: a claim starts a cluster unless an earlier start is as near as ``least`` (cosine).
+
+    One array a summary: its claims are few.
+    """
+    rows = claims.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, vector))).alias("c"))
+    near = lambda a, b: X.cosine(a, b) >= least
+    start = F.array(F.get("c", 0)[vector])
+    starts = F.aggregate(
+        F.slice("c", 2, F.size("c")), start, lambda kept, x: F.when(F.exists(kept, lambda k: near(k, x[vector])), kept).otherwise(F.concat(kept, F.array(x[vector])))
+    )
+    return rows.select(*keys, F.when(F.size("c") <= 1, 1.0).otherwise(F.size(starts) / F.size("c")).alias("non_redundancy"))
+
+
+def supported_by_vectors(claims: DataFrame, evidence: DataFrame, keys: list[str], vector: str, least: float = 0.55) -> DataFrame:
+    """Share of claims whose nearest piece of evidence of the product is as near as ``least`` (cosine); bounds as in ``evidence_support``."""
+    texts = evidence.groupBy("product_id").agg(F.collect_list(vector).alias("_evidence"))
+    rows = claims.join(texts, "product_id", "left")
+    best = F.array_max(F.transform("_evidence", lambda e: X.cosine(F.col(vector), e)))
+    return rows.groupBy(*keys).agg(F.avg(F.coalesce(best >= least, F.lit(False)).cast("double")).alias("evidence_support"))
 
 
 def overall(metrics: DataFrame) -> DataFrame:
@@ -134,31 +200,93 @@ def overall(metrics: DataFrame) -> DataFrame:
 
 def glass_box(planned: DataFrame, summaries: DataFrame) -> DataFrame:
     """Share of planned aspects that the text names, and of claims that name a planned aspect."""
-    names = planned.groupBy("product_id").agg(F.collect_set(F.lower("name")).alias("names"))
-    rows = flat(summaries).join(names, "product_id").withColumn("low", F.lower("flat")).withColumn("claims", X.claims(F.lower("flat")))
+    names = planned.groupBy("product_id").agg(F.array_sort(F.collect_set(F.lower("name"))).alias("names"))
+    rows = with_flat(summaries).join(names, "product_id").withColumn("low", F.lower("flat")).withColumn("claims", X.claims(X.strip(F.lower("flat"))))
     shown = F.size(F.filter("names", lambda n: F.contains(F.col("low"), n)))
     hit = F.size(F.filter("claims", lambda c: F.exists("names", lambda n: F.contains(c, n))))
     return rows.select(
-        "product_id", (shown / F.greatest(F.size("names"), F.lit(1))).alias("plan_reflected"), (hit / F.greatest(F.size("claims"), F.lit(1))).alias("claims_planned")
+        *_keys(summaries), (shown / F.greatest(F.size("names"), F.lit(1))).alias("plan_reflected"), (hit / F.greatest(F.size("claims"), F.lit(1))).alias("claims_planned")
     )
 
 
 def all_metrics(ledgers: DataFrame, summaries: DataFrame, evidence: DataFrame) -> DataFrame:
-    out = coverage(ledgers, summaries)
+    """All of a summary's metrics; its key columns (all but the texts) must tell summaries apart."""
+    keys, out = _keys(summaries), coverage(ledgers, summaries)
     for part in (
         sentiment_consistency(ledgers, summaries), evidence_support(summaries, evidence), specificity(ledgers, summaries),
         aspect_balance(ledgers, summaries), non_redundancy(summaries),
     ):
-        out = out.join(part, "product_id", "left")
+        out = out.join(part, keys, "left")
     return overall(out)
 
 
 def long_form(metrics: DataFrame, system: str) -> DataFrame:
-    names = [c for c in metrics.columns if c != "product_id"]
-    return metrics.unpivot(["product_id"], names, "metric", "value").withColumn("system", F.lit(system))
+    names = [c for c, kind in metrics.dtypes if kind == "double"]
+    keys = [c for c in metrics.columns if c not in names]
+    return metrics.unpivot(keys, names, "metric", "value").withColumn("system", F.lit(system))
 
 
 def system_means(rows: DataFrame) -> DataFrame:
     """Means by system and metric; what isn't a number doesn't count."""
     value = F.try_cast(F.col("value"), "double") if hasattr(F, "try_cast") else F.col("value").try_cast("double")
     return rows.withColumn("value", value).filter("value is not null").groupBy("system", "metric").agg(F.avg("value").alias("mean"))
+
+
+def functional_comparison(rows: DataFrame) -> DataFrame:
+    """How many of its functions (all columns but the first) each system has; ``yes`` marks one."""
+    name, *marks = rows.columns
+    return rows.select(name, sum((F.col(m) == "yes").cast("int") for m in marks).cast("long").alias("functions"))
+
+
+def metric_chart(rows: DataFrame) -> DataFrame:
+    """The frame of a bar chart: a row a metric, a column a system, by metric."""
+    means = system_means(rows)
+    systems = sorted(r.system for r in means.select("system").distinct().collect())  # a handful
+    return means.groupBy("metric").pivot("system", systems).agg(F.first("mean"))
+
+
+def judge_lines(ledgers: DataFrame, evidence: DataFrame, most: int = 2) -> DataFrame:
+    """A line an aspect for a judge: name, expected polarity, salience, some evidence."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "span_text"))), lambda x: x["span_text"])
+    proof = evidence.groupBy("product_id", "name").agg(F.array_join(F.slice(texts, 1, most), " | ").alias("proof"))
+    rows = ledgers.join(proof, ["product_id", "name"], "left")
+    line = F.format_string("- %s (expected %s, salience %.3f): %s", "name", "expected", "salience", F.coalesce("proof", F.lit("")))
+    return rows.select("product_id", "name", line.alias("line"))
+
+
+def pseudo_reference(evidence: DataFrame, most: int = 50) -> DataFrame:
+    """A product's reference text: its first pieces of evidence, by aspect and rank."""
+    order = Window.partitionBy("product_id").orderBy("name", "rank")
+    rows = evidence.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("_n", "span_text"))), lambda x: x["span_text"])
+    return rows.groupBy("product_id").agg(F.array_join(texts, "\n").alias("reference"))
+
+
+def pairwise_winner(votes: DataFrame) -> DataFrame:
+    """Answers A, B or tie of two rounds (ours is A in the first, B in the second) to a winner: ours, external or tie.
+
+    A side wins with more votes than the other; null answers don't vote, and without any vote there is no winner.
+    """
+    def side(answer: str, ours: str) -> Column:
+        low = F.upper(F.trim(answer))
+        return F.when(low == "TIE", "tie").when(low == ours, "ours").when(low.isin("A", "B"), "external")
+
+    rows = votes.withColumn("first_winner", side("first", "A")).withColumn("second_winner", side("second", "B"))
+    count = lambda who: F.coalesce((F.col("first_winner") == who).cast("int"), F.lit(0)) + F.coalesce((F.col("second_winner") == who).cast("int"), F.lit(0))
+    ours, external = count("ours"), count("external")
+    some = F.col("first_winner").isNotNull() | F.col("second_winner").isNotNull()
+    return rows.withColumn("winner", F.when(some, F.when(ours > external, "ours").when(external > ours, "external").otherwise("tie")))
+
+
+def null_metrics(summaries: DataFrame, names: tuple = ("bertscore_p", "bertscore_r", "bertscore_f1")) -> DataFrame:
+    """Metrics whose model isn't there: null, as where computing them fails."""
+    return summaries.select(*_keys(summaries), *[F.lit(None).cast("double").alias(n) for n in names])
+
+
+def latest_trees(ledgers: DataFrame, items: DataFrame, key: str = "ledger_id", by: str = "product_id", created: str = "created_at") -> DataFrame:
+    """The newest ledger of each product with its items as one array."""
+    newest = Window.partitionBy(by).orderBy(F.desc_nulls_last(created), F.desc(key))
+    rows = ledgers.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") == 1).drop("_n")
+    rest = [c for c in items.columns if c != key]
+    gathered = items.join(rows.select(key), key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("items"))
+    return rows.join(gathered, key, "left")

@@ -22,7 +22,7 @@ def lcs(a, b) -> int:
 
 def ratio(a: str, b: str) -> float:
     """Similarity from 0 to 100 by insertions and deletions."""
-    return 100.0 if not a and not b else 200.0 * lcs(a, b) / (len(a) + len(b))
+    return 100.0 if not a and not b else 200.0 * common(a, b) / (len(a) + len(b))
 
 
 def partial_ratio(a: str, b: str) -> float:
@@ -191,12 +191,17 @@ def rouge_l(pairs: DataFrame, words_a: str, words_b: str) -> DataFrame:
     return pairs.mapInPandas(run, schema)
 
 
+def _dice(seed: int):
+    """A seeded order of reviews."""
+    return F.md5(F.concat_ws(":", F.col("review_id").cast("string"), F.lit(str(seed))))
+
+
 def stratified(reviews: DataFrame, size: int = 50, seed: int = 0) -> DataFrame:
     """A product's sample over rating bands: in proportion, one at least of a band that has any, topped up from the rest."""
     r = F.col("rating")
     band = F.when(r.isNull(), "none").when(r <= 2, "low").when(r < 4, "middle").otherwise("high")
     own, whole = Window.partitionBy("product_id", "band"), Window.partitionBy("product_id")
-    dice = F.xxhash64("review_id", F.lit(seed))
+    dice = _dice(seed)
     rows = reviews.withColumn("band", band).withColumn("_in_band", F.row_number().over(own.orderBy(dice, "review_id")))
     share = F.count("*").over(own) / F.count("*").over(whole)
     rows = rows.withColumn("quota", F.greatest(F.lit(1), F.round(share * size)).cast("long"))
@@ -209,5 +214,5 @@ def representative(reviews: DataFrame, count: int = 10, pool: int = 20, seed: in
     """``count`` of a product's ``pool`` longest reviews, by a seeded hash."""
     own = Window.partitionBy("product_id")
     rows = reviews.withColumn("_n", F.row_number().over(own.orderBy(F.desc(F.length("comment")), "review_id"))).filter(F.col("_n") <= pool)
-    rows = rows.withColumn("_m", F.row_number().over(own.orderBy(F.xxhash64("review_id", F.lit(seed)), "review_id")))
+    rows = rows.withColumn("_m", F.row_number().over(own.orderBy(_dice(seed), "review_id")))
     return rows.filter(F.col("_m") <= count).drop("_n", "_m")

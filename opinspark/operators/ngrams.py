@@ -12,14 +12,13 @@ from ..functions import text as X
 
 
 def segments(spans: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Spans with tokens and the weak sentiment of their field; ``seq`` orders them within a product."""
+    """Spans with tokens and the weak sentiment of their field; ``seq`` (review, place) orders them without a sort of a whole product."""
     rows = spans.join(reviews.select("review_id", "rating", "user_id"), "review_id")
-    order = Window.partitionBy("product_id").orderBy("review_id", "span_index")
     return rows.select(
         "product_id", "user_id", "review_id", "span_index", F.col("section").alias("field"), F.col("span_text").alias("text"), "rating",
         X.surface_tokens(F.col("span_text")).alias("tokens"),
         X.weak_sentiment(F.col("section"), F.col("rating")).alias("weak"),
-        F.row_number().over(order).alias("seq"),
+        F.struct("review_id", "span_index").alias("seq"),
     )
 
 
@@ -42,18 +41,22 @@ def bigrams_and_trigrams(texts: DataFrame, key: str, column: str, top: int = 80,
 def keyphrases(segs: DataFrame, most: int = 400, stop: Sequence[str] = L.KEYPHRASE_STOP) -> DataFrame:
     """1- to 3-grams that come twice or more, hold no stop-word and pass the keyphrase filter; score min(1, n / 10)."""
     grams = F.concat(*[X.ngrams(F.col("tokens"), n) for n in (1, 2, 3)])
-    rows = segs.select("product_id", "seq", F.explode(grams).alias("phrase"))
+    rows = segs.select("product_id", "seq", "field", "weak", F.explode(grams).alias("phrase"))
     rows = rows.filter(~F.exists(F.split("phrase", " "), lambda w: w.isin(*stop)))
-    counted = rows.groupBy("product_id", "phrase").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).filter("n >= 2")
+    counted = rows.groupBy("product_id", "phrase").agg(
+        F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.min_by("field", "seq").alias("field"), F.min_by("weak", "seq").alias("weak")
+    ).filter("n >= 2")
     counted = counted.filter(X.good_keyphrase(F.col("phrase"))).withColumn("score", F.least(F.lit(1.0), F.col("n") / 10))
     order = Window.partitionBy("product_id").orderBy(F.desc("score"), "first_seq", "phrase")
     return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
 def phrase_bank(segs: DataFrame) -> DataFrame:
-    """Surface 2- and 3-grams that come twice or more, with their last field and sentiment and mean rating; no specific facts. All of them."""
+    """Surface 2- and 3-grams of four characters or more that come twice or more, with their last field and sentiment and mean rating;
+    no specific facts. All of them.
+    """
     grams = F.concat(*[X.ngrams(F.col("tokens"), n) for n in (2, 3)])
-    rows = segs.select("product_id", "seq", "field", "weak", "rating", F.posexplode(grams).alias("pos", "phrase"))
+    rows = segs.select("product_id", "seq", "field", "weak", "rating", F.posexplode(grams).alias("pos", "phrase")).filter(F.length("phrase") >= 4)
     last = F.struct("seq", "pos")
     counted = rows.groupBy("product_id", "phrase").agg(
         F.count("*").alias("n"),
@@ -65,26 +68,95 @@ def phrase_bank(segs: DataFrame) -> DataFrame:
     return counted.filter(fine).withColumn("quality", F.least(F.lit(1.0), 0.3 + F.col("n") / 20))
 
 
+def whole_bank(bank: DataFrame, keys: DataFrame | None = None, aspects: DataFrame | None = None, most: int = 120) -> DataFrame:
+    """A bank with the best keyphrases (quality: their score) and the aspects' representative phrases (.55) in it, and each phrase's aspect.
+
+    ``keys`` as ``keyphrases`` gives them, ``aspects`` as ``discover_aspects`` does. A text that comes from several sources stands once,
+    with its best quality.
+    """
+    names = ["product_id", "phrase", "n", "field", "weak", "rating_avg", "quality"]
+    out, none = bank.select(*names), F.lit(None).cast("double")
+    fresh = lambda rows, text, weak, field, quality: rows.select(
+        "product_id", text.alias("phrase"), F.lit(1).cast("long").alias("n"), field.alias("field"), weak.alias("weak"), none.alias("rating_avg"), quality.alias("quality")
+    )
+    if keys is not None:
+        out = out.unionByName(fresh(keys.filter(F.col("rank") <= most), F.col("phrase"), F.col("weak"), F.col("field"), F.col("score")))
+    if aspects is not None:
+        shown = aspects.select("product_id", F.explode(F.slice("representative", 1, 10)).alias("phrase"))
+        out = out.unionByName(fresh(shown, F.col("phrase"), F.lit("neutral"), F.lit("comment"), F.lit(0.55)))
+    out = out.filter((F.length("phrase") <= 120) & ~X.specific_fact(F.col("phrase")))
+    best = F.max_by(F.struct(*names[2:]), F.struct("quality", "n"))
+    out = out.groupBy("product_id", "phrase").agg(best.alias("b")).select("product_id", "phrase", "b.*")
+    return out if aspects is None else with_aspect(out, aspects)
+
+
+def with_aspect(phrases: DataFrame, aspects: DataFrame) -> DataFrame:
+    """Phrases with the aspect that has them as a keyword; the last one, where several do."""
+    keyword = aspects.select("product_id", "ord", "aspect_id", F.posexplode("keywords").alias("_pos", "_key"))
+    keyword = keyword.groupBy("product_id", X.collapse(F.col("_key")).alias("_key")).agg(F.max_by("aspect_id", F.struct("ord", "_pos")).alias("aspect_id"))
+    return phrases.withColumn("_key", X.collapse(F.col("phrase"))).join(keyword, ["product_id", "_key"], "left").drop("_key")
+
+
+def keyphrase_union(parts: list[DataFrame]) -> DataFrame:
+    """Keyphrases (product_id, phrase, score, ...) of several sources: the first source of equal texts wins."""
+    union = None
+    for place, part in enumerate(parts):
+        part = part.withColumn("source_ord", F.lit(place))
+        union = part if union is None else union.unionByName(part)
+    first = Window.partitionBy("product_id", "_key").orderBy("source_ord", F.desc("score"), "phrase")
+    rows = union.withColumn("_key", X.collapse(F.col("phrase"))).withColumn("_n", F.row_number().over(first))
+    return rows.filter(F.col("_n") == 1).drop("_n", "_key")
+
+
+def discover_aspects(keys: DataFrame, clusters: DataFrame, bank: DataFrame, most: int = 20, phrases: int = 10) -> DataFrame:
+    """product_id, ord, aspect_id, label, keywords, representative, positive, negative: clusters of keyphrases as aspects.
+
+    ``clusters`` (product_id, label, name) groups the keyphrases' texts; the largest ``most`` of a product stay, by their keyphrases' count.
+    Representative phrases are the bank's best that hold a keyword of the aspect.
+    """
+    rows = keys.join(clusters.withColumnRenamed("label", "phrase"), ["product_id", "phrase"])
+    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "phrase")))
+    per = rows.groupBy("product_id", "name").agg(F.sum("n").alias("weight"), F.transform(order, lambda x: x["phrase"]).alias("keywords"))
+    by_weight = Window.partitionBy("product_id").orderBy(F.desc("weight"), "name")
+    per = per.withColumn("ord", F.row_number().over(by_weight)).filter(F.col("ord") <= most)
+    per = per.select("product_id", "ord", F.concat_ws("-", F.lit("aspect"), F.col("ord").cast("string")).alias("aspect_id"), F.col("name").alias("label"), "keywords")
+    # a product's aspects and their keywords are few; they meet its phrases as one array
+    words = per.groupBy("product_id").agg(F.collect_list(F.struct("ord", "keywords")).alias("_aspects"))
+    held = F.filter("_aspects", lambda a: F.exists(F.slice(a["keywords"], 1, 20), lambda k: F.contains(F.col("phrase"), k)))
+    hits = bank.select("product_id", "phrase", "quality", "weak").join(words, "product_id").select("product_id", "phrase", "quality", "weak", F.explode(held)["ord"].alias("ord"))
+    best = lambda kind: F.transform(
+        F.array_sort(F.collect_list(F.when(F.col(f"_{kind}") <= phrases, F.struct((-F.col("quality")).alias("k"), "phrase")))), lambda x: x["phrase"]
+    ).alias(kind)
+    for kind, condition in (("representative", F.lit(True)), ("positive", F.col("weak") == "positive"), ("negative", F.col("weak") == "negative")):
+        place = F.row_number().over(Window.partitionBy("product_id", "ord", condition).orderBy(F.desc("quality"), "phrase"))
+        hits = hits.withColumn(f"_{kind}", F.when(condition, place))
+    lists = hits.filter(F.least("_representative", "_positive", "_negative") <= phrases).groupBy("product_id", "ord").agg(*[best(k) for k in ("representative", "positive", "negative")])
+    return per.join(lists, ["product_id", "ord"], "left").withColumns(
+        {k: F.coalesce(k, F.array().cast("array<string>")) for k in ("representative", "positive", "negative")}
+    )
+
+
 def stored_phrases(bank: DataFrame, most: int = 2000) -> DataFrame:
     """The part of a bank that a profile keeps."""
     order = Window.partitionBy("product_id").orderBy(F.desc("quality"), F.desc("n"), "phrase")
     return bank.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
-def continuations(segs: DataFrame, following: int = 1, most: int = 30) -> DataFrame:
+def continuations(segs: DataFrame, following: int = 1, most: int = 30, column: str = "tokens", keywords: DataFrame | None = None) -> DataFrame:
     """What follows each context of one to four tokens: first-seen order, at most 30 a context.
 
-    Score .55 for a single sighting, else min(1, .5 + n / 15).
+    Score .55 for a single sighting, else min(1, .5 + n / 15). ``column`` holds surface tokens (one follows) or lemmas (``following`` 2).
+    With ``keywords`` (product_id, aspect_id, ord, keyword) the aspect of the first keyword that context and next hold together.
     """
-    size = F.size("tokens")
+    size = F.size(column)
     contexts = F.flatten(
         F.transform(
             F.sequence(F.lit(1), size - 1),
             lambda i: F.transform(
                 F.sequence(F.lit(1), F.least(F.lit(4), i)),
                 lambda w: F.struct(
-                    F.array_join(F.slice("tokens", i - w + 1, w), " ").alias("context"),
-                    F.array_join(F.slice("tokens", i + 1, F.lit(following)), " ").alias("next"),
+                    F.array_join(F.slice(column, i - w + 1, w), " ").alias("context"),
+                    F.array_join(F.slice(column, i + 1, F.lit(following)), " ").alias("next"),
                     i.alias("i"),
                 ),
             ),
@@ -98,7 +170,19 @@ def continuations(segs: DataFrame, following: int = 1, most: int = 30) -> DataFr
     order = Window.partitionBy("product_id", "context").orderBy("first", "next")
     ranked = counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     score = F.when(F.col("n") == 1, 0.55).otherwise(F.least(F.lit(1.0), 0.5 + F.col("n") / 15))
-    return ranked.select("product_id", "context", "rank", "next", "n", score.alias("score"), "weak")
+    out = ranked.select("product_id", "context", "rank", "next", "n", score.alias("score"), "weak")
+    if keywords is None:
+        return out
+    return first_aspect(out.withColumn("phrase", F.concat_ws(" ", "context", "next")), keywords).drop("phrase")
+
+
+def lemmas(tokens, known: dict[str, str] | None = None, least: int = 3):
+    """Tokens of ``least`` characters or more by a table of lemmas (a plug-in; without one each token is its own)."""
+    long = F.filter(tokens, lambda w: F.length(w) >= least)
+    if not known:
+        return long
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.transform(long, lambda w: F.coalesce(F.element_at(table, w), w))
 
 
 def prefix_index(phrases: DataFrame, most: int = 20) -> DataFrame:
@@ -107,7 +191,7 @@ def prefix_index(phrases: DataFrame, most: int = 20) -> DataFrame:
     A phrase comes once a product, so distinct entries of a phrase are distinct rows and the cut can begin before the shuffle.
     """
     entries = F.array_distinct(F.concat(F.array("phrase"), F.filter(F.split("phrase", " "), lambda w: F.length(w) >= 3)))
-    rows = phrases.select("product_id", "phrase", "quality", "weak", F.explode(entries).alias("insert_text"))
+    rows = phrases.filter(F.length("phrase") >= 2).select("product_id", "phrase", "quality", "weak", F.explode(entries).alias("insert_text"))
     prefixes = F.transform(F.sequence(F.lit(2), F.least(F.lit(40), F.length("insert_text"))), lambda n: F.left("insert_text", n))
     rows = rows.filter(F.length("insert_text") >= 2).select("*", F.explode(prefixes).alias("prefix"))
     order = Window.partitionBy("product_id", "prefix").orderBy(F.desc("quality"), "phrase", "insert_text")
@@ -116,16 +200,17 @@ def prefix_index(phrases: DataFrame, most: int = 20) -> DataFrame:
 
 
 def user_style(segs: DataFrame, top: int = 15) -> DataFrame:
-    """How a user writes: openers, connectors, mean length, how often an exclamation mark."""
-    rows = segs.filter(F.col("user_id").isNotNull() & (F.size("tokens") > 0))
+    """How a user writes: openers, connectors (second and third token), mean length, how often an exclamation mark, flags."""
+    rows = segs.filter(F.col("user_id").isNotNull())
     base = rows.groupBy("user_id").agg(
         F.count("*").alias("segments"),
         F.avg(F.size("tokens")).alias("mean_tokens"),
         F.avg(F.contains(F.col("text"), F.lit("!")).cast("double")).alias("exclamation_rate"),
     )
+    base = base.withColumn("short_practical", F.when(F.col("mean_tokens") < 8, 1.0).otherwise(0.3))
     kinds = F.array(
         F.struct(F.lit("opener").alias("kind"), F.get("tokens", 0).alias("token")),
-        *[F.struct(F.lit("connector").alias("kind"), F.when(F.size("tokens") > 2, F.get("tokens", i)).alias("token")) for i in (1, 2)],
+        F.struct(F.lit("connector").alias("kind"), F.when(F.size("tokens") > 2, F.array_join(F.slice("tokens", 2, 2), " ")).alias("token")),
     )
     words = rows.select("user_id", F.explode(kinds).alias("k")).filter("k.token is not null")
     counted = words.groupBy("user_id", "k.kind", "k.token").agg(F.count("*").alias("n"))
@@ -137,6 +222,11 @@ def user_style(segs: DataFrame, top: int = 15) -> DataFrame:
     return base.join(lists, "user_id", "left")
 
 
+def user_phrases(keys: DataFrame, most: int = 40) -> DataFrame:
+    """A user's common phrases by place, from keyphrases of the user's own segments (``keyphrases`` with the user as the product)."""
+    return keys.filter(F.col("rank") <= most).select(F.col("product_id").alias("user_id"), F.col("rank").alias("place"), X.collapse(F.col("phrase")).alias("phrase"))
+
+
 def first_aspect(phrases: DataFrame, keywords: DataFrame) -> DataFrame:
     """Each phrase with the first aspect (by ``ord``) one of whose keywords it holds; null without."""
     key = F.struct("ord", "keyword", "aspect_id")

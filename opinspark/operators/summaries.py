@@ -98,17 +98,27 @@ def llm(reviews: DataFrame, model: Model = echo_model, top: int = 80, stop=L.STO
     return asked.select("product_id", "answer", answer_json(F.col("answer"), "positive string, negative string, general string").alias("texts"))
 
 
-def aspect_phrases(reviews: DataFrame, keywords: DataFrame, per_aspect: int = 5, most_keywords: int = 10_000) -> DataFrame:
-    """Sentences by given aspects (aspect, ord, keyword): the most common phrases of each aspect and sentiment."""
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("plus", "minus", "comment", "title")])
+def sentence_sentiments(reviews: DataFrame) -> DataFrame:
+    """Sentences of pluses, minuses, comments and titles, in this order: pluses positive, minuses negative, others by rating."""
+    fields = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(f).alias("field"), F.col(f).alias("text")) for i, f in enumerate(("plus", "minus", "comment", "title"))])
     rows = reviews.select("product_id", "review_id", "rating", F.explode(fields).alias("f")).filter("f.text is not null")
     mood = F.when(F.col("f.field") == "plus", "positive").when(F.col("f.field") == "minus", "negative")
     mood = mood.when(F.col("rating") >= 4, "positive").when(F.col("rating") <= 2, "negative").otherwise("neutral")
-    rows = rows.select("product_id", "review_id", mood.alias("sentiment"), F.explode(X.sentences(F.lower("f.text"))).alias("phrase"))
-    if (size := keywords.count()) > most_keywords:
-        raise ValueError(f"{size} keywords; at most {most_keywords} can be matched by substring")
-    hit = rows.join(F.broadcast(keywords), F.contains(F.col("phrase"), F.col("keyword")))
-    counted = hit.groupBy("product_id", "aspect", "ord", "sentiment", "phrase").agg(F.countDistinct("review_id").alias("reviews"))
+    return rows.select("product_id", "review_id", F.col("f.place").alias("place"), mood.alias("sentiment"), F.posexplode(X.sentences(F.col("f.text"))).alias("pos", "sentence"))
+
+
+def aspect_phrases(reviews: DataFrame, keywords: DataFrame, per_aspect: int = 5) -> DataFrame:
+    """Sentences by given aspects (aspect, ord, keyword): the most common phrases of each aspect and sentiment; the first aspect keeps a shared one.
+
+    Aspects are given by hand or a model for all products: a table that travels as one array, so that sentences are never multiplied by keywords.
+    """
+    rows = sentence_sentiments(reviews).select("product_id", "review_id", "sentiment", F.lower("sentence").alias("phrase"))
+    lists = keywords.groupBy("aspect", "ord").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
+    whole = lists.agg(F.array_sort(F.collect_list(F.struct("ord", "aspect", "keywords"))).alias("_aspects"))
+    held = F.filter("_aspects", lambda a: F.exists(a["keywords"], lambda k: F.contains(F.col("phrase"), k)))
+    hit = rows.join(F.broadcast(whole)).select("product_id", "review_id", "sentiment", "phrase", F.explode(held).alias("a"))  # one row
+    counted = hit.groupBy("product_id", F.col("a.aspect").alias("aspect"), F.col("a.ord").alias("ord"), "sentiment", "phrase")
+    counted = counted.agg(F.countDistinct("review_id").alias("reviews"))
     order = Window.partitionBy("product_id", "aspect", "sentiment").orderBy(F.desc("reviews"), "phrase")
     top = counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_aspect)
     first = Window.partitionBy("product_id", "phrase", "sentiment").orderBy("ord")

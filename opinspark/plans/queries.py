@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
 from ..functions import text as X
 from ..operators import aspects as A
 from ..operators import catalogue as C
 from ..operators import evaluation as E
 from ..operators import folds
 from ..operators import ngrams as N
-from ..operators import suggest as S
 from ..operators import summaries as M
 from ..sources.adapter import REVIEWS_SQL, reviews, table
 from ..streaming import jobs as J
@@ -56,7 +56,8 @@ SPANS_SQL = f"""{SECTIONS_SQL}, pieces AS (
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY section_pos, pos) - 1 AS span_index
   FROM (SELECT review_id, product_id, section, section_pos, pos, {STRIP.format("piece")} AS span_text FROM pieces) WHERE length(span_text) >= 3),
-spans AS (SELECT review_id, product_id, section, span_index, span_text, lower(span_text) AS normalized FROM numbered WHERE span_index < 30)"""
+all_spans AS (SELECT review_id, product_id, section, span_index, span_text, lower(span_text) AS normalized FROM numbered),
+spans AS (SELECT * FROM all_spans WHERE span_index < 30)"""
 GRAMS = """SELECT product_id, review_id, span_index, list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(list_slice(w, i, i + {n} - 1), ' ')) AS g FROM words"""
 MENTIONS_SQL = f"""{SPANS_SQL},
 words AS (SELECT product_id, review_id, span_index, regexp_extract_all(normalized, '[\\p{{L}}\\p{{N}}_]+') AS w FROM spans),
@@ -72,7 +73,7 @@ moods AS (SELECT *, {_hits(POSITIVE)} AS p, {_hits(NEGATIVE)} AS q FROM held WHE
 mentions AS (SELECT product_id, review_id, section, span_index, span_text, aspect,
   CASE WHEN p > 0 AND q > 0 THEN 'mixed' WHEN p > 0 THEN 'positive' WHEN q > 0 THEN 'negative' ELSE 'neutral' END AS sentiment,
   CASE WHEN p > 0 AND q > 0 THEN 0.0::DOUBLE WHEN p > 0 THEN least(1.0::DOUBLE, 0.5::DOUBLE + 0.1::DOUBLE * p)
-    WHEN q > 0 THEN greatest(-1.0::DOUBLE, -0.5::DOUBLE - 0.1::DOUBLE * q) ELSE 0.0::DOUBLE END AS score FROM moods)"""
+    WHEN q > 0 THEN greatest(-1.0::DOUBLE, -0.5::DOUBLE - 0.1::DOUBLE * q) ELSE 0.0::DOUBLE END AS score, CASE WHEN p > 0 OR q > 0 THEN 0.75::DOUBLE ELSE 0.55::DOUBLE END AS confidence FROM moods)"""
 STATS_SQL = f"""{MENTIONS_SQL},
 totals AS (SELECT product_id, count(*) AS m FROM reviews GROUP BY 1),
 counts AS (SELECT product_id, aspect AS name, count(*) AS total, count(*) FILTER (sentiment = 'positive') AS positive,
@@ -203,23 +204,26 @@ def weak_sentiment(spark, d):
     return rows.select("review_id", X.weak_sentiment(F.col("section"), F.col("rating")).alias("weak"), "section")
 
 
-USEFUL_SQL = f"""{WITH_REVIEWS}, judged AS (SELECT review_id, product_id,
-  CAST(len(list_filter(regexp_split_to_array(comment, '\\s+'), lambda x: x <> '')) >= 10 AS INT)
-  + CAST(len(list_filter(list_transform(regexp_split_to_array(comment, '[.!?]+'), lambda x: {STRIP.format("x")}), lambda x: x <> '')) >= 2 AS INT)
-  + CAST(length(comment) - length(replace(comment, ',', '')) >= 2 AS INT) + CAST(regexp_matches(comment, '[0-9]') AS INT) >= 3 AS useful FROM reviews)"""
+FULL_TEXT_SQL = "concat_ws(chr(10), nullif(title, ''), nullif(comment, ''), 'Плюсы: ' || nullif(plus, ''), 'Минусы: ' || nullif(minus, ''))"
+USEFUL_SQL = f"""{WITH_REVIEWS}, judged AS (SELECT review_id, product_id, t,
+  CAST(len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) >= 10 AS INT)
+  + CAST(len(list_filter(list_transform(regexp_split_to_array(t, '[.!?]+'), lambda x: {STRIP.format("x")}), lambda x: x <> '')) >= 2 AS INT)
+  + CAST(len(list_filter({list(L.DETAIL)}, lambda w: contains(lower(t), w))) > 0 AS INT)
+  + CAST(length(t) - length(replace(t, ',', '')) >= 2 AS INT) + CAST(regexp_matches(t, '[0-9]') AS INT) >= 3 AS useful FROM (SELECT *, {FULL_TEXT_SQL} AS t FROM reviews) WHERE t <> ''),
+useful AS (SELECT * FROM (SELECT *, bool_or(useful) OVER (PARTITION BY product_id) AS any_useful FROM judged) WHERE useful OR NOT any_useful)"""
 
 
-@query(f"{USEFUL_SQL} SELECT * FROM judged")
+@query(f"{USEFUL_SQL} SELECT review_id, product_id, useful, md5(t) AS text FROM useful")
 def useful_reviews(spark, d):
-    return reviews(spark, d).select("review_id", "product_id", X.useful(F.col("comment")).alias("useful"))
+    return M.useful_reviews(reviews(spark, d)).select("review_id", "product_id", "useful", F.md5("full_text").alias("text"))
 
 
-@query(f"""{SPANS_SQL}, words AS (SELECT product_id, review_id, span_index, list_filter(regexp_extract_all(normalized, '[\\p{{L}}\\p{{N}}_]+'), lambda x: x NOT IN {STOP}) AS w FROM spans),
+@query(f"""{SPANS_SQL}, words AS (SELECT product_id, review_id, span_index, list_filter(regexp_extract_all(normalized, '[\\p{{L}}\\p{{N}}_]+'), lambda x: x NOT IN {STOP}) AS w FROM all_spans),
 g AS (SELECT product_id, unnest(g) AS phrase, 2 AS size FROM ({GRAMS.format(n=2)}) UNION ALL SELECT product_id, unnest(g), 3 FROM ({GRAMS.format(n=3)}))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id, size ORDER BY n DESC, phrase) AS rank
   FROM (SELECT product_id, phrase, size, count(*) AS n FROM g GROUP BY 1, 2, 3)) WHERE rank <= 40""")
 def bigram_trigram_top(spark, d):
-    return N.bigrams_and_trigrams(_spans(spark, d), "product_id", "span_text", 80, STOP)
+    return N.bigrams_and_trigrams(A.pieces(A.sections(reviews(spark, d))), "product_id", "span_text", 80, STOP)
 
 
 @query(f"{MENTIONS_SQL} SELECT product_id, candidate, n FROM cands")
@@ -229,7 +233,7 @@ def candidate_freq(spark, d):
 
 @query(f"{MENTIONS_SQL} SELECT * FROM mentions")
 def mentions(spark, d):
-    return _mentions(spark, d).drop("name", "confidence")
+    return _mentions(spark, d).drop("name")
 
 
 @query(f"{STATS_SQL} SELECT product_id, name, total, positive, negative, neutral, mixed, review_count FROM scored")
@@ -247,10 +251,10 @@ def content_plan(spark, d):
     return _planned(spark, d).select("product_id", "rank", "name", "target")
 
 
-@query(f"{PLAN_SQL} SELECT s.product_id, aspects, selected, rare_selected, aspects - selected AS dropped FROM (SELECT product_id, count(*) AS aspects FROM scored GROUP BY 1) s JOIN (SELECT product_id, count(*) AS selected, count(*) FILTER (rare) AS rare_selected FROM planned GROUP BY 1) p USING (product_id)")
+@query(f"{PLAN_SQL} SELECT s.product_id, aspects, selected, rare_selected, round(mean, 9) AS mean_importance, aspects - selected AS dropped FROM (SELECT product_id, count(*) AS aspects FROM scored GROUP BY 1) s JOIN (SELECT product_id, count(*) AS selected, count(*) FILTER (rare) AS rare_selected, avg(importance) AS mean FROM planned GROUP BY 1) p USING (product_id)")
 def plan_diagnostics(spark, d):
     scored = _scored(spark, d)
-    return A.plan_diagnostics(scored, A.plan(scored, PARAMS)).drop("mean_importance")
+    return A.plan_diagnostics(scored, A.plan(scored, PARAMS)).withColumn("mean_importance", F.round("mean_importance", 9))
 
 
 @query(f"{EVIDENCE_SQL} SELECT * FROM evidence")
@@ -261,24 +265,36 @@ def evidence_top(spark, d):
 GROUNDED_SQL = f"""{EVIDENCE_SQL}, per AS (SELECT product_id, name, bool_and(sentiment = 'positive') AS ap, bool_and(sentiment = 'negative') AS an, count(*) AS count,
   string_agg(span_text, '; ' ORDER BY rank) FILTER (rank <= 2) AS s FROM evidence GROUP BY 1, 2),
 sentences AS (SELECT product_id, p.rank AS plan_rank, name, CASE WHEN ap THEN 'pros' WHEN an THEN 'cons' ELSE 'neutral' END AS bucket, name || ': ' || s AS sentence,
-  target AS sentiment, count FROM planned p JOIN per USING (product_id, name))"""
+  target AS sentiment, count, least(1.0::DOUBLE, count / (sum(count) OVER (PARTITION BY product_id))::DOUBLE) AS share FROM planned p JOIN per USING (product_id, name)),
+by_bucket AS (SELECT product_id, bucket, string_agg(sentence, ' | ' ORDER BY plan_rank) AS line, string_agg(sentence, chr(10) ORDER BY plan_rank) AS lines FROM sentences GROUP BY 1, 2),
+texts AS (SELECT product_id, concat_ws(chr(10), 'Сильные стороны: ' || max(line) FILTER (bucket = 'pros'), 'Слабые стороны: ' || max(line) FILTER (bucket = 'cons'),
+  'Смешанные наблюдения: ' || max(line) FILTER (bucket = 'neutral')) AS text_overall, max(lines) FILTER (bucket = 'pros') AS text_pros,
+  max(lines) FILTER (bucket = 'cons') AS text_cons, max(lines) FILTER (bucket = 'neutral') AS text_neutral FROM by_bucket GROUP BY 1)"""
 
 
 @query(f"{GROUNDED_SQL} SELECT * FROM sentences")
 def grounded_text(spark, d):
-    return A.grounded(_planned(spark, d), _evidence(spark, d)).drop("share")
+    return _grounded(spark, d)
 
 
-@query(f"""{GROUNDED_SQL} SELECT product_id, string_agg(sentence, chr(10) ORDER BY plan_rank) FILTER (bucket = 'pros') AS text_pros,
-  string_agg(sentence, chr(10) ORDER BY plan_rank) FILTER (bucket = 'cons') AS text_cons, string_agg(sentence, chr(10) ORDER BY plan_rank) FILTER (bucket = 'neutral') AS text_neutral FROM sentences GROUP BY 1""")
+def _grounded(spark, d):
+    return A.grounded(_planned(spark, d), _evidence(spark, d))
+
+
+@query(f"{GROUNDED_SQL} SELECT * FROM texts")
 def summary_texts(spark, d):
-    return A.summary_text(A.grounded(_planned(spark, d), _evidence(spark, d))).drop("text_overall")
+    return A.summary_text(_grounded(spark, d))
 
 
-@query()
+@query(f"""{GROUNDED_SQL}, v AS (SELECT p.product_id, p.name, e.name IS NULL AS lost, NOT contains(lower(concat_ws(' ', text_overall, text_pros, text_cons, text_neutral)), lower(p.name)) AS unsaid,
+  coalesce(text_overall, text_pros, text_cons) IS NULL AS blank FROM planned p LEFT JOIN (SELECT DISTINCT product_id, name FROM evidence) e ON p.product_id = e.product_id AND p.name = e.name
+  LEFT JOIN texts t ON t.product_id = p.product_id WHERE p.name <> 'the')
+SELECT product_id, coalesce(string_agg(name, ',' ORDER BY name) FILTER (lost), '') AS missing, coalesce(string_agg(name, ',' ORDER BY name) FILTER (unsaid), '') AS unmentioned,
+  bool_or(blank) AS empty_text, NOT bool_or(lost) AND NOT bool_or(blank) AS passed FROM v GROUP BY 1""")
 def verify_plan(spark, d):
-    planned, proof = _planned(spark, d), _evidence(spark, d)
-    return A.verify(planned, proof, A.summary_text(A.grounded(planned, proof)))
+    planned, proof = _planned(spark, d).filter("name <> 'the'"), _evidence(spark, d)
+    rows = A.verify(planned, proof, A.summary_text(_grounded(spark, d)))
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("missing", "unmentioned")})
 
 
 @query(f"{MENTIONS_SQL} SELECT section, count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'negative') AS negative, count(*) FILTER (sentiment = 'neutral') AS neutral, count(*) FILTER (sentiment = 'mixed') AS mixed FROM mentions GROUP BY 1")
@@ -303,64 +319,9 @@ def ledger_salience(spark, d):
 
 
 @query(f"""{MENTIONS_SQL}, once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id, aspect, review_id, {STRIP.format("lower(span_text)")} ORDER BY span_index) AS k FROM mentions) WHERE k = 1)
-SELECT * FROM (SELECT product_id, aspect AS name, row_number() OVER (PARTITION BY product_id, aspect ORDER BY review_id, span_index) AS rank, review_id, span_text, section, sentiment FROM once) WHERE rank <= 5""")
+SELECT * FROM (SELECT product_id, aspect AS name, row_number() OVER (PARTITION BY product_id, aspect ORDER BY review_id, span_index) AS rank, review_id, span_text, section, sentiment, confidence FROM once) WHERE rank <= 5""")
 def ledger_evidence(spark, d):
-    return E.ledger_evidence(_mentions(spark, d)).drop("confidence")
-
-
-def _external(spark, d):
-    """Summaries under test: each product's first assistant turns, as pros and an overall text."""
-    turns = table(spark, d, "conversations").filter("role = 'assistant'")
-    order = F.array_sort(F.collect_list(F.struct("conv_id", "turn", "text")))
-    rows = turns.withColumn("product_id", F.col("conv_id") % 50).groupBy("product_id").agg(order.alias("t"))
-    return rows.select("product_id", F.get("t", 0)["text"].alias("text_overall"), F.get("t", 1)["text"].alias("text_pros"), F.lit(None).cast("string").alias("text_cons"), F.lit(None).cast("string").alias("text_neutral"))
-
-
-EXTERNAL_SQL = """external AS (SELECT product_id, max(text) FILTER (k = 1) AS text_overall, max(text) FILTER (k = 2) AS text_pros,
-  concat_ws(chr(10), max(text) FILTER (k = 1), max(text) FILTER (k = 2)) AS flat FROM (
-  SELECT conv_id % 50 AS product_id, text, row_number() OVER (PARTITION BY conv_id % 50 ORDER BY conv_id, turn) AS k FROM conversations WHERE role = 'assistant') GROUP BY 1)"""
-
-
-@query(f"""{LEDGER_SQL}, {EXTERNAL_SQL}, hits AS (SELECT e.product_id, name, salience, contains(lower(flat), name) AS hit FROM external e LEFT JOIN ledger USING (product_id))
-SELECT product_id, CASE WHEN count(name) = 0 THEN 1.0::DOUBLE ELSE avg(coalesce(hit, false)::INT::DOUBLE) END AS coverage FROM hits GROUP BY 1""")
-def coverage(spark, d):
-    return E.coverage(E.ledger(_mentions(spark, d)), _external(spark, d)).drop("coverage_weighted")
-
-
-@query(f"""{EVIDENCE_SQL}, {EXTERNAL_SQL}, claims AS (SELECT product_id, list_filter(list_transform(string_split(regexp_replace(flat, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: lower({STRIP.format("x")})), lambda x: length(x) > 3) AS c FROM external)
-SELECT product_id, CASE WHEN len(c) <= 1 THEN 1.0::DOUBLE ELSE len(list_distinct(c)) / len(c)::DOUBLE END AS non_redundancy FROM claims""")
-def non_redundancy(spark, d):
-    return E.non_redundancy(_external(spark, d))
-
-
-@query()
-def all_metrics(spark, d):
-    found = _mentions(spark, d)
-    return E.all_metrics(E.ledger(found), _external(spark, d), E.ledger_evidence(found))
-
-
-@query()
-def glass_box(spark, d):
-    planned = _planned(spark, d)
-    texts = A.summary_text(A.grounded(planned, _evidence(spark, d)))
-    return E.glass_box(planned, texts)
-
-
-@query()
-def system_means(spark, d):
-    found = _mentions(spark, d)
-    ledger, proof = E.ledger(found), E.ledger_evidence(found)
-    planned = _planned(spark, d)
-    ours = A.summary_text(A.grounded(planned, _evidence(spark, d)))
-    both = [E.long_form(E.all_metrics(ledger, s, proof), n) for n, s in (("ours", ours), ("external", _external(spark, d)))]
-    return E.system_means(both[0].unionByName(both[1]))
-
-
-@query()
-def rouge_l(spark, d):
-    rows = _external(spark, d).filter("text_pros is not null")
-    pairs = rows.select("product_id", X.tokens(F.col("text_overall")).alias("a"), X.tokens(F.col("text_pros")).alias("b"))
-    return folds.rouge_l(pairs, "a", "b").drop("a", "b")
+    return E.ledger_evidence(_mentions(spark, d))
 
 
 def _segments(spark, d):
@@ -368,59 +329,6 @@ def _segments(spark, d):
     return N.segments(A.pieces(A.sections(rows)), rows)
 
 
-@query()
-def keyphrases(spark, d):
-    return N.keyphrases(_segments(spark, d), stop=STOP)
-
-
-def _bank(segs):
-    return folds.distinct_phrases(N.phrase_bank(segs))
-
-
-@query()
-def phrase_bank(spark, d):
-    return N.stored_phrases(_bank(_segments(spark, d)))
-
-
-@query()
-def phrase_dedupe(spark, d):
-    return _bank(_segments(spark, d))
-
-
-@query()
-def continuation_index(spark, d):
-    return N.continuations(_segments(spark, d))
-
-
-@query()
-def prefix_index(spark, d):
-    return N.prefix_index(_bank(_segments(spark, d)))
-
-
-@query()
-def user_style(spark, d):
-    return N.user_style(_segments(spark, d))
-
-
-def _requests(spark, d):
-    rows = reviews(spark, d)
-    return rows.select(
-        F.col("review_id").alias("request_id"), "product_id", "user_id", F.lit("comment").alias("field"), "rating",
-        F.left("comment", F.lit(60)).alias("text"), F.lit(25).alias("cursor"),
-    )
-
-
-@query()
-def text_state(spark, d):
-    return S.requests(_requests(spark, d)).drop("user_id", "field", "rating")
-
-
-@query()
-def suggest_ranked(spark, d):
-    segs = _segments(spark, d)
-    return S.suggest(_requests(spark, d), N.prefix_index(_bank(segs)), N.continuations(segs))
-
-
 @query()
 def label_clusters(spark, d):
     labels = _mentions(spark, d).select("product_id", F.col("aspect").alias("label")).distinct()
@@ -434,9 +342,11 @@ def semantic_clusters(spark, d):
     return folds.semantic_clusters(rows, "key", "vec_id", "embedding", 1.1)
 
 
-HASH_SQL = f"""{WITH_REVIEWS}, h AS (SELECT product_id, review_id, sha256(concat_ws('|', coalesce(review_id::VARCHAR, ''),
-  coalesce(CASE WHEN rating IS NULL THEN NULL ELSE printf('%.1f', rating) END, ''), coalesce(title, ''), coalesce(comment, ''), coalesce(plus, ''), coalesce(minus, ''), epoch(created_at)::BIGINT::VARCHAR)) AS h FROM reviews),
-prints AS (SELECT product_id, sha256(product_id::VARCHAR || ':' || string_agg(h, ',' ORDER BY review_id, h)) AS source_hash FROM h GROUP BY 1)"""
+_SIZED = lambda c: f"strlen(coalesce({c}, ''))::VARCHAR || ':' || coalesce({c}, '')"
+_STAMP = lambda c: f"coalesce(strftime({c}, '%Y-%m-%dT%H:%M:%S.%f'), '')"
+HASH_SQL = f"""{WITH_REVIEWS}, h AS (SELECT product_id, review_id, sha256(concat_ws(',', coalesce(printf('%.4f', rating), ''), {_STAMP("review_date")}, {_STAMP("created_at")},
+  {", ".join(_SIZED(c) for c in ("title", "comment", "plus", "minus"))})) AS h FROM reviews),
+prints AS (SELECT product_id, sha256(product_id::VARCHAR || ':' || string_agg(review_id::VARCHAR || ':' || h, ',' ORDER BY review_id, h)) AS source_hash FROM h GROUP BY 1)"""
 
 
 @query(f"{HASH_SQL} SELECT * FROM prints")
@@ -456,36 +366,44 @@ def invalidation_jobs(spark, d):
     return J.invalidations(reviews(spark, d))
 
 
-@query("SELECT 'product:' || (user_id % 7)::VARCHAR AS job_key, count(DISTINCT floor(epoch(ts) / 600)) AS n FROM events GROUP BY 1")
+@query("""WITH RECURSIVE j AS (SELECT 'product:' || (user_id % 7)::VARCHAR AS k, user_id % 7 AS p, ts FROM events WHERE event_id % 50 > 0),
+w(k, t) AS (SELECT k, min(ts) FROM j GROUP BY k UNION ALL SELECT w.k, min(j.ts) FROM w JOIN j ON j.k = w.k AND j.ts >= w.t + INTERVAL 10 MINUTE GROUP BY w.k)
+SELECT k AS job_key, epoch_us(t) AS at, false AS force FROM w UNION ALL SELECT 'product:' || (user_id % 7)::VARCHAR, epoch_us(ts), true FROM events WHERE event_id % 50 = 0""")
 def job_dedup(spark, d):
     jobs = table(spark, d, "events").select(
         F.lit("product").alias("job_type"), (F.col("user_id") % 7).alias("product_id"), F.lit(None).cast("long").alias("user_id"),
-        F.lit(False).alias("force"), F.lit(0).alias("attempt"), F.col("ts").cast("timestamp").alias("enqueued_at"),
+        (F.col("event_id") % 50 == 0).alias("force"), F.lit(0).alias("attempt"), F.col("ts").cast("timestamp").alias("enqueued_at"),
     )
-    return J.deduplicated(jobs).groupBy("job_key").agg(F.count("*").alias("n"))
+    return J.deduplicated(jobs).select("job_key", F.unix_micros("enqueued_at").alias("at"), "force")
 
 
-@query("""SELECT CASE event_type WHEN 'view' THEN 'shown' WHEN 'click' THEN 'accepted' WHEN 'error' THEN 'dismissed' WHEN 'signup' THEN 'prepared' WHEN 'purchase' THEN 'edited' END AS event_type, count(*) AS n FROM events GROUP BY 1""")
+@query("""SELECT CASE event_type WHEN 'view' THEN 'shown' WHEN 'click' THEN 'accepted' WHEN 'error' THEN 'dismissed' WHEN 'signup' THEN 'prepared' END AS event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'click', 'error', 'signup') GROUP BY 1""")
 def suggestion_events(spark, d):
-    names = F.create_map(*[F.lit(x) for x in ("view", "shown", "click", "accepted", "error", "dismissed", "signup", "prepared", "purchase", "edited")])
-    return table(spark, d, "events").select(F.element_at(names, F.col("event_type")).alias("event_type")).groupBy("event_type").agg(F.count("*").alias("n"))
+    names = F.create_map(*[F.lit(x) for x in ("view", "shown", "click", "accepted", "error", "dismissed", "signup", "prepared")])
+    events = table(spark, d, "events").select(F.coalesce(F.element_at(names, F.col("event_type")), "event_type").alias("event_type"))
+    return J.valid_events(events).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query(f"""{WITH_REVIEWS}, b AS (SELECT product_id, CASE WHEN rating IS NULL THEN 'none' WHEN rating <= 2 THEN 'low' WHEN rating < 4 THEN 'middle' ELSE 'high' END AS band FROM reviews),
-c AS (SELECT product_id, band, count(*) AS n FROM b GROUP BY ALL) SELECT product_id, band, greatest(1, floor(10 * n / (sum(n) OVER (PARTITION BY product_id))::DOUBLE + 0.5))::BIGINT AS quota FROM c""")
-def stratified_quota(spark, d):
-    rows = folds.stratified(reviews(spark, d), 10)
-    return rows.select("product_id", "band", "quota").distinct()
+@query(f"""{WITH_REVIEWS}, b AS (SELECT product_id, review_id, md5(review_id || ':0') AS dice,
+  CASE WHEN rating IS NULL THEN 'none' WHEN rating <= 2 THEN 'low' WHEN rating < 4 THEN 'middle' ELSE 'high' END AS band FROM reviews),
+c AS (SELECT *, row_number() OVER (PARTITION BY product_id, band ORDER BY dice, review_id) AS k,
+  greatest(1, floor(10 * count(*) OVER (PARTITION BY product_id, band) / (count(*) OVER (PARTITION BY product_id))::DOUBLE + 0.5))::BIGINT AS quota FROM b)
+SELECT product_id, review_id, band, quota FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY (k > quota)::INT, k, dice, review_id) AS n FROM c) WHERE n <= 10""")
+def stratified_sample(spark, d):
+    return folds.stratified(reviews(spark, d), 10).select("product_id", "review_id", "band", "quota")
 
 
-@query(f"{WITH_REVIEWS} SELECT product_id, review_id FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY length(comment) DESC, review_id) AS k FROM reviews) WHERE k <= 20")
-def representative_top20(spark, d):
-    return folds.representative(reviews(spark, d), 20, 20).select("product_id", "review_id")
+@query(f"""{WITH_REVIEWS}, k AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY length(comment) DESC, review_id) AS k FROM reviews)
+SELECT product_id, review_id FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY md5(review_id || ':0'), review_id) AS m FROM k WHERE k <= 20) WHERE m <= 10""")
+def representative_reviews(spark, d):
+    return folds.representative(reviews(spark, d), 10, 20).select("product_id", "review_id")
 
 
-@query(f"{WITH_REVIEWS} SELECT product_id, count(*) AS reviews_count, avg(rating) AS rating_avg FROM reviews GROUP BY 1")
+@query(f"""{WITH_REVIEWS}, k AS (SELECT *, row_number() OVER (PARTITION BY product_id, nullif(plus, '') IS NULL ORDER BY review_id) AS p, row_number() OVER (PARTITION BY product_id, nullif(minus, '') IS NULL ORDER BY review_id) AS m FROM reviews)
+SELECT product_id, count(*) AS reviews_count, avg(rating) AS rating_avg, string_agg(plus, '; ' ORDER BY review_id) FILTER (plus <> '' AND p <= 3) AS text_pros,
+  string_agg(minus, '; ' ORDER BY review_id) FILTER (minus <> '' AND m <= 3) AS text_cons FROM k GROUP BY 1""")
 def stub_summary(spark, d):
-    return M.stub(reviews(spark, d)).select("product_id", "reviews_count", "rating_avg")
+    return M.stub(reviews(spark, d))
 
 
 @query()

@@ -14,8 +14,11 @@ ITEM = (
 
 
 def lenient_time(c):
-    """Null, empty and malformed are null; a zone is optional."""
-    return F.coalesce(F.try_to_timestamp(c), F.try_to_timestamp(c, F.lit("yyyy-MM-dd")))
+    """Null, empty and malformed are null; a time without a zone is UTC."""
+    text = F.trim(c)
+    zoned = F.rlike(text, F.lit(r"(Z|[+-]\d{2}:?\d{2})$")) & F.contains(text, F.lit(":"))
+    whole = F.when(F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.concat(text, F.lit("T00:00:00Z"))).when(zoned, text).otherwise(F.concat(text, F.lit("Z")))
+    return F.try_to_timestamp(F.nullif(whole, F.lit("Z")))
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:

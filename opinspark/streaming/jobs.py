@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 JOB = "job_type string, product_id long, user_id long, force boolean, attempt int, enqueued_at timestamp"
@@ -19,20 +20,39 @@ def job_stream(spark: SparkSession, path: str, files_per_batch: int = 5) -> Data
 
 
 def with_key(jobs: DataFrame) -> DataFrame:
-    return jobs.withColumn("job_key", F.concat_ws(":", "job_type", F.coalesce("product_id", "user_id").cast("string")))
+    ids = [c for c in ("product_id", "user_id") if c in jobs.columns]
+    return jobs.withColumn("job_key", F.concat_ws(":", "job_type", F.coalesce(*ids).cast("string")))
 
 
 def deduplicated(jobs: DataFrame, seconds: int = 600) -> DataFrame:
-    """One job a key within the window; forced jobs pass by. On a batch, the first of each window-long chain of jobs."""
+    """One job a key within ``seconds`` of the last one that passed; forced jobs pass by.
+
+    A stream counts by its watermark. On a batch the jobs of a key are walked in order of time: a fold over one key's times.
+    """
     keyed = with_key(jobs)
     forced = keyed.filter(F.coalesce("force", F.lit(False)))
     rest = keyed.filter(~F.coalesce("force", F.lit(False)))
     if jobs.isStreaming:
         rest = rest.withWatermark("enqueued_at", f"{seconds} seconds").dropDuplicatesWithinWatermark(["job_key"])
         return rest.unionByName(forced)
-    bucket = F.floor(F.unix_seconds("enqueued_at") / seconds)
-    first = rest.groupBy("job_key", bucket.alias("_b")).agg(F.min(F.struct("enqueued_at", *[c for c in keyed.columns if c not in ("enqueued_at", "job_key")])).alias("j"))
-    return first.select("j.*", "job_key").select(*keyed.columns).unionByName(forced)
+    # a job after a gap of ``seconds`` passes whatever came before, so runs between such gaps can be folded apart, some hundreds at once
+    in_order = Window.partitionBy("job_key").orderBy("enqueued_at", "_tie")
+    other = [c for c in jobs.columns if c not in ("enqueued_at", "force")]
+    at = F.unix_micros("enqueued_at")
+    rows = rest.withColumn("_at", at).withColumn("_tie", F.xxhash64(*other))
+    rows = rows.withColumn("_gap", F.coalesce(F.col("_at") - F.lag("_at").over(in_order) >= seconds * 1_000_000, F.lit(True)).cast("int"))
+    rows = rows.withColumn("_run", F.floor(F.sum("_gap").over(in_order) / 512)).drop("_gap")
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["_at", "_tie"])
+        keep, last = [], None
+        for t in group["_at"]:
+            keep.append(last is None or t - last >= seconds * 1_000_000)
+            last = t if keep[-1] else last
+        return group[keep]
+
+    kept = rows.groupBy("job_key", "_run").applyInPandas(walk, rows.schema)
+    return kept.select(*keyed.columns).unionByName(forced)
 
 
 def pending(jobs: DataFrame, fingerprints: DataFrame, profiles: DataFrame, key: str = "product_id") -> DataFrame:
@@ -56,17 +76,40 @@ def invalidations(reviews: DataFrame) -> DataFrame:
 
 
 def rebuild_batch(
-    build: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame], None], retry: Callable[[DataFrame], None], dead: Callable[[DataFrame], None], most: int = 3
+    build: Callable[[DataFrame], DataFrame],
+    store: Callable[[DataFrame], None],
+    retry: Callable[[DataFrame], None],
+    dead: Callable[[DataFrame], None],
+    most: int = 3,
+    one_by_one: int = 100,
 ) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: build and store profiles; on failure jobs go back, forced, or to the dead letters after ``most`` tries."""
+    """A ``foreachBatch`` function: build and store profiles; failed jobs go back, forced, or to the dead letters after ``most`` tries.
 
-    def run(batch: DataFrame, _: int) -> None:
+    Where a batch fails as a whole, its jobs are tried key by key (up to ``one_by_one`` keys, else in as many parts), so that one bad
+    job doesn't take the others with it.
+    """
+
+    def attempt(jobs: DataFrame) -> str | None:
         try:
-            store(build(batch))
+            store(build(jobs))
         except Exception as why:  # noqa: BLE001  a failed job must not stop the stream
-            tried = batch.withColumn("attempt", F.coalesce("attempt", F.lit(0)) + 1).withColumn("force", F.lit(True))
-            retry(tried.filter(F.col("attempt") < most))
-            dead(tried.filter(F.col("attempt") >= most).withColumn("error", F.lit(str(why)[:500])))
+            return str(why)[:500]
+        return None
+
+    def run(batch: DataFrame, _: int) -> None:
+        if attempt(batch) is None:
+            return
+        keyed = with_key(batch)
+        parts = min(one_by_one, keyed.select("job_key").distinct().count())
+        place = F.pmod(F.dense_rank().over(Window.orderBy("job_key")), F.lit(parts)) if parts < one_by_one else F.pmod(F.xxhash64("job_key"), F.lit(parts))
+        keyed = keyed.withColumn("_part", place)
+        for part in range(parts):
+            jobs = keyed.filter(F.col("_part") == part).drop("_part", "job_key")
+            why = attempt(jobs)
+            if why is not None:
+                tried = jobs.withColumn("attempt", F.coalesce("attempt", F.lit(0)) + 1).withColumn("force", F.lit(True))
+                retry(tried.filter(F.col("attempt") < most))
+                dead(tried.filter(F.col("attempt") >= most).withColumn("error", F.lit(why)))
 
     return run
 
@@ -76,9 +119,13 @@ def start_worker(jobs: DataFrame, run: Callable[[DataFrame, int], None], checkpo
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
 
 
+def valid_events(events: DataFrame) -> DataFrame:
+    return events.filter(F.col("event_type").isin(*EVENTS))
+
+
 def log_events(events: DataFrame, path: str, checkpoint: str | None = None):
     """Append valid events; a stream with a checkpoint, a batch without."""
-    valid = events.filter(F.col("event_type").isin(*EVENTS))
+    valid = valid_events(events)
     if events.isStreaming:
         return valid.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     return valid.write.mode("append").parquet(path)
