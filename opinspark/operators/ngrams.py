@@ -123,7 +123,7 @@ def discover_aspects(keys: DataFrame, clusters: DataFrame, bank: DataFrame, most
     # a product's aspects and their keywords are few; they meet its phrases as one array
     words = per.groupBy("product_id").agg(F.collect_list(F.struct("ord", "keywords")).alias("_aspects"))
     held = F.filter("_aspects", lambda a: F.exists(F.slice(a["keywords"], 1, 20), lambda k: F.contains(F.col("phrase"), k)))
-    hits = bank.select("product_id", "phrase", "quality", "weak").join(words, "product_id").select("product_id", "phrase", "quality", "weak", F.explode(held)["ord"].alias("ord"))
+    hits = bank.select("product_id", "phrase", "quality", "weak").join(words, "product_id").select("product_id", "phrase", "quality", "weak", F.explode(F.transform(held, lambda a: a["ord"])).alias("ord"))
     best = lambda kind: F.transform(
         F.array_sort(F.collect_list(F.when(F.col(f"_{kind}") <= phrases, F.struct((-F.col("quality")).alias("k"), "phrase")))), lambda x: x["phrase"]
     ).alias(kind)
@@ -233,3 +233,11 @@ def first_aspect(phrases: DataFrame, keywords: DataFrame) -> DataFrame:
     arrays = keywords.groupBy("product_id").agg(F.array_sort(F.collect_list(key)).alias("ks"))
     held = F.filter("ks", lambda k: F.contains(F.col("phrase"), k["keyword"]))
     return phrases.join(arrays, "product_id", "left").withColumn("aspect_id", F.get(held, 0)["aspect_id"]).drop("ks")
+
+
+def profile_counts(reviews: DataFrame, segs: DataFrame, bank: DataFrame) -> DataFrame:
+    """A product profile's own numbers: reviews, segments, phrases, phrases with an aspect."""
+    rows = reviews.groupBy("product_id").agg(F.count("*").alias("reviews_count"))
+    own = segs.groupBy("product_id").agg(F.count("*").alias("segments_count"))
+    phrases = bank.groupBy("product_id").agg(F.count("*").alias("phrases"), F.count("aspect_id").alias("with_aspect"))
+    return phrases.join(rows, "product_id").join(own, "product_id")
