@@ -218,3 +218,55 @@ def search_mentions(found: DataFrame, text: str, sections_in: Sequence[str] = ()
     out = found.filter(F.contains(F.lower("aspect"), F.lit(text.lower())) | F.contains(F.lower("span_text"), F.lit(text.lower())))
     out = out.filter(F.col("section").isin(*sections_in)) if sections_in else out
     return out.filter(F.col("sentiment").isin(*sentiments)) if sentiments else out
+
+
+def section_histogram(found: DataFrame) -> DataFrame:
+    """How many mentions of an aspect each section has, as a map."""
+    per = found.groupBy("product_id", "name", "section").agg(F.count("*").alias("n"))
+    return per.groupBy("product_id", "name").agg(F.map_from_entries(F.collect_list(F.struct("section", "n"))).alias("sections"))
+
+
+def key_phrase_sentiment() -> Column:
+    """The plan's target where there is one (positive or negative, else neutral), else the majority, mixed first."""
+    p, n, m = F.col("positive"), F.col("negative"), F.col("mixed")
+    planned = F.when(F.col("target").isin("positive", "negative"), F.col("target")).when(F.col("target").isNotNull(), "neutral")
+    return F.coalesce(planned, F.when((m > 0) & (m >= p) & (m >= n), "neutral").when(p > n, "positive").when(n > p, "negative").otherwise("neutral"))
+
+
+def key_phrases(scored: DataFrame, planned: DataFrame, most: int = 25) -> DataFrame:
+    """A product's first aspects by importance as key phrases: sentiment, count, share (never over 1)."""
+    order = Window.partitionBy("product_id").orderBy(F.desc("importance"), "name")
+    rows = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    rows = rows.join(planned.select("product_id", "name", "target"), ["product_id", "name"], "left")
+    share = F.least(F.lit(1.0), F.round("prevalence", 3))
+    return rows.select("product_id", "rank", F.col("name").alias("phrase"), key_phrase_sentiment().alias("sentiment"), F.col("total").alias("count"), share.alias("share"))
+
+
+def bucketed(phrases: DataFrame) -> DataFrame:
+    """Key phrases by sentiment, the most counted first; what isn't positive, negative or neutral is other."""
+    known = F.lower(F.trim("sentiment"))
+    rows = phrases.withColumn("bucket", F.when(known.isin("positive", "negative", "neutral"), known).otherwise("other"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("k"), "phrase")))
+    return rows.groupBy("product_id", "bucket").agg(F.count("*").alias("n"), F.transform(order, lambda x: x["phrase"]).alias("phrases"))
+
+
+def generation_input(planned: DataFrame, scored: DataFrame, found: DataFrame, most: int = 3) -> DataFrame:
+    """What a model gets of each planned aspect: its numbers (0 where there are none) and its first evidence with a score by rank."""
+    own = Window.partitionBy("product_id", "name")
+    score = F.round(1.0 - (F.col("rank") - 1) / F.count("*").over(own), 3)
+    rows = found.withColumn("score", score).filter(F.col("rank") <= most)
+    item = F.struct("rank", F.col("span_text").alias("text"), "section", "sentiment", "score")
+    lists = rows.groupBy("product_id", "name").agg(F.array_sort(F.collect_list(item)).alias("evidence"))
+    counts = ("total", "positive", "negative", "neutral")
+    numbers = scored.select("product_id", "name", "prevalence", *counts)
+    out = planned.select("product_id", "rank", "name", "importance", "target", F.col("rare").alias("must_include"))
+    out = out.join(numbers, ["product_id", "name"], "left").join(lists, ["product_id", "name"], "left")
+    none = F.array().cast("array<struct<rank:int,text:string,section:string,sentiment:string,score:double>>")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    return out.withColumns({"prevalence": F.coalesce("prevalence", F.lit(0.0)), "evidence": F.coalesce("evidence", none)})
+
+
+def stored(found: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Evidence rows under their cluster's id; what has no cluster isn't stored."""
+    rows = found.join(clusters.select("product_id", "name", "cluster_id"), ["product_id", "name"])
+    return rows.select("product_id", "cluster_id", "rank", "review_id", F.col("span_text").alias("evidence_text"), F.col("sentiment").alias("supports"))

@@ -209,11 +209,13 @@ def glass_box(planned: DataFrame, summaries: DataFrame) -> DataFrame:
     )
 
 
-def all_metrics(ledgers: DataFrame, summaries: DataFrame, evidence: DataFrame) -> DataFrame:
+def all_metrics(
+    ledgers: DataFrame, summaries: DataFrame, evidence: DataFrame, good: tuple = GOOD, bad: tuple = BAD, generic: tuple = L.GENERIC_TOKENS
+) -> DataFrame:
     """All of a summary's metrics; its key columns (all but the texts) must tell summaries apart."""
     keys, out = _keys(summaries), coverage(ledgers, summaries)
     for part in (
-        sentiment_consistency(ledgers, summaries), evidence_support(summaries, evidence), specificity(ledgers, summaries),
+        sentiment_consistency(ledgers, summaries, good, bad), evidence_support(summaries, evidence), specificity(ledgers, summaries, generic),
         aspect_balance(ledgers, summaries), non_redundancy(summaries),
     ):
         out = out.join(part, keys, "left")
@@ -226,10 +228,15 @@ def long_form(metrics: DataFrame, system: str) -> DataFrame:
     return metrics.unpivot(keys, names, "metric", "value").withColumn("system", F.lit(system))
 
 
+def numeric(rows: DataFrame, column: str) -> DataFrame:
+    """Rows whose column is a number, as a double: texts count where they spell one, truth values and nulls don't."""
+    value = F.col(column).try_cast("double")
+    return rows.withColumn(column, value).filter(F.col(column).isNotNull())
+
+
 def system_means(rows: DataFrame) -> DataFrame:
     """Means by system and metric; what isn't a number doesn't count."""
-    value = F.try_cast(F.col("value"), "double") if hasattr(F, "try_cast") else F.col("value").try_cast("double")
-    return rows.withColumn("value", value).filter("value is not null").groupBy("system", "metric").agg(F.avg("value").alias("mean"))
+    return numeric(rows, "value").groupBy("system", "metric").agg(F.avg("value").alias("mean"))
 
 
 def functional_comparison(rows: DataFrame) -> DataFrame:

@@ -49,13 +49,44 @@ def answer_json(c, schema: str):
     return F.from_json(F.regexp_extract(c, r"(?s)\{.*\}", 0), schema)
 
 
-def prompt_of(planned: DataFrame, found: DataFrame, most_aspects: int = 8, most_evidence: int = 3) -> DataFrame:
-    """One JSON prompt per product: planned aspects with some evidence each."""
+def prompt_of(planned: DataFrame, found: DataFrame, most_aspects: int = 8, most_evidence: int = 3, only: str | None = None) -> DataFrame:
+    """One JSON prompt per product: planned aspects with some evidence each; ``only`` those of one target, all where a product has none."""
     texts = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "span_text"))), lambda x: x["span_text"]), 1, most_evidence)
     per = found.groupBy("product_id", "name").agg(texts.alias("evidence"))
     rows = planned.select("product_id", "name", "target", F.col("rank").alias("place")).join(per, ["product_id", "name"])
-    items = F.slice(F.array_sort(F.collect_list(F.struct("place", "name", "target", "evidence"))), 1, most_aspects)
-    return rows.groupBy("product_id").agg(F.to_json(items).alias("prompt"))
+    gathered = rows.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("place", "name", "target", "evidence"))).alias("items"))
+    items = F.col("items")
+    if only is not None:
+        own = F.filter("items", lambda x: x["target"] == only)
+        items = F.when(F.size(own) > 0, own).otherwise(items)
+    return gathered.select("product_id", F.to_json(F.slice(items, 1, most_aspects)).alias("prompt"))
+
+
+SECTIONS = {"positive": ("P", "text_pros"), "negative": ("N", "text_cons"), "general": ("G", "text_neutral")}
+
+
+def generate(texts: DataFrame, model: Model, tries: int = 3) -> DataFrame:
+    """A model's three sections of a product's summary, asked for one by one; a section that fails keeps the grounded text.
+
+    ``partial`` says that any did; where all fail, the whole grounded text stands. The model answers with ``{"text": ...}``.
+    """
+    out = texts.select("product_id", *[F.coalesce(c, F.lit("")).alias(c) for _, c in SECTIONS.values()])
+    for name, (mark, column) in SECTIONS.items():
+        prompt = F.concat_ws("\t", F.col("product_id").cast("string"), F.lit(mark), F.col(column))
+        out = with_model(out.withColumn("_prompt", prompt), "_prompt", model, f"_{name}", tries).drop("_prompt")
+        out = out.withColumn(f"_{name}", answer_json(F.col(f"_{name}"), "text string")["text"])
+    partial = F.col("_positive").isNull() | F.col("_negative").isNull() | F.col("_general").isNull()
+    return out.select("product_id", *[F.coalesce(f"_{n}", c).alias(n) for n, (_, c) in SECTIONS.items()], partial.alias("partial"))
+
+
+def verify_texts(texts: DataFrame, model: Model, tries: int = 3) -> DataFrame:
+    """A model's verdict on a text, with a revised one where it fails; without an answer after ``tries`` the text counts as valid (``assumed``)."""
+    prompt = F.concat_ws("\t", F.col("product_id").cast("string"), F.concat_ws("\n", "text_overall", "text_pros", "text_cons", "text_neutral"))
+    rows = with_model(texts.withColumn("_prompt", prompt), "_prompt", model, "_answer", tries)
+    said = answer_json(F.col("_answer"), "passed boolean, revised string")
+    assumed = said["passed"].isNull()
+    rows = rows.withColumns({"assumed": assumed, "passed": F.coalesce(said["passed"], F.lit(True)), "revised": F.when(~F.coalesce(said["passed"], F.lit(True)), said["revised"])})
+    return rows.drop("_prompt", "_answer")
 
 
 def stub(reviews: DataFrame, overall: bool = False) -> DataFrame:
