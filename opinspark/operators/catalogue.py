@@ -225,7 +225,8 @@ def upsert_ready(profiles: DataFrame, fresh: DataFrame, key: str = "product_id")
 
 
 def synced(products: DataFrame, reviews: DataFrame, fresh_products: DataFrame, fresh_reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Benchmark products and reviews to the main tables: products merge by id, a product's reviews are replaced as a whole.
+    """Benchmark products and reviews to the main tables: products merge by id, their reviews are replaced as a whole (old ones go even
+    where no new ones come).
 
     Names are cut to 255 characters, sources to 50, descriptions to 10,000.
     """
@@ -235,7 +236,8 @@ def synced(products: DataFrame, reviews: DataFrame, fresh_products: DataFrame, f
         return df.withColumns({c: F.left(c, F.lit(n)) for c, n in cut.items() if c in df.columns})
 
     merged = upsert(products, short(fresh_products).select(*products.columns), "product_id")
-    return merged, sync(reviews, short(fresh_reviews).select(*reviews.columns))
+    kept = reviews.join(fresh_products.select("product_id").distinct(), "product_id", "left_anti")
+    return merged, kept.select(*reviews.columns).unionByName(short(fresh_reviews).select(*reviews.columns))
 
 
 def ledger_tree(ledgers: DataFrame, aspects: DataFrame, evidence: DataFrame) -> dict[str, DataFrame]:
@@ -289,3 +291,12 @@ def dashboard_counts(mentions: DataFrame, clusters: DataFrame) -> DataFrame:
     )
     rest = clusters.groupBy("product_id").agg(F.count("*").alias("clusters"), F.count_if("rare").alias("rare_clusters"))
     return own.join(rest, "product_id", "left")
+
+
+def counts(**tables: DataFrame) -> DataFrame:
+    """One row with the number of rows of each table; the tables are counted side by side."""
+    out = None
+    for name, rows in tables.items():
+        one = rows.agg(F.count("*").alias(name))
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out

@@ -257,7 +257,7 @@ def judge_lines(ledgers: DataFrame, evidence: DataFrame, most: int = 2) -> DataF
     texts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "span_text"))), lambda x: x["span_text"])
     proof = evidence.groupBy("product_id", "name").agg(F.array_join(F.slice(texts, 1, most), " | ").alias("proof"))
     rows = ledgers.join(proof, ["product_id", "name"], "left")
-    line = F.format_string("- %s (expected %s, salience %.3f): %s", "name", "expected", "salience", F.coalesce("proof", F.lit("")))
+    line = F.format_string("- %s (expected %s, salience %s): %s", "name", "expected", F.format_number("salience", 3), F.coalesce("proof", F.lit("")))
     return rows.select("product_id", "name", line.alias("line"))
 
 

@@ -102,10 +102,15 @@ def stub(reviews: DataFrame, overall: bool = False) -> DataFrame:
     return rows.select("product_id", "reviews_count", "rating_avg", some("pros").alias("text_pros"), some("cons").alias("text_cons"))
 
 
+def with_text(reviews: DataFrame) -> DataFrame:
+    """Reviews that say something, with their ``full_text``."""
+    text = X.full_text(F.col("title"), F.col("comment"), F.col("plus"), F.col("minus"))
+    return reviews.withColumn("full_text", text).filter("full_text <> ''")
+
+
 def useful_reviews(reviews: DataFrame) -> DataFrame:
     """A product's useful reviews; all of them where none is."""
-    text = X.full_text(F.col("title"), F.col("comment"), F.col("plus"), F.col("minus"))
-    rows = reviews.withColumn("full_text", text).filter("full_text <> ''").withColumn("useful", X.useful(F.col("full_text")))
+    rows = with_text(reviews).withColumn("useful", X.useful(F.col("full_text")))
     some = F.max("useful").over(Window.partitionBy("product_id"))
     return rows.withColumn("_some", some).filter(F.col("useful") | ~F.col("_some")).drop("_some")
 

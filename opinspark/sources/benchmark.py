@@ -63,22 +63,40 @@ def external_rows(items: DataFrame) -> DataFrame:
     return items.filter("external_summary is not null").select(F.col("id").alias("product_id"), "external_summary.*", "snapshot_timestamp")
 
 
+def lines(items: DataFrame) -> DataFrame:
+    """One product tree a row, as JSON with its nulls."""
+    return items.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def export_jsonl(items: DataFrame, path: str) -> None:
-    """One product tree a line, nulls kept."""
-    items.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+    lines(items).write.mode("overwrite").text(path)
 
 
 SYSTEMS = ("system", "extracts_aspects", "cites_evidence", "plans_content", "verifies", "rare_aspects", "configurable", "open_methods", "metrics")
+# What the summarization methods of this engine do, by the columns above; external summaries are known by their text alone.
+FUNCTIONS = (
+    ("aspect_evidence", "yes", "yes", "yes", "yes", "yes", "yes", "yes", "yes"),
+    ("llm", "no", "no", "no", "no", "no", "yes", "no", "no"),
+    ("aspect", "yes", "no", "no", "no", "no", "yes", "no", "no"),
+    ("stub", "no", "no", "no", "no", "no", "no", "no", "no"),
+    ("external", "no", "no", "no", "no", "no", "no", "no", "no"),
+)
 
 
-def functional_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+def functional_table(spark: SparkSession, rows: tuple = FUNCTIONS) -> DataFrame:
     """The static comparison of systems."""
-    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in SYSTEMS))
+    return spark.createDataFrame(list(rows), ", ".join(f"{c} string" for c in SYSTEMS))
 
 
-def write_report(metrics: DataFrame, path: str) -> None:
-    """Metrics (product_id, system, metric, value) as JSON lines, and as CSV with one column a metric, in order."""
-    metrics.write.mode("overwrite").json(f"{path}/metrics.json")
+def wide(metrics: DataFrame) -> DataFrame:
+    """Metrics (product_id, system, metric, value) with one column a metric, in order."""
     names = sorted(r.metric for r in metrics.select("metric").distinct().collect())  # a fixed set of metrics
-    wide = metrics.groupBy("product_id", "system").pivot("metric", names).agg(F.first("value"))
-    wide.write.mode("overwrite").option("header", True).csv(f"{path}/metrics.csv")
+    return metrics.groupBy("product_id", "system").pivot("metric", names).agg(F.first("value"))
+
+
+def write_report(metrics: DataFrame, path: str, functions: DataFrame | None = None) -> None:
+    """Metrics as JSON lines, and as CSV with one column a metric; the functional comparison as CSV beside them."""
+    metrics.write.mode("overwrite").json(f"{path}/metrics.json")
+    wide(metrics).write.mode("overwrite").option("header", True).csv(f"{path}/metrics.csv")
+    if functions is not None:
+        functions.write.mode("overwrite").option("header", True).csv(f"{path}/functional.csv")

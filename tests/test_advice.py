@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opinspark.operators import folds
 from opinspark.operators import summaries as M
+from opinspark.plans import profiles as P
 from opinspark.plans import queries as Q
 from opinspark.streaming import jobs as J
 
@@ -32,9 +33,9 @@ def tables(spark, path, texts):
 
 def test_segments_hold_whole_texts(spark, tmp_path):
     d = tables(spark, tmp_path, [". ".join(f"piece number{i}" for i in range(40)) + ". rare pair. rare pair"])
-    segs = Q._segments(spark, d)
+    segs = P.segments(spark, d)
     assert segs.count() == 42 and segs.agg(F.max("span_index")).first()[0] == 41
-    assert Q.phrase_bank(spark, d).filter("phrase = 'rare pair'").count() == 1
+    assert P.phrase_bank(spark, d).filter("phrase = 'rare pair'").count() == 1
     assert Q.spans_capped(spark, d).count() == 30
 
 
@@ -61,15 +62,15 @@ def test_dedupe_returns_phrases_past_rank_200(spark, tmp_path):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(500)]
     d = tables(spark, tmp_path, [" ".join(words)] + ["other"] * 49 + [" ".join(words)])
-    assert Q.phrase_dedupe(spark, d).count() > 900
+    assert P.phrase_dedupe(spark, d).count() > 900
 
 
 def test_prefixes_of_rare_phrases(spark, tmp_path):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxy") for _ in range(9)) for _ in range(1200)] + ["zz", "zebra"]
     d = tables(spark, tmp_path, [" ".join(words)] + ["other"] * 49 + [" ".join(words)])
-    assert Q.phrase_bank(spark, d).count() == 2000
-    got = {r.text for r in Q.prefix_index(spark, d).filter("prefix = 'zebra'").collect()}
+    assert P.phrase_bank(spark, d).count() == 2000
+    got = {r.text for r in P.prefix_index(spark, d).filter("prefix = 'zebra'").collect()}
     assert "zz zebra" in got
 
 

@@ -172,3 +172,47 @@ def test_model_hook(spark):
     asked = M.with_model(spark.createDataFrame([("a b",), (None,)], "prompt string"), "prompt", lambda p: M.echo_model(p), tries=2)
     texts = asked.select(M.answer_json(F.col("answer"), "positive string, general string").alias("t")).collect()
     assert texts[0].t.positive == "a b" and texts[1].t is None
+
+
+def test_jobs_near_the_last_accepted_one_fall(spark):
+    rows = [("product", 1, False, t) for t in (0, 2, 599, 600, 700, 1199, 1201, 5000)] + [("product", 2, True, 1), ("product", 2, True, 2)]
+    jobs = spark.createDataFrame(rows, "job_type string, product_id long, force boolean, t long").withColumn("enqueued_at", F.timestamp_seconds("t"))
+    got = J.deduplicated(jobs)
+    assert sorted(r.t for r in got.filter("product_id = 1").collect()) == [0, 600, 1201, 5000]
+    assert got.filter("product_id = 2").count() == 2
+
+
+def test_failed_jobs_come_back_through_the_stream(spark):
+    kept, again, dead = [], [], []
+
+    def build(jobs):
+        if jobs.filter("product_id = 3").limit(1).count():
+            raise RuntimeError("no")
+        return jobs
+
+    run = J.rebuild_batch(build, lambda b: kept.extend(b.collect()), lambda b: again.extend(b.collect()), lambda b: dead.extend(b.collect()))
+    jobs = spark.createDataFrame([("product", i, False, a) for i, a in ((1, 0), (2, 0), (3, 0), (3, 2))], "job_type string, product_id long, force boolean, attempt int")
+    run(jobs, 0)
+    assert sorted(r.product_id for r in kept) == [1, 2]
+    assert [(r.product_id, r.force, r.attempt) for r in again] == [(3, True, 1)]
+    assert [(r.product_id, r.attempt, r.error) for r in dead] == [(3, 3, "no")]
+
+
+def test_fingerprint_sees_every_field(spark):
+    base = dict(product_id=1, review_id=1, rating=4.0, title="a|b", comment="c", plus="", minus="", review_date="2024-01-01 00:00:00", created_at="2024-01-01 00:00:00")
+    changes = [{}, {"title": "a", "comment": "b|c"}, {"review_date": "2024-01-02 00:00:00"}, {"rating": 4.5}, {"plus": "c", "comment": ""}]
+    found = set()
+    for c in changes:
+        row = spark.createDataFrame([base | c]).withColumns({t: F.to_timestamp(t) for t in ("review_date", "created_at")})
+        found.add(C.fingerprint(row, "product_id").first().source_hash)
+    assert len(found) == len(changes)
+
+
+def test_metrics_at_their_bounds(spark):
+    ledger = spark.createDataFrame([(1, "battery", ["battery"], 0.75, "positive"), (1, "screen", ["screen", "display"], 0.25, "negative")], "product_id long, name string, aliases array<string>, salience double, expected string")
+    texts = spark.createDataFrame([(1, 1, "The display is fine.", "Battery lasts long."), (1, 2, "", None), (9, 3, "no ledger here", None)], "product_id long, n long, text_overall string, text_pros string")
+    proof = spark.createDataFrame([(1, "the battery lasts very long"), (1, " ")], "product_id long, span_text string")
+    rows = {r.n: r for r in E.all_metrics(ledger, texts, proof).collect()}
+    assert (rows[1].coverage, rows[1].coverage_weighted) == (1.0, 1.0) and rows[1].evidence_support == 0.5
+    assert (rows[2].coverage, rows[2].aspect_balance, rows[2].evidence_support, rows[2].specificity) == (0.0, 1.0, 1.0, 0.0)
+    assert (rows[3].coverage, rows[3].aspect_balance, rows[3].evidence_support, rows[3].unsupported_rate) == (1.0, 1.0, 0.0, 1.0)

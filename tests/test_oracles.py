@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from opinspark.plans.queries import QUERIES, SQL
+from opinspark.plans.registry import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 
