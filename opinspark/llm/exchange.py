@@ -57,14 +57,19 @@ def _drop(spark: SparkSession, name: str, path: str) -> None:
     _remove(spark, path)
 
 
-PACKED = "range int, chunk int, keys binary, flags binary, ids binary"
+PACKED = "range int, chunk int, keys binary, flags binary, ids binary, checks binary"
 
 
-def pack(chunk: int, bits: int, keys: np.ndarray, width: int, flags: np.ndarray | None = None, ids: np.ndarray | None = None) -> pa.Table:
-    """Rows of a chunk's sorted distinct keys by range. ``width`` is the bytes kept of a key, after its range bits."""
+def pack(
+    chunk: int, bits: int, keys: np.ndarray, width: int, flags: np.ndarray | None = None, ids: np.ndarray | None = None, checks: np.ndarray | None = None
+) -> pa.Table:
+    """Rows of a chunk's sorted distinct keys by range. ``width`` is the bytes kept of a key, after its range bits.
+
+    ``checks`` are second, independent hashes: with them keys may repeat and are sent whole, so that 128 bits tell them apart.
+    """
     key_range = (keys >> np.uint64(64 - bits)).astype(np.int64)
     edges = np.append(np.flatnonzero(np.diff(key_range, prepend=-1)), len(keys))
-    rest = (keys << np.uint64(bits)) >> np.uint64(64 - 8 * width)
+    rest = keys if checks is not None else (keys << np.uint64(bits)) >> np.uint64(64 - 8 * width)
     rest = rest.astype(np.uint32 if width == 4 else np.uint64)
     spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
     blob = lambda x: pa.array([None] * len(spans) if x is None else [x[a:b].tobytes() for a, b in spans], pa.binary())
@@ -75,6 +80,7 @@ def pack(chunk: int, bits: int, keys: np.ndarray, width: int, flags: np.ndarray
             "keys": blob(rest),
             "flags": blob(flags),
             "ids": blob(ids),
+            "checks": blob(checks),
         }
     )
 
@@ -122,6 +128,16 @@ def answered(table: pa.Table, bits: int, width: int) -> np.ndarray:
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
+CHECKED = "chunk int, keys binary, checks binary, ids binary"
+
+
+def checked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Whole 64-bit keys, checks, ids and the row of each, of rows that were packed with checks."""
+    join = lambda c, t: np.frombuffer(b"".join(x or b"" for x in table.column(c).to_pylist()), t)
+    sizes = [len(x) // 8 for x in table.column("keys").to_pylist()]
+    return join("keys", np.uint64), join("checks", np.uint64), join("ids", np.int64), np.repeat(np.arange(len(sizes)), sizes)
+
+
 def among(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     if not len(table):
         return np.zeros(len(keys), bool)

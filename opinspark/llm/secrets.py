@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Kind, pattern, group whose length counts, least length.
 BASE = [
@@ -267,6 +266,7 @@ def _make_plain(rng: random.Random) -> str:
             lambda: "_".join(_word(rng) for _ in range(rng.randint(3, 5))),
             lambda: f"/usr/{_word(rng)}/{_word(rng)}/{_word(rng)}.{pick(low, 3)}",
             lambda: rng.choice("-._/") * rng.randint(8, 60),
+            lambda: f"https://{_word(rng)}.{pick(low, 3)}/{_word(rng)}/{pick(low, 1)}{rng.randint(1, 999)}/{_word(rng)}?{pick(low, 1)}={rng.randint(1, 99999)}",
         ]
     )()
 
@@ -419,20 +419,18 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_line
 def scan_secrets(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``doc`` (a struct of all columns) and ``spans``: (start, end, kind), in code points, end exclusive, by start, then kind.
 
-    One map over the whole texts, no shuffle. Base spans are whole matches of the fixed patterns; spans of the
+    Only the whole texts go to Python, and spans come back; no shuffle. Base spans are whole matches of the fixed patterns; spans of the
     field that lie within or across a base span aren't repeated. Null and empty texts have none; repeated rows get
-    equal results.
+    equal results. Other columns are carried, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    span = T.StructType().add("start", "long").add("end", "long").add("kind", "string")
-    schema = T.StructType().add("doc", docs.schema, False).add("spans", T.ArrayType(span))
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         for batch in batches:
             out = []
-            for value in batch.column("text"):
+            for value in batch:
                 body = value.as_py() or ""
                 spans = base_spans(body)
                 base = [(s, e) for s, _, e in spans]
@@ -440,6 +438,8 @@ def scan_secrets(docs: DataFrame, model: Model, text: str = "text") -> DataFrame
                     if not any(a < e and s < b for a, b in base):
                         spans.append((s, len(KINDS) - 1, e))
                 out.append([{"start": s, "end": e, "kind": KINDS[k]} for s, k, e in sorted(spans)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, arrow)], names=["doc", "spans"])
+            yield pa.array(out, arrow)
 
-    return docs.select(F.struct("*").alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema)
+    # declared nondeterministic so that it isn't run once more for a filter on its result
+    scan = F.arrow_udf(run, "array<struct<start:long,end:long,kind:string>>").asNondeterministic()
+    return docs.select(F.struct("*").alias("doc"), scan(F.col(text)).alias("spans"))

@@ -2,9 +2,9 @@
 
 Each document is cut into blocks of 25 words that do not overlap; the blocks are the index. Any window of 50 words
 holds a whole block of whatever document it repeats, so it is enough to probe the index with
-every rolling 25-word window: what hits is an anchor. Around anchors, the 50-word windows that hold one are compared
-as wholes (64-bit hashes; unlike anchors, which may collide harmlessly), which extends anchors to maximal repeats
-exactly: a word goes if a window over it also starts in a document of a smaller id.
+every rolling 25-word window: what hits is an anchor. Only 50-word windows that hold one are looked at any further: they are compared
+by two independent 64-bit hashes of all their words (anchors may collide, which is harmless), which extends anchors to maximal repeats:
+a word goes if a window over it also starts in a document of a smaller id.
 """
 
 from __future__ import annotations
@@ -39,6 +39,10 @@ class _Chunk:
         self.hashes, self.doc = np.concatenate(hashes), np.concatenate(doc)
         self.of = np.searchsorted(self.doc, np.arange(base + 1))
 
+    def second(self) -> np.ndarray:
+        """Hashes of the words that are independent of ``hashes``."""
+        return np.concatenate([np.zeros(0, np.uint64), *[words.hashes(1) for _, words in self.parts]])
+
     def windows(self, k: int, base: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of the windows of k words, and their hashes."""
         n = len(self.doc) - k + 1
@@ -56,6 +60,15 @@ def _distinct(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[edge], np.flatnonzero(edge), *[c[order] for c in columns]
 
 
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where the rows of sorted columns begin to differ from the row before."""
+    edge = np.zeros(len(columns[0]), bool)
+    edge[:1] = True
+    for c in columns:
+        edge[1:] |= c[1:] != c[:-1]
+    return edge
+
+
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text, spans``: one row per row of ``docs``.
 
@@ -91,47 +104,70 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         keep[order] = np.repeat(hit, size)
         return X.answer(table, keys, row, keep)
 
-    def extend(table: pa.Table, anchors: pa.Table) -> pa.Table:
-        chunk = _Chunk(table)
+    def near_anchors(chunk: _Chunk, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows that hold an anchor: first words and two independent hashes of all their words."""
         at, keys = chunk.windows(block, K.BASE[2])
         anchor = np.zeros(len(chunk.doc) + 1, np.int64)
-        anchor[at[X.among(X.answered(anchors, bits, 4), X.truncated(keys, bits, 4))]] = 1
+        anchor[at[X.among(anchors, X.truncated(keys, bits, 4))]] = 1
         before = np.concatenate(([0], np.cumsum(anchor)))
         at, keys = chunk.windows(window, K.BASE[3])
         near = before[at + window - block + 1] > before[at]
-        distinct, begin, owner = _distinct(keys[near], chunk.ids[chunk.doc[at[near]]])
-        least = np.minimum.reduceat(owner, begin) if len(begin) else np.zeros(0, np.int64)
-        return X.pack(table.column("chunk")[0].as_py() if len(table) else 0, bits50, distinct, 8, ids=least)
+        at, keys = at[near], keys[near]
+        return at, keys, K.rolling(chunk.second(), window, K.BASE[0])[at] if len(at) else keys
+
+    def extend(table: pa.Table, anchors: pa.Table) -> pa.Table:
+        chunk = _Chunk(table)
+        at, keys, checks = near_anchors(chunk, X.answered(anchors, bits, 4))
+        owner = chunk.ids[chunk.doc[at]]
+        order = np.lexsort((checks, keys))
+        keys, checks, owner = keys[order], checks[order], owner[order]
+        begin = np.flatnonzero(_starts(keys, checks))
+        least = np.minimum.reduceat(owner, begin) if len(begin) else owner
+        many = (np.maximum.reduceat(owner, begin) if len(begin) else owner) != least
+        name = table.column("chunk")[0].as_py() if len(table) else 0
+        return X.pack(name, bits50, keys[begin], 8, many.astype(np.uint8), least, checks[begin])
 
     def earliest(table: pa.Table) -> pa.Table:
-        keys, _, ids, row = X.unpack(table, 8)
-        order = np.argsort(keys, kind="stable")
-        _, begin, sorted_ids = _distinct(keys, ids)
+        """To each chunk its windows that start in an earlier document too, with the smallest id that any has."""
+        keys, checks, ids, row = X.checked(table)
+        many = np.frombuffer(b"".join(x or b"" for x in table.column("flags").to_pylist()), np.uint8) > 0
+        order = np.lexsort((checks, keys))
+        begin = np.flatnonzero(_starts(keys[order], checks[order]))
         least = np.empty(len(keys), np.int64)
-        least[order] = np.repeat(np.minimum.reduceat(sorted_ids, begin), np.diff(np.append(begin, len(keys))))
-        return X.answer(table, keys, row, ids > least)
+        least[order] = np.repeat(np.minimum.reduceat(ids[order], begin), np.diff(np.append(begin, len(keys)))) if len(begin) else ids
+        keep = (ids > least) | many
+        edges = np.searchsorted(row, np.arange(len(table) + 1))
+        chunk = table.column("chunk").to_pylist()
+        parts = [(chunk[i], np.flatnonzero(keep[edges[i] : edges[i + 1]]) + edges[i]) for i in range(len(chunk))]
+        parts = [(c, at) for c, at in parts if len(at)]
+        blob = lambda x: pa.array([x[at].tobytes() for _, at in parts], pa.binary())
+        return pa.table({"chunk": pa.array([c for c, _ in parts], pa.int32()), "keys": blob(keys), "checks": blob(checks), "ids": blob(least)})
 
     result = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<first:long,end:long>>"
 
     def remove(table: pa.Table, late: pa.Table) -> pa.Table:
         chunk = _Chunk(table)
+        known, check, least, _ = X.checked(late)
+        order = np.lexsort((check, known))
+        known, check, least = known[order], check[order], least[order]
         at, keys = chunk.windows(window, K.BASE[3])
-        owner = chunk.ids[chunk.doc[at]]
-        drop = X.among(X.answered(late, bits50, 8), X.truncated(keys, bits50, 8))
-        order = np.argsort(keys, kind="stable")  # and what the chunk's own documents have earlier
-        distinct, begin, sorted_ids = _distinct(keys, owner)
-        if len(distinct):
-            least = np.empty(len(keys), np.int64)
-            least[order] = np.repeat(np.minimum.reduceat(sorted_ids, begin), np.diff(np.append(begin, len(keys))))
-            drop |= owner > least
-        gone = K.cover(len(chunk.doc), at[drop], window)
+        hit = X.among(known, keys)
+        at, keys = at[hit], keys[hit]
+        gone = np.zeros(len(chunk.doc), bool)
+        if len(at):
+            checks = K.rolling(chunk.second(), window, K.BASE[0])[at]
+            pair = np.rec.fromarrays([known, check], names="a,b")
+            place = np.minimum(np.searchsorted(pair, np.rec.fromarrays([keys, checks], names="a,b")), len(pair) - 1)
+            same = (known[place] == keys) & (check[place] == checks)
+            drop = same & (chunk.ids[chunk.doc[at]] > least[place])
+            gone = K.cover(len(chunk.doc), at[drop], window)
         return _kept(chunk, gone)
 
     by = lambda df, key: df.groupBy(key)
     probes = by(pages.table, "chunk").applyInArrow(probe, X.PACKED)
     anchors = materialize(by(probes, "range").applyInArrow(match, X.ANSWER))
     windows = by(pages.table, "chunk").cogroup(by(anchors, "chunk")).applyInArrow(extend, X.PACKED)
-    late = materialize(by(windows, "range").applyInArrow(earliest, X.ANSWER))
+    late = materialize(by(windows, "range").applyInArrow(earliest, X.CHECKED))
     return by(pages.table, "chunk").cogroup(by(late, "chunk")).applyInArrow(remove, result)
 
 
