@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -25,12 +26,29 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * common(a, b) / (len(a) + len(b))
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """Best ``ratio`` of the shorter text with a piece of the longer one of its length."""
+def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """Best ``ratio`` of the shorter text with a piece of the longer one of its length; 0 where none reaches ``least``.
+
+    Pieces with too few characters in common, wherever they stand, aren't compared.
+    """
     short, long = sorted((a, b), key=len)
     if not short:
         return 0.0
-    return max(ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
+    if short in long:
+        return 100.0
+    n, best = len(short), max(0, -int(-least * len(short) // 100) - 1)
+    free, shared = Counter(short), 0  # characters of the short text that the piece doesn't use; those it does
+    for end, x in enumerate(long):
+        shared += free[x] > 0
+        free[x] -= 1
+        if end >= n:
+            gone = long[end - n]
+            free[gone] += 1
+            shared -= free[gone] > 0
+        if end >= n - 1 and shared > best:
+            best = max(best, common(short, long[end - n + 1 : end + 1]))
+    out = 100.0 * best / n
+    return out if out >= least else 0.0
 
 
 def label_clusters(labels: DataFrame, least: float = 0.74) -> DataFrame:

@@ -7,13 +7,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as X
 from . import aspects as A
-from .folds import label_clusters
+from .folds import label_clusters, representative, stratified
 from .ngrams import bigrams_and_trigrams
 
 Model = Callable[[str], str]
@@ -124,14 +124,65 @@ def phrase_reviews(phrases: DataFrame, reviews: DataFrame, column: str = "full_t
     return rows.groupBy("product_id", "phrase").agg(F.count("*").alias("reviews"))
 
 
-def llm(reviews: DataFrame, model: Model = echo_model, top: int = 80, stop=L.STOP_WORDS) -> DataFrame:
-    """Frequent phrases of useful reviews, counted by review, handed to a model."""
+def task(name: str, *parts) -> Column:
+    """A prompt: the task's name, then its parts, by tabs."""
+    return F.concat_ws("\t", F.lit(name), *parts)
+
+
+TEXTS = "positive string, negative string, general string"
+
+
+def asked(rows: DataFrame, prompt, model: Model, schema: str, out: str, tries: int) -> DataFrame:
+    """Adds what a model answers, parsed; null where it fails or answers what the schema can't hold."""
+    rows = with_model(rows.withColumn("_prompt", prompt), "_prompt", model, "_answer", tries)
+    return rows.withColumn(out, answer_json(F.col("_answer"), schema)).drop("_prompt", "_answer")
+
+
+def llm(reviews: DataFrame, model: Model = echo_model, top: int = 80, stop=L.STOP_WORDS, representative_count: int = 10) -> DataFrame:
+    """The phrase method: frequent phrases of useful reviews; a model filters them by sentiment and generalizes them, they are counted by
+    review, and go with representative reviews into a text that the model writes and corrects.
+
+    ``product_id, phrases`` (phrase, sentiment, short, reviews; by falling count) and ``texts``. Tries 3, 3, 4 and 3. Without an answer
+    all phrases stay as neutral ones, a phrase is its own short form, and an uncorrected text stands.
+    """
     rows = useful_reviews(reviews)
-    phrases = bigrams_and_trigrams(rows, "product_id", "full_text", top, stop)
-    counted = phrase_reviews(phrases, rows)
-    lists = counted.groupBy("product_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct((-F.col("reviews")).alias("k"), "phrase")))).alias("prompt"))
-    asked = with_model(lists, "prompt", model)
-    return asked.select("product_id", "answer", answer_json(F.col("answer"), "positive string, negative string, general string").alias("texts"))
+    # phrases are read several times; a product has ``top`` of them
+    frequent = bigrams_and_trigrams(rows, "product_id", "full_text", top, stop)
+    lists = frequent.groupBy("product_id").agg(F.array_sort(F.collect_list("phrase")).alias("all"))
+    judged = asked(lists, task("filter", F.to_json("all")), model, "map<string,string>", "_kept", 3)
+    kept = F.when(F.col("_kept").isNull(), F.col("all")).otherwise(F.filter("all", lambda p: F.element_at("_kept", p).isin("positive", "negative")))
+    judged = judged.withColumn("kept", kept)
+    judged = asked(judged, task("generalize", F.to_json("kept")), model, "map<string,string>", "_short", 3)
+    phrase = F.explode(F.transform("kept", lambda p: F.struct(p.alias("phrase"), F.coalesce(F.element_at("_kept", p), F.lit("neutral")).alias("sentiment"), F.coalesce(F.element_at("_short", p), p).alias("short"))))
+    chosen = judged.select("product_id", phrase.alias("p")).select("product_id", "p.*")
+    counted = phrase_reviews(chosen.select("product_id", "phrase"), rows)
+    item = F.struct((-F.col("reviews")).alias("k"), "phrase", "sentiment", "short", "reviews")
+    gathered = chosen.join(counted, ["product_id", "phrase"]).groupBy("product_id").agg(F.array_sort(F.collect_list(item)).alias("phrases"))
+    shown = representative(rows, representative_count).groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("review_id", "full_text"))).alias("_reviews"))
+    out = gathered.join(shown, "product_id", "left")
+    texts = F.transform("_reviews", lambda r: r["full_text"])
+    out = asked(out, task("generate", F.to_json("phrases"), F.to_json(texts)), model, TEXTS, "_texts", 4)
+    out = asked(out, task("correct", F.to_json("_texts")), model, TEXTS, "_fixed", 3)
+    return out.select("product_id", "phrases", F.coalesce("_fixed", "_texts").alias("texts"))
+
+
+def aspect(reviews: DataFrame, model: Model, sample: int = 50, per_aspect: int = 5, representative_count: int = 10, seed: int = 0) -> DataFrame:
+    """The aspect method: a model names aspects with word stems from a sample of a product's reviews; their sentences are counted, and a model writes the text.
+
+    ``product_id, phrases`` (aspect, sentiment, phrase, reviews; by rank) and ``texts``. Aspects can be given instead: see ``aspect_phrases``.
+    """
+    drawn = stratified(with_text(reviews), sample, seed).groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("review_id", "full_text"))).alias("_reviews"))
+    texts = F.transform("_reviews", lambda r: r["full_text"])
+    named = asked(drawn, task("aspects", F.to_json(texts)), model, "map<string,array<string>>", "_aspects", 3)
+    pairs = F.array_sort(F.map_entries("_aspects"))
+    keys = named.select("product_id", F.posexplode(pairs).alias("ord", "a")).select("product_id", "ord", F.col("a.key").alias("aspect"), F.explode("a.value").alias("keyword"))
+    found = aspect_phrases(reviews, keys, per_aspect)
+    item = F.struct("ord", "sentiment", "rank", "aspect", "phrase", "reviews")
+    gathered = found.groupBy("product_id").agg(F.array_sort(F.collect_list(item)).alias("phrases"))
+    shown = representative(with_text(reviews), representative_count).groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("review_id", "full_text"))).alias("_shown"))
+    out = gathered.join(shown, "product_id", "left")
+    out = asked(out, task("generate", F.to_json("phrases"), F.to_json(F.transform("_shown", lambda r: r["full_text"]))), model, TEXTS, "texts", 4)
+    return out.select("product_id", "phrases", "texts")
 
 
 def sentence_sentiments(reviews: DataFrame) -> DataFrame:
@@ -149,10 +200,12 @@ def aspect_phrases(reviews: DataFrame, keywords: DataFrame, per_aspect: int = 5)
     Aspects are given by hand or a model for all products: a table that travels as one array, so that sentences are never multiplied by keywords.
     """
     rows = sentence_sentiments(reviews).select("product_id", "review_id", "sentiment", F.lower("sentence").alias("phrase"))
-    lists = keywords.groupBy("aspect", "ord").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
-    whole = lists.agg(F.array_sort(F.collect_list(F.struct("ord", "aspect", "keywords"))).alias("_aspects"))
+    own = ["product_id"] if "product_id" in keywords.columns else []  # a product's own aspects, or the same for all
+    lists = keywords.groupBy(*own, "aspect", "ord").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
+    whole = lists.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("ord", "aspect", "keywords"))).alias("_aspects"))
+    met = rows.join(whole, "product_id") if own else rows.join(F.broadcast(whole))  # one row
     held = F.filter("_aspects", lambda a: F.exists(a["keywords"], lambda k: F.contains(F.col("phrase"), k)))
-    hit = rows.join(F.broadcast(whole)).select("product_id", "review_id", "sentiment", "phrase", F.explode(held).alias("a"))  # one row
+    hit = met.select("product_id", "review_id", "sentiment", "phrase", F.explode(held).alias("a"))
     counted = hit.groupBy("product_id", F.col("a.aspect").alias("aspect"), F.col("a.ord").alias("ord"), "sentiment", "phrase")
     counted = counted.agg(F.countDistinct("review_id").alias("reviews"))
     order = Window.partitionBy("product_id", "aspect", "sentiment").orderBy(F.desc("reviews"), "phrase")
@@ -178,7 +231,7 @@ def aspect_evidence(reviews: DataFrame, p: A.Params = A.Params()) -> dict[str, D
     }
 
 
-METHODS: dict[str, Callable] = {"stub": stub, "llm": llm, "aspect": aspect_phrases, "aspect_evidence": aspect_evidence}
+METHODS: dict[str, Callable] = {"stub": stub, "llm": llm, "aspect": aspect, "aspect_phrases": aspect_phrases, "aspect_evidence": aspect_evidence}
 
 
 def summarize(method: str, reviews: DataFrame, *args, **params):

@@ -404,15 +404,3 @@ SELECT product_id, count(*) AS reviews_count, avg(rating) AS rating_avg, string_
   string_agg(minus, '; ' ORDER BY review_id) FILTER (minus <> '' AND m <= 3) AS text_cons FROM k GROUP BY 1""")
 def stub_summary(spark, d):
     return M.stub(reviews(spark, d))
-
-
-@query()
-def llm_summary(spark, d):
-    rows = M.llm(reviews(spark, d), stop=STOP)
-    return rows.select("product_id", "texts.positive", "texts.general")
-
-
-@query()
-def aspect_method_phrases(spark, d):
-    keys = spark.createDataFrame([("first", 0, "the"), ("first", 0, "tion"), ("second", 1, "ment")], "aspect string, ord int, keyword string")
-    return M.aspect_phrases(reviews(spark, d), keys)

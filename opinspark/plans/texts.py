@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from ..operators import suggest as S
 from ..operators import summaries as M
 from ..sources import benchmark as B
 from ..sources.adapter import reviews, table
-from .queries import SPANS_SQL, STRIP, WITH_REVIEWS, query
+from .queries import GRAMS, SPANS_SQL, SQL, STOP, STRIP, USEFUL_SQL, WITH_REVIEWS, query
 
 # Tails that trip the filters, dealt out by id.
 TAILS = ("", " 12 руб", " ДОСТАВКА", " Заказал вчера", " 5 дн", " через неделю сломался", " a.b+c@d-e.fg", " +7 900 123-45-67", " 1a2b3c4", " 01.02.2024", " и не все", " полгода")
@@ -134,6 +136,53 @@ def aspect_method_phrases(spark, d):
     return M.aspect_phrases(reviews(spark, d), spark.createDataFrame(list(ASPECTS), "aspect string, ord int, keyword string"))
 
 
+def stand_in(prompt: str) -> str:
+    """A model that answers the methods' tasks by rules: it drops phrases of 3, 6, ... characters, shortens to the first word, counts, and sets full stops."""
+    name, *parts = prompt.split("\t")
+    given = [json.loads(p) for p in parts]
+    if name == "filter":
+        answer = {p: "negative" if len(p) % 2 else "positive" for p in given[0] if len(p) % 3}
+    elif name == "generalize":
+        answer = {p: p.split()[0] for p in given[0]}
+    elif name == "aspects":
+        answer = {"first": ["the", "tion"], "second": ["ment", "the "]}
+    elif name == "generate":
+        count = lambda kind: str(sum(p["sentiment"] == kind for p in given[0]))
+        answer = {"positive": count("positive"), "negative": count("negative"), "general": str(len(given[1]))}
+    else:
+        answer = {k: v + "." for k, v in given[0].items()}
+    return "```json\n" + json.dumps(answer, ensure_ascii=False) + "\n```"
+
+
+_WORD = r"[^\p{L}\p{N}_]"
+
+
+@query(f"""{USEFUL_SQL}, words AS (SELECT product_id, review_id, 0 AS span_index, list_filter(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+'), lambda x: x NOT IN {STOP}) AS w FROM useful),
+g AS (SELECT product_id, unnest(g) AS phrase, 2 AS size FROM ({GRAMS.format(n=2)}) UNION ALL SELECT product_id, unnest(g), 3 FROM ({GRAMS.format(n=3)})),
+r AS (SELECT *, row_number() OVER (PARTITION BY product_id, size ORDER BY n DESC, phrase) AS rank FROM (SELECT product_id, phrase, size, count(*) AS n FROM g GROUP BY 1, 2, 3)),
+kept AS (SELECT product_id, phrase FROM r WHERE rank <= 40 AND length(phrase) % 3 > 0),
+cnt AS (SELECT k.product_id, phrase, count(*) AS reviews FROM kept k JOIN useful u ON k.product_id = u.product_id AND contains(lower(t), phrase) AND regexp_matches(lower(t), '(^|{_WORD})' || phrase || '($|{_WORD})') GROUP BY 1, 2),
+shown AS (SELECT product_id, least(10, count(*)) AS n FROM useful GROUP BY 1)
+SELECT product_id, count(*) AS phrases, sum(reviews)::BIGINT AS reviews, count(*) FILTER (length(phrase) % 2 = 0) || '.' AS positive, count(*) FILTER (length(phrase) % 2 = 1) || '.' AS negative, any_value(shown.n) || '.' AS general,
+  string_agg(DISTINCT string_split(phrase, ' ')[1], ',' ORDER BY string_split(phrase, ' ')[1]) AS shorts FROM cnt JOIN shown USING (product_id) GROUP BY 1""")
+def llm_summary(spark, d):
+    rows = M.llm(reviews(spark, d), stand_in, stop=STOP)
+    total = F.aggregate("phrases", F.lit(0).cast("long"), lambda s, p: s + p["reviews"])
+    shorts = F.array_join(F.array_sort(F.array_distinct(F.transform("phrases", lambda p: p["short"]))), ",")
+    return rows.select("product_id", F.size("phrases").cast("long").alias("phrases"), total.alias("reviews"), "texts.*", shorts.alias("shorts"))
+
+
+_ASPECT_SQL = SQL["aspect_method_phrases"]
+
+
+@query(f"""SELECT a.product_id, count(*) AS phrases, sum(reviews)::BIGINT AS reviews, count(*) FILTER (sentiment = 'positive')::VARCHAR AS positive, count(*) FILTER (sentiment = 'negative')::VARCHAR AS negative, any_value(n)::VARCHAR AS general
+FROM ({_ASPECT_SQL}) a JOIN (SELECT doc_id % 50 AS product_id, least(10, count(*)) AS n FROM documents WHERE text <> '' GROUP BY 1) s ON s.product_id = a.product_id GROUP BY 1""")
+def aspect_summary(spark, d):
+    rows = M.aspect(reviews(spark, d), stand_in)
+    total = F.aggregate("phrases", F.lit(0).cast("long"), lambda s, p: s + p["reviews"])
+    return rows.select("product_id", F.size("phrases").cast("long").alias("phrases"), total.alias("reviews"), "texts.*")
+
+
 REQUESTS_SQL = f"""{WITH_REVIEWS}, requests AS (SELECT review_id AS request_id, product_id, user_id, (['title', 'plus', 'minus', 'comment'])[review_id % 4 + 1] AS field, rating, comment AS text,
   CAST(5 + review_id * 13 % 400 AS INTEGER) AS cursor FROM reviews),
 cut AS (SELECT *, substring(text, 1, greatest(0, least(cursor, length(text)))) AS before FROM requests),

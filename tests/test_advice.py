@@ -9,6 +9,7 @@ from opinspark.operators import folds
 from opinspark.operators import summaries as M
 from opinspark.plans import profiles as P
 from opinspark.plans import queries as Q
+from opinspark.sources.adapter import reviews
 from opinspark.streaming import jobs as J
 
 
@@ -74,11 +75,17 @@ def test_prefixes_of_rare_phrases(spark, tmp_path):
     assert "zz zebra" in got
 
 
-def test_llm_summary_asks_about_80_phrases(spark, tmp_path, monkeypatch):
+def test_llm_counts_80_phrases_when_nothing_is_filtered(spark, tmp_path):
     d = tables(spark, tmp_path, [" ".join(f"word{i}" for i in range(100))])
-    asked = M.llm
-    monkeypatch.setattr(M, "llm", lambda *a, **k: asked(*a, **k, model=lambda prompt: json.dumps({"general": str(prompt.count('"phrase"'))})))
-    assert Q.llm_summary(spark, d).first().general == "80"
+
+    def model(prompt):
+        name, *parts = prompt.split("\t")
+        if name != "generate":
+            raise RuntimeError("no answer")
+        return json.dumps({"general": str(len(json.loads(parts[0])))})
+
+    row = M.llm(reviews(spark, d), model).first()
+    assert row.texts.general == "80" and {p.sentiment for p in row.phrases} == {"neutral"}
 
 
 def test_near_equal_labels_are_one_aspect(spark):
@@ -86,3 +93,14 @@ def test_near_equal_labels_are_one_aspect(spark):
     rows = spark.createDataFrame([(1, 1, 5.0, None, "дисплей", None, None), (2, 1, 5.0, None, "дисплеи", None, None)], schema)
     got = M.summarize("aspect_evidence", rows)["clusters"].collect()
     assert [(r.total, r.aliases) for r in got] == [(2, 2)]
+
+
+def test_partial_ratio_against_all_pieces():
+    rng = random.Random(5)
+    for _ in range(800):
+        a, b = ("".join(rng.choice("abc d") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        short, long = sorted((a, b), key=len)
+        every = max((folds.ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1)), default=0.0) if short else 0.0
+        assert abs(folds.partial_ratio(a, b) - every) < 1e-9
+        for least in (50, 72, 85):
+            assert abs(folds.partial_ratio(a, b, least) - (every if every >= least else 0.0)) < 1e-9
