@@ -24,8 +24,6 @@ from . import kernels as K
 from .common import materialize
 
 GRAM = 5
-#: a word, in texts of any case: what [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ finds after A-Z are lower-cased
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PRINTS = "key string, start long, length int, print long, a long, b long"
 
 
@@ -147,6 +145,17 @@ def hits(
     return materialize(runs.join(named, "key").select("key", "n_hit", "items", "spans"))
 
 
+def words_in(text: Column) -> Column:
+    """Number of words of a text, 0 for null. Only the texts go to Python."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            counts = [np.diff(K.Words(K.Texts(batch.slice(at, to - at)), K.ALNUM, True).of) for at, to in K.slices(batch)]
+            yield pa.array(np.concatenate([np.zeros(0, np.int64), *counts]), pa.int64())
+
+    return F.arrow_udf(run, "long")(text)
+
+
 def _small(found: DataFrame, most_bytes: int) -> DataFrame:
     """``found``, to be broadcast where it's ``most_bytes`` or less."""
     listed = F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 8) if "items" in found.columns else F.lit(0)
@@ -176,7 +185,7 @@ def decontaminate(
     benchmark hits nothing. The documents' other columns are carried, whatever their names.
     """
     found = _small(hits(docs, benchmark, text, item_id, item_text, window, filter_words), broadcast_bytes).withColumnRenamed("key", "_hit")
-    rows = docs.select(F.struct("*").alias("doc"), text_key(F.col(text)).alias("_key"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    rows = docs.select(F.struct("*").alias("doc"), text_key(F.col(text)).alias("_key"), words_in(F.col(text)).alias("n_words"))
     return rows.join(found, F.col("_key") == F.col("_hit"), "left").select(
         "doc",
         "n_words",
