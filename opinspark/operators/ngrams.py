@@ -142,11 +142,12 @@ def stored_phrases(bank: DataFrame, most: int = 2000) -> DataFrame:
     return bank.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
-def continuations(segs: DataFrame, following: int = 1, most: int = 30, column: str = "tokens", keywords: DataFrame | None = None) -> DataFrame:
+def continuations(segs: DataFrame, following: int = 1, most: int = 30, column: str = "tokens", keywords: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
     """What follows each context of one to four tokens: first-seen order, at most 30 a context.
 
     Score .55 for a single sighting, else min(1, .5 + n / 15). ``column`` holds surface tokens (one follows) or lemmas (``following`` 2).
-    With ``keywords`` (product_id, aspect_id, ord, keyword) the aspect of the first keyword that context and next hold together.
+    With ``keywords`` (product_id, aspect_id, ord, keyword) the aspect of the first keyword that context and next hold together; with
+    ``asked`` (product_id, context) only those contexts.
     """
     size = F.size(column)
     contexts = F.flatten(
@@ -163,6 +164,8 @@ def continuations(segs: DataFrame, following: int = 1, most: int = 30, column: s
         )
     )
     rows = segs.filter(size >= 2).select("product_id", "seq", "weak", F.explode(contexts).alias("c"))
+    if asked is not None:
+        rows = rows.withColumn("context", F.col("c.context")).join(asked.distinct(), ["product_id", "context"], "left_semi")
     first = F.struct("seq", F.col("c.i"))
     counted = rows.groupBy("product_id", F.col("c.context").alias("context"), F.col("c.next").alias("next")).agg(
         F.count("*").alias("n"), F.min(first).alias("first"), F.min_by("weak", first).alias("weak")
@@ -185,15 +188,17 @@ def lemmas(tokens, known: dict[str, str] | None = None, least: int = 3):
     return F.transform(long, lambda w: F.coalesce(F.element_at(table, w), w))
 
 
-def prefix_index(phrases: DataFrame, most: int = 20) -> DataFrame:
+def prefix_index(phrases: DataFrame, most: int = 20, asked: DataFrame | None = None) -> DataFrame:
     """Phrases by each prefix of 2 to 40 characters, of the phrase and of its words of three letters or more.
 
     A phrase comes once a product, so distinct entries of a phrase are distinct rows and the cut can begin before the shuffle.
+    With ``asked`` (product_id, prefix) only those prefixes' buckets are built.
     """
     entries = F.array_distinct(F.concat(F.array("phrase"), F.filter(F.split("phrase", " "), lambda w: F.length(w) >= 3)))
     rows = phrases.filter(F.length("phrase") >= 2).select("product_id", "phrase", "quality", "weak", F.explode(entries).alias("insert_text"))
     prefixes = F.transform(F.sequence(F.lit(2), F.least(F.lit(40), F.length("insert_text"))), lambda n: F.left("insert_text", n))
     rows = rows.filter(F.length("insert_text") >= 2).select("*", F.explode(prefixes).alias("prefix"))
+    rows = rows.join(asked.distinct(), ["product_id", "prefix"], "left_semi") if asked is not None else rows
     order = Window.partitionBy("product_id", "prefix").orderBy(F.desc("quality"), "phrase", "insert_text")
     ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     return ranked.select("product_id", "prefix", "rank", F.col("phrase").alias("text"), "insert_text", F.col("quality").alias("score"), "weak")

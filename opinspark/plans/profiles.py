@@ -227,13 +227,13 @@ by_ngram AS (SELECT request_id, field, rating, before, 'ngram' AS source, next A
 @query(f"{BANK_SQL}, {PREFIXES_SQL}, {REQUESTS_SQL.removeprefix(WITH_REVIEWS + ', ')}, {_BY_PREFIX} SELECT request_id, text, insert_text, mode, prefix FROM by_prefix")
 def suggest_prefix(spark, d):
     states = S.requests(requests(spark, d))
-    return S.by_prefix(states, N.prefix_index(N.phrase_bank(segments(spark, d)))).select("request_id", "text", "insert_text", "mode", "prefix")
+    return S.by_prefix(states, N.prefix_index(N.phrase_bank(segments(spark, d)), asked=S.asked_prefixes(states))).select("request_id", "text", "insert_text", "mode", "prefix")
 
 
 @query(f"{CONTINUATIONS_SQL}, {REQUESTS_SQL.removeprefix(WITH_REVIEWS + ', ')}, {_BY_NGRAM} SELECT request_id, text, ngram, frequency, mood FROM by_ngram")
 def suggest_ngram(spark, d):
     states = S.requests(requests(spark, d))
-    return S.by_ngram(states, N.continuations(segments(spark, d))).select("request_id", "text", "ngram", "frequency", "mood")
+    return S.by_ngram(states, N.continuations(segments(spark, d), asked=S.asked_contexts(states))).select("request_id", "text", "ngram", "frequency", "mood")
 
 
 @query(f"""{BANK_SQL}, {PREFIXES_SQL}, {CONTINUATIONS_SQL.removeprefix(SEGMENTS_SQL + ', ')}, {REQUESTS_SQL.removeprefix(WITH_REVIEWS + ', ')}, {_BY_PREFIX}, {_BY_NGRAM},
@@ -245,19 +245,21 @@ one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, tri
 scored AS (SELECT *, 0.25::DOUBLE * prefix + 0.25::DOUBLE * ngram + 0.10::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE, mood + {_SHIFT})) + 0.10::DOUBLE * least(1.0::DOUBLE, frequency) + 0.05::DOUBLE * quality AS score FROM one c WHERE {_SAFE})
 SELECT {SUGGEST_TAIL} FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, place, text, insert_text) AS rank FROM scored) WHERE rank <= 3""")
 def suggest_basic(spark, d):
-    segs = segments(spark, d)
-    rows = S.suggest(requests(spark, d), N.prefix_index(N.phrase_bank(segs)), N.continuations(segs))
+    segs, states = segments(spark, d), S.requests(requests(spark, d))
+    prefixes = N.prefix_index(N.phrase_bank(segs), asked=S.asked_prefixes(states))
+    rows = S.suggest(requests(spark, d), prefixes, N.continuations(segs, asked=S.asked_contexts(states)))
     return rows.withColumn("score", F.round("score", 9))
 
 
 @query()
 def suggest_ranked(spark, d):
-    segs = segments(spark, d)
+    segs, states = segments(spark, d), S.requests(requests(spark, d))
     keys, aspects = _aspects(segs)
     phrases = folds.distinct_phrases(N.whole_bank(N.phrase_bank(segs), keys, aspects))
+    contexts = S.asked_contexts(states)
     return S.suggest(
-        requests(spark, d), N.prefix_index(phrases), N.continuations(segs), _user_phrases(spark, d), aspects,
-        N.continuations(segs.withColumn("lemmas", N.lemmas(F.col("tokens"))), 2, column="lemmas"),
+        requests(spark, d), N.prefix_index(phrases, asked=S.asked_prefixes(states)), N.continuations(segs, asked=contexts), _user_phrases(spark, d), aspects,
+        N.continuations(segs.withColumn("lemmas", N.lemmas(F.col("tokens"))), 2, column="lemmas", asked=contexts),
     )
 
 
