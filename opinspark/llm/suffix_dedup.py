@@ -9,6 +9,9 @@ bytes. Equal pieces are merged and counted first; pieces that differ, but share
 The task concatenates its pieces and sorts their suffixes: triples at places 1 and 2 modulo 3 are sorted and
 named, the string of names is sorted by recursion (until names tell all suffixes apart, or span more than 200 bytes), the
 remaining suffixes are sorted by first symbol and rank of the next, and merged in. Then adjacent suffixes are compared over 200 bytes.
+
+A fingerprint inside a passage that very many texts share has a different piece in each of them, wherever the passage ends. From
+``hot_pieces`` on, such pieces aren't brought together: each chunk sends two hashes of their strings, dealt out by the first.
 """
 
 from __future__ import annotations
@@ -162,7 +165,7 @@ def _describe(length: int):
     return run
 
 
-REPEATED, SEND = 1, 2
+REPEATED, SEND, HOT = 1, 2, 4
 
 
 class _Pieces:
@@ -202,15 +205,32 @@ class _Pieces:
             at = to
         return K.mix(out ^ self.prints)
 
-
-def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
+    def strings(self, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Starts, in the chunk's bytes, of all strings of the pieces ``at`` (ascending), and two hashes of each."""
+        start, end = (x[at] for x in self.bounds())
+        counts = end - start - self.length + 1
+        begin = np.repeat(start - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        data, hashes = self.data(), [np.zeros(len(begin), np.uint64) for _ in range(2)]
+        k = 0
+        while k < len(begin):  # pieces have their strings apart, so starts ascend
+            to = max(k + 1, int(np.searchsorted(begin, begin[k] + PART)))
+            first = begin[k:to] - begin[k]
+            for which, out in enumerate(hashes):
+                sums = K.prefix(K.BYTE[which][data[begin[k] : begin[to - 1] + self.length]], K.BASE[which])
+                out[k:to] = K.spans(sums, first, first + self.length, K.BASE[which])
+            k = to
+        return begin, hashes
+
+
+def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, hot_pieces: int = 1024) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, spans, kept``: one row per row of ``docs``.
 
     ``spans`` are the maximal runs (first byte, end exclusive) of bytes covered by a string of ``length`` bytes that also
     starts elsewhere, in the same or any other text; ``kept`` is the rest of the UTF-8 text. Strings don't cross texts. Null texts are
     empty; repeated rows repeat each other, so that long ones vanish altogether. Other columns are not looked at.
 
-    Pieces are told apart by 64-bit hashes, strings inside tasks byte by byte.
+    Pieces are told apart by 64-bit hashes, strings inside tasks byte by byte, those of fingerprints with more than ``hot_pieces``
+    different pieces by two 64-bit hashes.
     """
     if length < 16:
         raise ValueError("length must be 16 bytes at least")
@@ -218,6 +238,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     bits = pages.ranges(pages.bytes / (length // 4))
     # a piece takes about five times the bytes it stands for: tasks sort 2 MB at most, if all is shared
     sort_bits = pages.ranges(5 * pages.bytes, 2 << 20)
+    string_bits = pages.ranges(pages.bytes / 8)
     by = lambda df, key: df.groupBy(key)
     chunk_of = lambda t: t.column("chunk")[0].as_py() if len(t) else 0
 
@@ -249,6 +270,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         return X.pack(chunk_of(table), bits, np.asarray(pairs.p), 8, (counts > 1).astype(np.uint8), np.asarray(pairs.c).view(np.int64))
 
     states = "chunk int, contents binary, states binary"
+    sent_columns = ["range", "chunk", "contents", "sizes", "texts", "keys", "flags", "checks"]
 
     def judge(table: pa.Table) -> pa.Table:
         keys, flags, ids, row = X.unpack(table, 8)
@@ -266,7 +288,11 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         # a sole content can't differ from another; else its first holder sends it
         state = np.zeros(len(k), np.uint8)
         state[np.repeat(twice, size)] |= REPEATED
-        state[begin[~alone]] |= SEND
+        edge = np.flatnonzero(np.diff(kb, prepend=~kb[:1]) != 0)
+        many = np.diff(np.append(edge, len(kb)))
+        hot = np.repeat(many > hot_pieces, many) & ~alone
+        state[begin[~alone & ~hot]] |= SEND
+        state[begin[hot]] |= HOT
         back = np.empty(len(k), np.uint8)
         back[order] = state
         chunk = np.array(table.column("chunk").to_pylist())
@@ -305,9 +331,36 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             rows.append((int(key_range[a]), chunk_of(table), hashes[at[a:b]].tobytes(), (end - start)[at[a:b]].astype(np.uint16 if length < 10_000 else np.uint32).tobytes(), texts))
         columns = zip(*rows, strict=True) if rows else ([], [], [], [], [])
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["range", "chunk", "contents", "sizes", "texts"])
+        pieces = pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["range", "chunk", "contents", "sizes", "texts"])
+        return pa.concat_tables([pieces, send_strings(chunk_of(table), own, hashes, contents[state & HOT > 0])], promote_options="default").select(sent_columns)
+
+    def send_strings(chunk: int, own: _Pieces, hashes: np.ndarray, hot: np.ndarray) -> pa.Table:
+        at = np.flatnonzero(X.among(hot, hashes))
+        _, one = np.unique(hashes[at], return_index=True)
+        _, (key, check) = own.strings(np.sort(at[one]))
+        pairs, counts = np.unique(np.rec.fromarrays([key, check], names="k,c"), return_counts=True)
+        out = X.pack(chunk, string_bits, np.asarray(pairs.k), 8, (counts > 1).astype(np.uint8), None, np.asarray(pairs.c))
+        # ranges of strings come behind those of pieces
+        return out.set_column(0, "range", pc.add(out.column("range"), pa.scalar(1 << sort_bits, pa.int32())))
+
+    def judge_strings(table: pa.Table) -> pa.Table:
+        key, check, _, row = X.checked(table.append_column("ids", pa.nulls(len(table), pa.binary())))
+        flags = np.frombuffer(b"".join(table.column("flags").to_pylist()), np.uint8)
+        order = np.lexsort((check, key))
+        k, c = key[order], check[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(k)))
+        keep = np.zeros(len(k), bool)
+        keep[order] = np.repeat((size > 1) | (np.maximum.reduceat(flags[order], begin) > 0), size)
+        found = X.answer(table, key, row, keep)
+        none = pa.nulls(len(found), pa.binary())
+        return pa.table({"chunk": found.column("chunk"), "contents": none, "masks": none, "strings": found.column("keys")})
 
     def sort_suffixes(table: pa.Table) -> pa.Table:
+        if table.column("keys")[0].is_valid:
+            return judge_strings(table)
         pieces, counts = [], []
         for texts, sizes in zip(table.column("texts").to_pylist(), table.column("sizes").to_pylist(), strict=True):
             ends = np.cumsum(np.frombuffer(sizes, np.uint16 if length < 10_000 else np.uint32).astype(np.int64))
@@ -320,7 +373,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         for n in counts:
             joined.append(b"".join(bits_of[at : at + n]))
             at += n
-        return pa.table({"chunk": table.column("chunk"), "contents": table.column("contents"), "masks": pa.array(joined, pa.binary())})
+        return pa.table({"chunk": table.column("chunk"), "contents": table.column("contents"), "masks": pa.array(joined, pa.binary()), "strings": pa.nulls(len(table), pa.binary())})
 
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<first:long,end:long>>, kept binary"
 
@@ -349,16 +402,22 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             at = start[part][piece] + offset
             np.add.at(edge, at, 1)
             np.add.at(edge, at + length, -1)
+        repeats = np.sort(np.frombuffer(b"".join(x or b"" for x in found.column("strings").to_pylist()), np.uint64))
+        begin, (key, _) = own.strings(np.flatnonzero(X.among(contents[state & HOT > 0], hashes) & ~full))
+        at = begin[X.among(repeats, key)]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + length, -1)
         return _cut(table, own, np.cumsum(edge[:-1]) > 0, data)
 
     prints = by(pages.table.select("chunk", "prints"), "chunk").applyInArrow(send_prints, X.PACKED)
     shared = materialize(by(prints, "range").applyInArrow(shared_prints, X.ANSWER))
     contents = by(pages.table.drop("doc_id"), "chunk").cogroup(by(shared, "chunk")).applyInArrow(send_contents, X.PACKED)
     judged = materialize(by(contents, "range").applyInArrow(judge, states))
-    pieces = by(pages.table.drop("doc_id"), "chunk").cogroup(by(judged, "chunk")).applyInArrow(send_pieces, "range int, chunk int, contents binary, sizes binary, texts binary")
-    masks = materialize(by(pieces, "range").applyInArrow(sort_suffixes, "chunk int, contents binary, masks binary"))
+    pieces = by(pages.table.drop("doc_id"), "chunk").cogroup(by(judged, "chunk")).applyInArrow(send_pieces, ", ".join(f"{c} {'int' if c in ('range', 'chunk') else 'binary'}" for c in sent_columns))
+    masks = materialize(by(pieces, "range").applyInArrow(sort_suffixes, "chunk int, contents binary, masks binary, strings binary"))
     none = F.lit(None).cast("binary")
-    found = judged.withColumn("masks", none).unionByName(masks.withColumn("states", none)).select("chunk", "contents", "states", "masks")
+    found = judged.withColumns({"masks": none, "strings": none}).unionByName(masks.withColumn("states", none))
+    found = found.select("chunk", "contents", "states", "masks", "strings")
     return by(pages.table, "chunk").cogroup(by(found, "chunk")).applyInArrow(remove, result)
 
 

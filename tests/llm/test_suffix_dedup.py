@@ -68,8 +68,8 @@ def test_equal_strings_have_equal_fingerprints():
     assert len(seen) == len({t[i : i + 16] for t in texts for i in range(len(t) - 15)})
 
 
-def check(spark, docs, length=200):
-    got = suffix_dedup(documents(spark, docs), length=length).collect()
+def check(spark, docs, length=200, **options):
+    got = suffix_dedup(documents(spark, docs), length=length, **options).collect()
     result = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got)
     assert result == brute([r[:2] for r in docs], length)
     assert all(sum(s.end - s.first for s in r.spans) == r.n_removed for r in got)
@@ -84,6 +84,19 @@ def test_matches_brute_force(spark):
     got = check(spark, docs)
     assert sum(r.n_removed > 0 for r in got) > 60
     check(spark, docs[:80], 24)
+    check(spark, docs[:80], 24, hot_pieces=1)
+
+
+def test_passage_of_many_texts(spark):
+    """Fingerprints that stand in a different piece of every text."""
+    rng = random.Random(15)
+    salad = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    passage, ends = salad(260), [salad(60) for _ in range(4)]
+    docs = [(i, salad(90) + rng.choice(ends) + passage + rng.choice(ends) + salad(i), "", "", 0, 0, "", 0) for i in range(120)]
+    docs += [(500, docs[7][1], "", "", 0, 0, "", 0), (501, passage * 3, "", "", 0, 0, "", 0), (502, "ab" * 200, "", "", 0, 0, "", 0), (None, None, "", "", 0, 0, "", 0)]
+    for most in (1, 20, 1024):
+        got = check(spark, docs, hot_pieces=most)
+    assert sum(r.n_removed > 200 for r in got) > 100
 
 
 def test_empty_and_repeats(spark):
