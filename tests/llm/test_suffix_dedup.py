@@ -68,6 +68,13 @@ def test_equal_strings_have_equal_fingerprints():
     assert len(seen) == len({t[i : i + 16] for t in texts for i in range(len(t) - 15)})
 
 
+def test_fingerprints_fill_ranges_alike():
+    rng = random.Random(5)
+    *_, hashes = fingerprints(K.Texts(pa.array(["".join(rng.choice("abcdefgh") for _ in range(60_000))])), 200)
+    counts = np.bincount((hashes >> np.uint64(61)).astype(np.int64), minlength=8)
+    assert counts.sum() > 800 and counts.max() < 2 * counts.min()
+
+
 def check(spark, docs, length=200, **options):
     got = suffix_dedup(documents(spark, docs), length=length, **options).collect()
     result = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got)
