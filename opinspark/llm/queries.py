@@ -16,6 +16,7 @@ from .licenses import scan_licenses
 from .mixing import mix
 from .mtree import top_k
 from .ngram_join import ngram_jaccard_components
+from .resampling import resample
 from .secrets import KINDS, scan_secrets
 from .secrets import train as train_secrets
 from .sharding import shard_by_bytes
@@ -119,6 +120,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_licenses(spark, sf_dir).drop("labels", "score")
 
@@ -148,6 +153,7 @@ QUERIES = {
         op8_mixing,
         op9_secrets,
         op10_ngram_join,
+        op13_resampling,
         base_licenses,
         base_mixing,
         base_secrets,

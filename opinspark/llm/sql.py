@@ -182,12 +182,44 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN d.do
 FROM d LEFT JOIN n USING (rn) LEFT JOIN one USING (rn) LEFT JOIN component ON one.class = component.class
 """
 
+#: features by their text; CRC-32 byte by byte for each different one
+RESAMPLING = f"""
+WITH RECURSIVE step(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM step WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+texts AS (
+  SELECT row_number() OVER () AS rn, doc_id, {_alnum("text")} AS w, TRUE AS own FROM documents
+  UNION ALL SELECT -row_number() OVER (), NULL, {_alnum("text")}, FALSE FROM benchmark
+), runs AS (
+  SELECT rn, own, array_to_string(w[i : i + k - 1], ' ') AS f
+  FROM (SELECT rn, own, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM texts, (VALUES (1), (2), (3)) ks(k) WHERE len(w) >= k)
+), posted AS (SELECT rn, own, f, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT f, list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda x: CAST(('0x' || x) AS BIGINT)) AS x FROM (SELECT DISTINCT f FROM posted)),
+hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, x), lambda a, y: xor(a // 256, crc.t[CAST(xor(a % 256, y) + 1 AS BIGINT)])), 4294967295) % 10000 AS bucket FROM bytes, crc
+), counted AS (SELECT rn, own, bucket, n FROM posted JOIN hashed USING (f)),
+sums AS (SELECT bucket, sum(n) FILTER (own) AS s, sum(n) FILTER (NOT own) AS t FROM counted GROUP BY bucket),
+every AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS a, CAST(coalesce(sum(t), 0) AS DOUBLE) AS b FROM sums),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (a + 10000) / ((coalesce(s, 0) + 1.0::DOUBLE) * (b + 10000)))) AS BIGINT) AS gain FROM sums, every
+), weighed AS (SELECT rn, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM counted JOIN gains USING (bucket) WHERE own GROUP BY rn),
+scored AS (
+  SELECT rn, doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    CAST(('0x' || sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8]) AS BIGINT) AS h
+  FROM texts LEFT JOIN weighed USING (rn) WHERE own
+), final AS (SELECT *, CAST(weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS LAST, rn) AS place, count(*) OVER (PARTITION BY able) AS able_rows FROM final)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * able_rows // 100 THEN place END AS rank FROM ranked
+"""
+
 SQL = {
     "op1_topk_search": TOPK,
     "op3_decontamination": DECONTAMINATION,
     "op4_suffix_dedup": SUFFIX_DEDUP,
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op7_sharding": SHARDING,
+    "op13_resampling": RESAMPLING,
     "base_licenses": LICENSES,
     "base_mixing": MIXING,
     "base_secrets": SECRETS,
