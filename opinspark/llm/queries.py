@@ -16,6 +16,7 @@ from .licenses import scan_licenses
 from .mixing import mix
 from .mtree import top_k
 from .ngram_join import ngram_jaccard_components
+from .packing import pack
 from .resampling import resample
 from .secrets import KINDS, scan_secrets
 from .secrets import train as train_secrets
@@ -26,6 +27,13 @@ from .suffix_dedup import suffix_dedup
 from .toxicity import grade, train
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file stands; the package is on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -120,6 +128,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).drop("row")
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
@@ -153,6 +165,7 @@ QUERIES = {
         op8_mixing,
         op9_secrets,
         op10_ngram_join,
+        op12_packing,
         op13_resampling,
         base_licenses,
         base_mixing,
