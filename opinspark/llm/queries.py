@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_corpus
 from .common import table
 from .decontamination import decontaminate
 from .licenses import scan_licenses
@@ -128,6 +129,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_corpus(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).drop("row")
 
@@ -165,6 +170,7 @@ QUERIES = {
         op8_mixing,
         op9_secrets,
         op10_ngram_join,
+        op11_alignment,
         op12_packing,
         op13_resampling,
         base_licenses,
