@@ -12,7 +12,6 @@ counts of its own pairs, and its documents add them up.
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,13 +24,16 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import materialize
-from .memo import Memo, gather, tokenizer
+from .memo import Columns, Memo, gather, joined, merger, tokenizer, vocabulary
 
 SAFE = np.zeros(256, bool)  # solid to any tokenizer
 SAFE[0x21:0x7F] = True
 BLANK = np.zeros(256, bool)  # white space to some
 BLANK[:0x21] = BLANK[0x7F] = True
 WORD_START = "▁"  # stands for a space in pieces
+SEPARATOR = b" a"  # a stretch that is cut off from those beside it, whatever they are
+# fixed value: the pattern by which byte-level tokenizers split text before merging
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def stretches(texts: K.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -49,20 +51,6 @@ def stretches(texts: K.Texts) -> tuple[np.ndarray, np.ndarray]:
     return at, np.searchsorted(at, texts.bounds)
 
 
-@lru_cache(4)
-def byte_tokens(path: str) -> list[bytes]:
-    """Bytes of each id of a byte-level vocabulary."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; the others follow from U+0100
-    back = {chr(b): b for b in shown}
-    back |= {chr(0x100 + n): b for n, b in enumerate(b for b in range(256) if b not in set(shown))}
-    with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
-    out = [b""] * (max(vocabulary.values(), default=-1) + 1)
-    for token, i in vocabulary.items():
-        out[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
-    return out
-
-
 @lru_cache(4)
 def pieces(path: str):
     """A piece model, and the bytes of each id."""
@@ -89,50 +77,86 @@ def boundaries(a_end: np.ndarray, a_start: np.ndarray, b_start: np.ndarray, b_en
     return np.flatnonzero(np.cumsum(spanned[:-1]) == 0)
 
 
+def shown(ids: np.ndarray, last: np.ndarray, between: str, after: str) -> np.ndarray:
+    """A row of bytes an id: its decimal digits, zero bytes before them, and what separates it from the next."""
+    out = np.zeros((len(ids), 8), np.uint8)
+    for k in range(7):
+        place = 10**k
+        out[:, 6 - k] = np.where((ids >= place) | (k == 0), ids // place % 10 + 48, 0)
+    out[:, 7] = np.where(last, ord(after), ord(between))
+    return out
+
+
 class Aligner:
     """Tokens of both sides, their groups and links, by stretch."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a_bytes, self.encode_a = byte_tokens(a_path), tokenizer(a_path, True).encode_batch
+        self.a_bytes, self.encode_a = [x for x, _ in vocabulary(a_path)], tokenizer(a_path, True).encode_batch
+        self.merges = merger(a_path, BYTE_PATTERN)
         self.b_model, self.b_bytes = pieces(b_path)
         self.a_size, self.b_size = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
-        self.a_shown, self.b_shown = (np.array([str(i) for i in range(len(t))], object) for t in (self.a_bytes, self.b_bytes))
         self.memo = Memo(self.align)
 
-    def align(self, found: list[bytes]) -> dict[str, list]:
-        """Of each stretch (it begins with the space that B adds by itself): token counts, groups as text, linked pairs, whether bytes agree."""
+    def one_by_one(self, found: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], list[bool]]:
+        """Tokens of both sides, how many each stretch has, and whether both give back its bytes."""
         texts = [x.decode() for x in found]
         a = [x.ids for x in self.encode_a(texts, add_special_tokens=False)]
-        b = self.b_model.encode([t[1:] for t in texts], num_threads=1)
-        whole = [
-            len(t) > 1 and b"".join(map(self.a_bytes.__getitem__, x)) == t and b"".join(map(self.b_bytes.__getitem__, y)) == t
-            for t, x, y in zip(found, a, b, strict=True)
-        ]
-        fit = [i for i, ok in enumerate(whole) if ok]
-        ids = [np.array([t for i in fit for t in x[i]], np.int64) for x in (a, b)]
-        # stretches stand end to end on one line, which both sides tile: no token crosses from one to another
-        a_end, b_end = np.cumsum(self.a_size[ids[0]]), np.cumsum(self.b_size[ids[1]])
-        last_b = boundaries(a_end, a_end - self.a_size[ids[0]], b_end - self.b_size[ids[1]], b_end)
+        b = self.b_model.encode([t[1:] for t in texts], num_threads=1) if texts else []  # the model adds the space by itself
+        back = lambda of, ids: b"".join(map(of.__getitem__, ids))
+        return joined(a), joined(b), [len(t) > 1 and back(self.a_bytes, x) == t == back(self.b_bytes, y) for t, x, y in zip(found, a, b, strict=True)]
+
+    def together(self, found: list[bytes]):
+        """The same for stretches that begin with one space and end with a solid byte, as one text; None if that doesn't give back its bytes."""
+        line = b"".join([x + SEPARATOR for x in found])
+        text = line.decode()
+        ends = np.cumsum([len(x) + len(SEPARATOR) for x in found])
+        out = []
+        for ids, of, size in ((self.merges.encode_ordinary(text), self.a_bytes, self.a_size), (self.b_model.encode(text[1:]), self.b_bytes, self.b_size)):
+            if b"".join(map(of.__getitem__, ids)) != line:
+                return None
+            ids = np.array(ids, np.int64)
+            end = np.cumsum(size[ids])
+            stretch = np.searchsorted(ends, end, "left")
+            mine = end <= ends[stretch] - len(SEPARATOR)
+            if not np.isin(np.concatenate([ends, ends - len(SEPARATOR)]), end).all():
+                return None
+            out.append((ids[mine], np.bincount(stretch[mine], minlength=len(found))))
+        return out[0], out[1], [True] * len(found)
+
+    def align(self, found: list[bytes]) -> Columns:
+        """Of each stretch: token counts, groups as text, linked pairs, whether bytes agree."""
+        plain = [len(x) > 1 and not BLANK[x[1]] and not BLANK[x[-1]] and WORD_START.encode() not in x for x in found]
+        fast, slow = [x for x, ok in zip(found, plain, strict=True) if ok], [x for x, ok in zip(found, plain, strict=True) if not ok]
+        parts = [self.together(fast) if fast else None, self.one_by_one(slow)]
+        if parts[0] is None:
+            parts[0] = self.one_by_one(fast)
+        (a, n_a), (b, n_b) = ((np.concatenate([x[i][0] for x in parts]), np.concatenate([x[i][1] for x in parts])) for i in (0, 1))
+        whole, length = np.array(parts[0][2] + parts[1][2], bool), np.array([len(x) for x in fast + slow])
+        a, b = a[np.repeat(whole, n_a)], b[np.repeat(whole, n_b)]
+        # whole stretches stand end to end on one line, which both sides tile: no token crosses from one to another
+        a_end, b_end, line = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), np.cumsum(length[whole])
+        last_b = boundaries(a_end, a_end - self.a_size[a], b_end - self.b_size[b], b_end)
         last_a = np.searchsorted(a_end, b_end[last_b])
-        pairs = ids[0][last_a] << 32 | ids[1][last_b]  # links: where groups end, the tokens of both sides do
-        size = np.cumsum([len(found[i]) for i in fit])
-        of = np.searchsorted(b_end[last_b], size, "right") if len(fit) else np.zeros(0, np.int64)
-        shown_a, shown_b = self.a_shown[ids[0]].tolist(), self.b_shown[ids[1]].tolist()
-        cut_a, cut_b = [0, *(last_a + 1).tolist()], [0, *(last_b + 1).tolist()]
-        groups = [
-            f"{','.join(shown_a[p:q])}|{','.join(shown_b[r:s])}"
-            for p, q, r, s in zip(cut_a[:-1], cut_a[1:], cut_b[:-1], cut_b[1:], strict=True)
-        ]
-        none = np.zeros(0, np.int64)
-        out = {"whole": list(map(int, whole)), "n_a": [], "n_b": [], "groups": [], "pairs": []}
-        edges = iter(zip([0, *of[:-1].tolist()], of.tolist(), strict=True))
-        for i, ok in enumerate(whole):
-            p, q = next(edges) if ok else (0, 0)
-            out["n_a"].append(len(a[i]))
-            out["n_b"].append(len(b[i]))
-            out["groups"].append(";".join(groups[p:q]).encode())
-            out["pairs"].append(pairs[p:q] if ok else none)
-        return out
+        groups = np.zeros(len(whole), np.int64)
+        groups[whole] = np.diff(np.append(0, np.searchsorted(b_end[last_b], line, "right")))
+        # ids in the order they are shown: each group's A ids, then its B ids
+        is_last = lambda n, last: np.isin(np.arange(n), last)
+        rows = np.concatenate([shown(a, is_last(len(a), last_a), ",", "|"), shown(b, is_last(len(b), last_b), ",", ";")])
+        key = np.concatenate([2 * np.searchsorted(last_a, np.arange(len(a))), 2 * np.searchsorted(last_b, np.arange(len(b))) + 1])
+        rows = rows[np.argsort(key, kind="stable")]
+        text = rows[rows > 0].tobytes()
+        cut = np.cumsum(np.append(0, np.count_nonzero(rows, axis=1)))
+        edges = cut[np.append(0, np.cumsum(np.where(whole, n_a + n_b, 0)))].tolist()
+        texts = [text[p:q] for p, q in zip(edges[:-1], edges[1:], strict=True)]
+        pairs = a[last_a] << 32 | b[last_b]  # links: where groups end, the tokens of both sides do
+        # back to the order asked for
+        mask = np.array(plain, bool)
+        order = np.empty(len(found), np.int64)
+        order[mask], order[~mask] = np.arange(len(fast)), len(fast) + np.arange(len(slow))
+        pairs, bounds = gather(pairs, np.append(0, np.cumsum(groups)), order)
+        numbers = np.stack([whole.astype(np.int64), n_a, n_b, groups])[:, order]
+        one = np.ones(len(found), np.int64)
+        return {"numbers": (numbers.T.reshape(-1), 4 * one), "groups": [texts[i] for i in order.tolist()], "pairs": (pairs, np.diff(bounds))}
 
 
 @lru_cache(1)
@@ -169,14 +193,14 @@ def align(docs: DataFrame, a_path: str, b_path: str, each: int = 8 << 20) -> Dat
                 data, cuts = texts.data.tobytes(), cuts.tolist()
                 places = memo.places([data[p:q] for p, q in zip(cuts[:-1], cuts[1:], strict=True)])
                 total = lambda x: np.diff(np.append(0, np.cumsum(x[places]))[of])  # noqa: B023, E731
-                pairs, bounds = memo.ragged("pairs")
-                whole = np.diff(of) == total(memo.numbers("whole"))
-                n_a, n_b, n_groups = (total(x) for x in (memo.numbers("n_a"), memo.numbers("n_b"), np.diff(bounds)))
-                shown = memo.lists["groups"]
+                pairs, bounds = memo.of("pairs")
+                whole, n_a, n_b, n_groups = (total(x) for x in memo.of("numbers")[0].reshape(-1, 4).T)
+                whole = whole == np.diff(of)
+                texts_of = memo.of("groups")
                 for i, doc_id in enumerate(rows.column("doc_id").to_pylist()):
                     mine = places[of[i] : of[i + 1]]
                     if whole[i]:
-                        sha = hashlib.sha256(b";".join([shown[p] for p in mine.tolist()])).hexdigest()
+                        sha = hashlib.sha256(b"".join([texts_of[p] for p in mine.tolist()])[:-1]).hexdigest()
                         held.append({"doc_id": doc_id, "n_a": int(n_a[i]), "n_b": int(n_b[i]), "n_groups": int(n_groups[i]), "groups_sha256": sha})
                         links.append(gather(pairs, bounds, mine)[0])
                     else:

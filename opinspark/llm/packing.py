@@ -9,33 +9,65 @@ is over after that fills sequences of its own, the last one as powers of two. So
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import global_order, materialize
-from .memo import Memo, gather, tokenizer
+from .memo import Columns, Memo, gather, joined, merger, tokenizer, vocabulary
 
-_memos: dict[str, Memo] = {}
+MARK = "\x01"  # stands for the end of a word
+# characters that are their own composed form, whose lower case doesn't depend on neighbours, and whose kind all Unicode versions agree on
+PLAIN = re.compile("[!-;=-~\u00a1-\u012f\u0131-\u02af\u0391-\u03a1\u03a4-\u03c9\u0400-\u0482\u048a-\u04ff\u2010-\u2027\u2030-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3]+")
 
 
+@lru_cache(4)
 def word_ids(path: str) -> Memo:
-    """Token ids of words between ASCII white space, under ``ids``. The tokenizer must drop white space and see no word beyond it."""
-    if path not in _memos:
-        encode = tokenizer(path, False).encode_batch
+    """Token ids of words between ASCII white space, under ``ids``. The tokenizer must drop white space and see no word beyond it.
 
-        def make(words: list[bytes]) -> dict[str, list]:
-            found = encode([w.decode() for w in words], add_special_tokens=False)
-            return {"ids": [np.array(x.ids, np.uint32) for x in found]}
-
-        _memos[path] = Memo(make)
-    return _memos[path]
+    New words of plain characters go through the merges together, as one long run of marked words; all others through the tokenizer itself.
+    """
+    with open(path, encoding="utf-8") as f:
+        known = json.load(f)
+    steps = [x["type"] for x in (known["normalizer"] or {}).get("normalizers", [])]
+    split = ((known["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    ending = known["model"].get("end_of_word_suffix") or ""
+    special = all(x["content"].startswith("<") for x in known["added_tokens"])  # no plain character
+    encode = tokenizer(path, False).encode_batch
+    merges = words = None
+    if steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("behavior") == "Removed" and ending and special:
+        merges = merger(path, f"[^{MARK}]+{MARK}", ending, MARK.encode())
+        words = regex.compile(split["pattern"]["Regex"])
+        ends = np.array([last for _, last in vocabulary(path, ending)] + [False])
+
+    def make(new: list[bytes]) -> Columns:
+        texts = [w.decode() for w in new]
+        plain = [merges is not None and PLAIN.fullmatch(t) is not None for t in texts]
+        together = [t for t, ok in zip(texts, plain, strict=True) if ok]
+        marked = words.sub(rf"\g<0>{MARK}", "\n".join(together).lower()) if together else ""
+        ids = np.array(merges.encode_ordinary(marked.replace("\n", "")) if together else [], np.int64)
+        pieces = np.cumsum([x.count(MARK) for x in marked.split("\n")] if together else [])
+        stops = np.append(0, np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)]) + 1 if together else [])
+        first = stops[np.append(0, pieces).astype(np.int64)].astype(np.int64)
+        rest, sizes = joined([x.ids for x in encode([t for t, ok in zip(texts, plain, strict=True) if not ok], add_special_tokens=False)])
+        order = np.empty(len(new), np.int64)
+        mask = np.array(plain, bool)
+        order[mask], order[~mask] = np.arange(mask.sum()), mask.sum() + np.arange((~mask).sum())
+        bounds = np.concatenate([first, first[-1] + np.cumsum(sizes)]).astype(np.int64)
+        values, bounds = gather(np.concatenate([ids, rest]), bounds, order)
+        return {"ids": (values.astype(np.uint32), np.diff(bounds))}
+
+    return Memo(make)
 
 
 TOKENIZED = "row long, source_part int, full_before long, doc_id long, n_tokens long, checks array<long>, rest int, rest_crc32 long, rest_ids binary, ord long"
@@ -57,7 +89,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
                 words = K.Words(texts, K.SOLID, False)
                 data, n = texts.data.tobytes(), len(texts)
                 places = memo.places([data[a:b] for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)])
-                ids, bounds = gather(*memo.ragged("ids"), places)
+                ids, bounds = gather(*memo.of("ids"), places)
                 ids, begin = ids.astype("<u4"), bounds[words.of]
                 row = (np.int64(part) << 33) + np.arange(at, at + n)
                 out = {"row": row, "source_part": np.full(n, part), "doc_id": rows.column("doc_id"), "ord": K.mix(row.astype(np.uint64)).view(np.int64)}

@@ -12,9 +12,9 @@ from helpers import documents, rows
 from tokenizers import Tokenizer
 
 from opinspark.llm import kernels as K
-from opinspark.llm.alignment import align_corpus, boundaries, byte_tokens, pieces, stab, stretches
+from opinspark.llm.alignment import align_corpus, boundaries, pieces, stab, stretches
 from opinspark.llm.common import table
-from opinspark.llm.memo import Memo
+from opinspark.llm.memo import Memo, vocabulary
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -22,7 +22,7 @@ A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piec
 def expected(docs):
     ta, tb = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
     ta.encode_special_tokens = True
-    a_bytes, b_bytes = byte_tokens(A), pieces(B)[1]
+    a_bytes, b_bytes = [x for x, _ in vocabulary(A)], pieces(B)[1]
     all_links, per = Counter(), []
     for i, text in docs:
         a = ta.encode(" " + (text or ""), add_special_tokens=False).ids
@@ -101,8 +101,9 @@ def test_stretches_hold_all_bytes():
 
 def test_memo_forgets():
     made = []
-    memo = Memo(lambda new: (made.extend(new), {"n": [len(x) for x in new]})[1], most=3)
-    for words in ([b"a", b"bb", b"a"], [b"ccc", b"dddd", b"a"], [b"a"]):
+    memo = Memo(lambda new: (made.extend(new), {"n": (np.array([len(x) for x in new], np.int64), np.ones(len(new), np.int64)), "own": list(new)})[1], most=3)
+    for words in ([b"a", b"bb", b"a"], [b"ccc", b"dddd", b"a"], [b"a"], []):
         places = memo.places(words)
-        assert memo.numbers("n")[places].tolist() == [len(w) for w in words]
+        assert memo.of("n")[0][places].tolist() == [len(w) for w in words]
+        assert [memo.of("own")[p] for p in places] == words
     assert made == [b"a", b"bb", b"ccc", b"dddd", b"a"]

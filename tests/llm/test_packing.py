@@ -10,7 +10,8 @@ import pytest
 from helpers import documents, rows
 from tokenizers import Tokenizer
 
-from opinspark.llm.packing import best_pattern, cutting_stock, pack
+from opinspark.llm.memo import gather
+from opinspark.llm.packing import best_pattern, cutting_stock, pack, word_ids
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -83,3 +84,14 @@ def test_linear_program():
     # size 6 in 10 leaves 4: at least one sequence each
     patterns, uses = cutting_stock(np.array([4, 6, 7]), np.array([5.0, 30.0, 10.0]), 10, 1e-9)
     assert uses.sum() == pytest.approx(40)
+
+
+def test_words_go_through_the_merges_as_through_the_tokenizer():
+    rng = np.random.default_rng(6)
+    odd = ["", "don't", "'S'T'RE", "x\x01y", "\x01", "<|endoftext|>", "<|", "é", "É", "e\u0301", "ΣΑΣ", "İI", "ẞß", "12a3", "a-b_c...", "日本", "🙂🙂", "\u00a0x", "½²", "ŉ", "a" * 500, "—„“", "ab\u200dc", "Ǆǅ"]
+    letters = list("abcdefgheinrstuABZÄÖéàß019'’-.,!?日本дж") + ["the", "ing", "'s", "'ll"]
+    words = odd + ["".join(rng.choice(letters, rng.integers(1, 15))) for _ in range(3000)]
+    memo, encode = word_ids(PATH), Tokenizer.from_file(PATH).encode
+    places = memo.places([w.encode() for w in words])
+    values, bounds = gather(*memo.of("ids"), places)
+    assert [values[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [encode(w, add_special_tokens=False).ids for w in words]
