@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .state import locked, spaced
+
 JOB = "job_type string, product_id long, user_id long, force boolean, attempt int, enqueued_at timestamp"
 EVENTS = ("prepared", "shown", "accepted", "ignored", "edited", "dismissed")
 
@@ -24,17 +26,17 @@ def with_key(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("job_key", F.concat_ws(":", "job_type", F.coalesce(*ids).cast("string")))
 
 
-def deduplicated(jobs: DataFrame, seconds: int = 600) -> DataFrame:
-    """One job a key within ``seconds`` of the last one that passed; forced jobs pass by.
+def deduplicated(jobs: DataFrame, seconds: int = 600, late: int = 0) -> DataFrame:
+    """One job a key within ``seconds`` of the last one that passed; forced jobs pass by and lock nothing.
 
-    A stream counts by its watermark. On a batch the jobs of a key are walked in order of time: a fold over one key's times.
+    A stream keeps each key's last job in state (see ``state.locked`` for ``late``). On a batch the jobs of a key are walked in order
+    of time: a fold over one key's times.
     """
     keyed = with_key(jobs)
     forced = keyed.filter(F.coalesce("force", F.lit(False)))
     rest = keyed.filter(~F.coalesce("force", F.lit(False)))
     if jobs.isStreaming:
-        rest = rest.withWatermark("enqueued_at", f"{seconds} seconds").dropDuplicatesWithinWatermark(["job_key"])
-        return rest.unionByName(forced)
+        return locked(rest, "job_key", "enqueued_at", seconds, late).select(*keyed.columns).unionByName(forced)
     # a job after a gap of ``seconds`` passes whatever came before, so runs between such gaps can be folded apart, some hundreds at once
     in_order = Window.partitionBy("job_key").orderBy("enqueued_at", "_tie")
     other = [c for c in jobs.columns if c not in ("enqueued_at", "force")]
@@ -45,11 +47,7 @@ def deduplicated(jobs: DataFrame, seconds: int = 600) -> DataFrame:
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["_at", "_tie"])
-        keep, last = [], None
-        for t in group["_at"]:
-            keep.append(last is None or t - last >= seconds * 1_000_000)
-            last = t if keep[-1] else last
-        return group[keep]
+        return group[spaced(group["_at"].tolist(), None, seconds * 1_000_000)[0]]
 
     kept = rows.groupBy("job_key", "_run").applyInPandas(walk, rows.schema)
     return kept.select(*keyed.columns).unionByName(forced)
