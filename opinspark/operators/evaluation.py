@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as X
+from ..functions.vectors import Model, embedded
 
 WEIGHTS = {"coverage_weighted": 0.30, "sentiment_consistency": 0.20, "evidence_support": 0.25, "specificity": 0.15, "non_redundancy": 0.10}
 
@@ -285,9 +291,81 @@ def pairwise_winner(votes: DataFrame) -> DataFrame:
     return rows.withColumn("winner", F.when(some, F.when(ours > external, "ours").when(external > ours, "external").otherwise("tie")))
 
 
-def null_metrics(summaries: DataFrame, names: tuple = ("bertscore_p", "bertscore_r", "bertscore_f1")) -> DataFrame:
-    """Metrics whose model isn't there: null, as where computing them fails."""
-    return summaries.select(*_keys(summaries), *[F.lit(None).cast("double").alias(n) for n in names])
+def reference_cosine(pairs: DataFrame, model: Model, text: str = "flat", reference: str = "reference") -> DataFrame:
+    """Adds ``embedding_cosine_reference``: how near a text's vector is to its reference's. Null where one of them is blank or null.
+
+    Each different reference is embedded once; ``pairs`` has a row a text, beside its reference.
+    """
+    references = pairs.select(reference).distinct()
+    vectors = embedded(references, reference, model, "_there").select(F.col(reference).alias("_of"), "_there")
+    rows = embedded(pairs, text, model, "_here").join(vectors, F.col(reference).eqNullSafe(F.col("_of")))
+    blank = (F.coalesce(X.strip(F.col(text)), F.lit("")) == "") | (F.coalesce(X.strip(F.col(reference)), F.lit("")) == "")
+    return rows.withColumn("embedding_cosine_reference", F.when(~blank, X.cosine(F.col("_here"), F.col("_there")))).drop("_here", "_there", "_of")
+
+
+def token_alignment(pairs: DataFrame, model: Model, text: str = "flat", reference: str = "reference", block: int = 1024) -> DataFrame:
+    """Adds ``precision``, ``recall`` and ``f1`` of a greedy alignment of two texts' token vectors: each token meets its nearest on the other side.
+
+    Precision is the mean over the text's tokens, recall over the reference's, repeats counted; null where one side has no token. Distinct tokens are
+    embedded once a task, their cosines taken ``block`` by ``block``.
+    """
+    rows = pairs.withColumns({"_a": X.tokens(F.col(text)), "_b": X.tokens(F.col(reference))})
+    kept = [c for c in rows.columns if c not in ("_a", "_b")]
+    schema = pairs.withColumns({c: F.lit(None).cast("double") for c in ("precision", "recall", "f1")}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embed, known = model(), {}
+
+        def units(tokens: list[str]) -> np.ndarray:
+            if len(known) > 100_000:
+                known.clear()
+            new = [t for t in tokens if t not in known]
+            if new:
+                found = np.asarray(embed(new), float)
+                known.update(zip(new, found / (np.linalg.norm(found, axis=1, keepdims=True) + 1e-9), strict=True))
+            return np.stack([known[t] for t in tokens])
+
+        def best(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.concatenate([(a[i : i + block] @ b.T).max(1) for i in range(0, len(a), block)])
+
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist(), strict=True):
+                if not x or not y:
+                    out.append((None, None, None))
+                    continue
+                (tx, nx), (ty, ny) = (tuple(zip(*Counter(t).items(), strict=True)) for t in (x, y))
+                a, b = units(list(tx)), units(list(ty))
+                p, r = float(np.average(best(a, b), weights=nx)), float(np.average(best(b, a), weights=ny))
+                out.append((p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0))
+            added = [pa.array(c, pa.float64()) for c in zip(*out, strict=True)] if out else [pa.nulls(0, pa.float64())] * 3
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *added], names=[*kept, "precision", "recall", "f1"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def semantic_coverage(ledgers: DataFrame, summaries: DataFrame, model: Model, least: float = 0.72) -> DataFrame:
+    """Coverage where an aspect also counts as named if one of its names is as near to the summary as ``least`` in vectors.
+
+    ``nearest`` is the mean over aspects not named of the nearest name's cosine (null where all are named). A blank summary is near to nothing.
+    """
+    rows = judged(ledgers, summaries)
+    keys = _keys(summaries)
+    each = rows.select(*keys, "flat", F.explode("ledger").alias("x"))
+    each = each.select(*keys, "flat", "x.name", "x.salience", _inside(F.lower("flat"), F.col("x")).alias("named"), F.concat(F.array("x.name"), "x.aliases").alias("labels"))
+    labels = each.filter("not named").select(F.explode("labels").alias("label")).distinct()
+    vectors = embedded(labels, "label", model, "_label")
+    texts = embedded(with_flat(summaries).select(*keys, "flat"), "flat", model, "_text").select(*keys, "_text")
+    asked = each.filter("not named and flat <> ''").select(*keys, "name", F.explode("labels").alias("label"))
+    near = asked.join(vectors, "label").join(texts, keys).groupBy(*keys, "name").agg(F.max(X.cosine(F.col("_label"), F.col("_text"))).alias("near"))
+    got = each.join(near, [*keys, "name"], "left").withColumn("covered", F.col("named") | F.coalesce(F.col("near") >= least, F.lit(False)))
+    share = F.sum(F.when(F.col("covered"), F.col("salience")).otherwise(0.0)) / F.sum("salience")
+    per = got.groupBy(*keys).agg(
+        F.avg(F.col("covered").cast("double")).alias("coverage"),
+        F.when(F.sum("salience") > 0, share).otherwise(F.avg(F.col("covered").cast("double"))).alias("coverage_weighted"),
+        F.avg("near").alias("nearest"),
+    )
+    return summaries.select(*keys).join(per, keys, "left").fillna(1.0, ["coverage", "coverage_weighted"])
 
 
 def latest_trees(ledgers: DataFrame, items: DataFrame, key: str = "ledger_id", by: str = "product_id", created: str = "created_at") -> DataFrame:

@@ -175,11 +175,6 @@ def pairwise_winner(spark, d):
     return E.pairwise_winner(votes).drop("first", "second")
 
 
-@query("""SELECT conv_id, turn, NULL::DOUBLE AS bertscore_p, NULL::DOUBLE AS bertscore_r, NULL::DOUBLE AS bertscore_f1, conv_id % 50 AS product_id FROM conversations WHERE role = 'assistant'""")
-def null_metrics(spark, d):
-    return E.null_metrics(external(spark, d))
-
-
 @query(f"""{LEDGER_SQL}, w AS (SELECT product_id, name, CASE WHEN product_id % 5 = 0 THEN 0.0::DOUBLE ELSE n::DOUBLE END AS weight FROM ledger)
 SELECT product_id, name, round(CASE WHEN sum(weight) OVER o > 0 THEN weight / sum(weight) OVER o ELSE 1.0 / count(*) OVER o END, 9) AS weight FROM w WINDOW o AS (PARTITION BY product_id)""")
 def normalized_weights(spark, d):

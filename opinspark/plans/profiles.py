@@ -148,16 +148,6 @@ def user_phrases(spark, d):
     return _user_phrases(spark, d)
 
 
-@query(f"""{KEYPHRASES_SQL}, yake AS (SELECT product_id, '  ' || phrase AS phrase, 0.9::DOUBLE - rank / 1000::DOUBLE AS score, 0 AS o FROM keyphrases WHERE rank % 7 = 0),
-u AS (SELECT * FROM yake UNION ALL SELECT product_id, phrase, score, 1 FROM keyphrases)
-SELECT product_id, phrase, round(score, 9) AS score, o AS source_ord FROM (SELECT *, row_number() OVER (PARTITION BY product_id, trim(phrase) ORDER BY o, score DESC, phrase) AS n FROM u) WHERE n = 1""")
-def keyphrase_union(spark, d):
-    found = N.keyphrases(segments(spark, d), stop=STOP)
-    first = found.filter("rank % 7 = 0").select("product_id", F.concat(F.lit("  "), F.col("phrase")).alias("phrase"), (0.9 - F.col("rank") / 1000).alias("score"))
-    rows = N.keyphrase_union([first, found.select("product_id", "phrase", "score")])
-    return rows.select("product_id", "phrase", F.round("score", 9).alias("score"), "source_ord")
-
-
 # Aspects of a product without a fold: keyphrases by their first three letters.
 CLUSTERS_SQL = f"""{KEYPHRASES_SQL}, bg AS (SELECT * FROM ({_grams((2, 3))}) WHERE length(phrase) >= 4),
 bank AS (SELECT product_id, phrase, count(*) AS n, max_by(field, [review_id, span_index, pos]) AS field, max_by(weak, [review_id, span_index, pos]) AS weak, avg(rating) AS rating_avg,
