@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -157,28 +157,36 @@ def crf_spans(text: str, model: Model) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     file, done = None, 0
     cues = [m.start() for m in CUE.finditer(text)]
+    begin = end = left = right = 0  # of the line, and of what is cut into tokens: each part of a line is cut once
+    tokens: list[tuple[int, str]] = []
+    starts: list[int] = []
     for m in OPEN.finditer(text):
         if m.start() < done:
             continue
+        if m.start() >= end:
+            begin, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
+            end = len(text) if end < 0 else end
+            left = right = begin
         plain = m.end() - m.start() < LONG and not DIGIT.search(m[0])
         if plain and not (cues and cues[0] < m.start()):
             continue
-        begin = text.rfind("\n", 0, m.start()) + 1
         if plain and bisect_left(cues, begin) == bisect_left(cues, m.start()):
             continue
-        left = _back(text, begin, m.start())
-        if plain and not cued(own := [(0, t[0]) for t in TOKEN.finditer(text[left : m.start()])], len(own)):
+        at = bisect_right(starts, m.start()) - 1
+        if m.start() >= right or (at <= max(AROUND, CUED) and left > begin):
+            left = _back(text, begin, m.start())
+            if plain and not cued(own := [(0, t[0]) for t in TOKEN.finditer(text[left : m.start()])], len(own)):
+                right = left
+                continue
+            right = _ahead(text, m.end(), end)
+            tokens = [(left + t.start(), t[0]) for t in TOKEN.finditer(text[left:right])]
+            starts = [s for s, _ in tokens]
+            at = bisect_right(starts, m.start()) - 1
+        elif plain and not cued(tokens, at):
             continue
         file = file_features(text) if file is None else file
-        end = text.find("\n", m.start())
-        end = len(text) if end < 0 else end
-        right = m.end()
+        may, stop = [allowed(tokens, at)], at + 1
         while True:
-            right = _ahead(text, right, end)
-            tokens = [(left + t.start(), t[0]) for t in TOKEN.finditer(text[left:right])]
-            at = next(k for k, (s, t) in enumerate(tokens) if s + len(t) > m.start())
-            stop = at + 1
-            may = [allowed(tokens, at)]
             while stop < len(tokens):
                 b, go_on = allowed(tokens, stop)
                 if not (b or go_on):
@@ -188,6 +196,9 @@ def crf_spans(text: str, model: Model) -> list[tuple[int, int]]:
             # a stretch that nears the end of what was read may go on behind it
             if right >= end or stop + AROUND < len(tokens):
                 break
+            before, right = right, _ahead(text, right, end)
+            more = [(before + t.start(), t[0]) for t in TOKEN.finditer(text[before:right])]
+            tokens, starts = tokens + more, starts + [s for s, _ in more]
         tags = viterbi([model.scores(features(tokens, k, file)) for k in range(at, stop)], may, model.moves)
         done = tokens[stop - 1][0] + len(tokens[stop - 1][1])
         for k, tag in enumerate(tags):

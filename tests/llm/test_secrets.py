@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 from helpers import documents, rows
@@ -71,3 +72,33 @@ def test_rows(spark):
     assert got == [[(2, 27, "assign"), (11, 27, "hex")], [], []]
     assert S.scan_secrets(docs.limit(0), model).count() == 0
     assert S.train(docs.limit(0), most_lines=50).weights is not None
+
+
+def test_long_texts_without_white_space_take_linear_time():
+    model = S.fit(list(S.examples(["some plain words stand here today"] * 300, random.Random(1))), steps=40)
+    rng, parts = random.Random(2), []
+    while sum(map(len, parts)) < 400_000:
+        parts.append(rng.choice(['"a1b2c3d4{}":1', "token={}aB3", "{}", "key:{}", "x{}/y", "Z9{}"]).format(rng.randrange(10**9)))
+    text = ",".join(parts)
+    began = time.process_time()
+    got = S.crf_spans(text, model)
+    assert time.process_time() - began < 60 and len(got) > 0
+    short = ",".join(parts[:150])
+    tokens = [(t.start(), t[0]) for t in S.TOKEN.finditer(short)]
+    file = S.file_features(short)
+    spans, done = [], 0
+    for k, (start, _) in enumerate(tokens):  # the whole line cut into tokens beforehand
+        if k < done or not S.allowed(tokens, k)[0]:
+            continue
+        stop = k + 1
+        while stop < len(tokens) and any(S.allowed(tokens, stop)):
+            stop += 1
+        tags = S.viterbi([model.scores(S.features(tokens, i, file)) for i in range(k, stop)], [S.allowed(tokens, i) for i in range(k, stop)], model.moves)
+        done = stop
+        for i, tag in enumerate(tags):
+            s, t = tokens[k + i]
+            if tag == S.B:
+                spans.append((s, s + len(t)))
+            elif tag == S.I and spans:
+                spans[-1] = (spans[-1][0], s + len(t))
+    assert S.crf_spans(short, model) == spans
