@@ -1,7 +1,7 @@
 """Finding keys that documents share, without a row per key.
 
-Documents are written once as chunks (a table bucketed by a hash of the id, in the shared
-folder), so later passes read a chunk's documents without shuffling texts again. For a pass, a chunk sends
+Documents are written once as chunks (a table bucketed by a hash of id and text, in the shared
+folder; rows without an id, or of one id, part by their texts), so later passes read a chunk's documents without shuffling texts again. For a pass, a chunk sends
 its distinct keys, sorted and packed, to the key range's task; a common key costs one entry a chunk,
 however many documents hold it. The task answers each chunk with the keys that matter to it.
 """
@@ -31,7 +31,7 @@ class Pages:
         self.chunks = max(1, min(-(-self.bytes // small), most_small), -(-self.bytes // large))
         name, path = f"opinspark_{uuid.uuid4().hex}", f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
         files = min(self.chunks, 10_000)
-        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(self.chunks)).cast("int"))
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.chunks)).cast("int"))
         if describe:  # columns worth computing once, before the documents are dealt out
             rows = rows.mapInArrow(*describe)
         (

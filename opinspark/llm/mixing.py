@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -118,6 +118,11 @@ def copies(size: np.ndarray, count: np.ndarray, rates: np.ndarray, target: float
     return base, total - base * count
 
 
+def _key(seed: int, doc_id: str, text: str, source: str) -> Column:
+    given = [F.col(c) for c in (doc_id, text, source)]
+    return F.xxhash64(F.lit(seed), *given, *[c.isNull() for c in given])  # nulls leave no trace of their place in a hash
+
+
 def mix(
     docs: DataFrame,
     weights: list[int],
@@ -130,7 +135,7 @@ def mix(
     """One row per row of ``docs``: ``doc_id, key, size`` (words), ``source, source_size, target, rate, copies``.
 
     Which of equally long documents of a source get one copy more is decided by a seeded hash of
-    id and text, so reruns agree. Null texts have no words and documents without words no copies that
+    id, text and source, so reruns agree. Null texts have no words and documents without words no copies that
     count; the null source is a source like any other, put last. Repeated rows are separate rows.
     A source with nothing to give has target 0. Other columns are not looked at.
     """
@@ -139,7 +144,7 @@ def mix(
             docs.select(
                 F.col(doc_id).alias("doc_id"),
                 F.col(source).alias("source"),
-                F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("key"),
+                _key(seed, doc_id, text, source).alias("key"),
                 F.col(text).alias("_text"),
             ),
             "_text",
@@ -187,17 +192,24 @@ def mix(
     )
 
 
-def take(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 0, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as ``mixed`` (made with the same ids, texts and seed) says.
+def take(
+    docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, broadcast_rows: int = 1_000_000
+) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``mixed`` (made with the same ids, texts, sources and seed) says.
 
-    Rows of equal id and text count as one document with all their copies.
+    Rows of equal id, text and source count as one document with all their copies: the one whose columns hash lowest, so that reruns agree.
+    Rows that differ in source alone are documents of their own, and each source gets what was planned for it.
     """
     plan = materialize(mixed.groupBy("key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n")))
     size = plan.agg(F.count("*").alias("rows"), F.max("_n").alias("most")).first()
-    wanted = plan.filter("_copies > 0").select(F.col("key").alias("_key"), "_copies")
-    wanted = F.broadcast(wanted) if size["rows"] <= broadcast_rows else wanted  # 16 bytes a row
-    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("row_key"))
-    if (size["most"] or 0) > 1:
-        rows = rows.dropDuplicates(["row_key"])
+    wanted = plan.filter("_copies > 0").select(F.col("key").alias("_key"), "_copies", "_n")
+    wanted = F.broadcast(wanted) if size["rows"] <= broadcast_rows else wanted  # 24 bytes a row
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("doc"), _key(seed, doc_id, text, source).alias("row_key"))
     taken = rows.join(wanted, F.col("row_key") == F.col("_key"))
+    if (size["most"] or 0) > 1:
+        some = taken.filter("_n > 1").withColumn("_h", F.xxhash64(F.to_json("doc")))
+        least = some.groupBy("row_key").agg(F.min("_h").alias("_least")).withColumnRenamed("row_key", "_same")
+        some = some.join(least, (F.col("row_key") == F.col("_same")) & (F.col("_h") == F.col("_least"))).dropDuplicates(["row_key"])
+        taken = taken.filter("_n = 1").select("doc", "_copies").unionByName(some.select("doc", "_copies"))
     return taken.select("doc", F.explode(F.expr("sequence(1L, _copies)"))).select("doc.*")

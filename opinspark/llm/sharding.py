@@ -30,11 +30,12 @@ def shard_by_bytes(
             (F.octet_length(body) + F.lit(overhead)).cast("long").alias("size"),
             F.crc32(body.cast("binary")).alias("text_crc32"),
             F.conv(F.substring(F.md5(body.cast("binary")), 1, 15), 16, 10).cast("long").alias("text_hash"),
+            F.monotonically_increasing_id().alias("_tie"),  # equal rows too can be told apart, so that a cut may fall between them
             *(more or []),
         )
     )
-    extra = sized.columns[4:]
-    laid = global_order(sized, ["text_hash", "doc_id"], ["size"])
+    extra = sized.columns[5:]
+    laid = global_order(sized, ["text_hash", "doc_id", "_tie"], ["size"])
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     # the row's middle in n-ths of the total, doubled: whole numbers all the way
     shard = F.least(F.expr(f"(2 * size_before + size) * {int(shards)}L div {max(2 * total, 1)}L"), F.lit(shards - 1))
@@ -56,7 +57,7 @@ def sharded(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "t
     try:
         if "_metadata" in docs.columns:
             raise AnalysisException("a column of that name hides the files' own")
-        rows = docs.select(F.struct(*docs.columns).alias("doc"), *where)
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *where)
         rows.schema  # noqa: B018  fails here if the rows aren't a file's
     except AnalysisException:
         rows = materialize(rows).select("doc", *where)

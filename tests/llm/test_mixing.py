@@ -3,7 +3,7 @@ from collections import defaultdict
 import numpy as np
 from helpers import documents, rows, solid
 
-from opinspark.llm.mixing import mix, solve
+from opinspark.llm.mixing import mix, solve, take
 
 
 def water(sizes, weights, limit):
@@ -57,3 +57,21 @@ def test_rates_solve_the_dual():
         free = (rates < 3) & (size > 0)
         tilt = np.log(rates[free]) / size[free]  # one tilt for the whole source
         assert np.ptp(tilt) < 1e-9
+
+
+def test_words_stay_with_their_source(spark):
+    kinds = "doc_id long, text string, source string, extra string, `a.b` int"
+    docs = spark.createDataFrame([(1, "a b", "x", "p", 1), (1, "a b", "y", "q", 2), (1, "a b", "y", "r", 3), (1, None, "a", "s", 4), (1, "a", None, "t", 5), (None, "a", None, "u", 6)], kinds)
+    mixed = mix(docs, [1])
+    got = take(docs, mixed).collect()
+    assert take(docs, mixed).columns == docs.columns
+    planned = defaultdict(int)
+    for r in mixed.collect():
+        planned[r.source] += r.copies * r["size"]
+    found = defaultdict(int)
+    for r in got:
+        found[r.source] += len(solid(r.text))
+    assert {s: n for s, n in planned.items() if n} == dict(found)
+    again = take(docs.repartition(3, "extra"), mixed).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    assert len({r.extra for r in got if r.source == "y"}) == 1

@@ -56,3 +56,16 @@ def test_nulls_repeats_and_empty(spark, tmp_path):
     base = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
     kept = P.drop_near_copies(spark, base, "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept if r.text) == [(1, "a b c d e f g"), (1, "other text")]
+
+
+def test_clashing_names_reach_the_last_stage(spark, tmp_path):
+    kinds = "doc_id long, text string, lang string, source string, Size long, slot string, `a.b` int"
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 7, "x", i) for i in range(30)] + [(5, "same", "en", "s", 7, "x", 1)] * 40, kinds)
+    docs.write.parquet(f"{tmp_path}/docs")
+    got = P.shard(spark, spark.read.parquet(f"{tmp_path}/docs"), "")
+    assert got.columns == ["doc_id", "text", "lang", "source", "a.b", "size", "shard", "slot"]
+    rows = got.collect()
+    assert len(rows) == 70 and {r["size"] for r in rows if r.text == "same"} == {12}
+    assert max(Counter(r.shard for r in rows).values()) <= 5  # equal rows part at cuts
+    for shard in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
