@@ -7,6 +7,7 @@ as the next one's input. All but the last return the columns of documents. Empty
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from opinspark.llm.common import discard, materialize, table
 from opinspark.llm.decontamination import clean
@@ -44,8 +45,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row, with its shard of near-equal bytes and its place there; equal rows get a place each, a null text counts 8 bytes."""
-    return sharded(docs, SHARDS).select("doc.*", "size", "shard", "slot")
+    """Every row, with its shard of near-equal bytes and its place there; equal rows get a place each, a null text counts 8 bytes.
+
+    Columns of the documents named size, shard or slot (in either case) give way to the stage's own.
+    """
+    own = ("size", "shard", "slot")
+    kept = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c.lower() not in own]
+    return sharded(docs, SHARDS).select(*kept, *own)
 
 
 STAGES = [
