@@ -27,8 +27,8 @@ from .common import global_order, materialize
 from .memo import Columns, Memo, gather, joined, merger, tokenizer, vocabulary
 
 MARK = "\x01"  # stands for the end of a word
-# characters that are their own composed form, whose lower case doesn't depend on neighbours, and whose kind all Unicode versions agree on
-PLAIN = re.compile("[!-;=-~\u00a1-\u012f\u0131-\u02af\u0391-\u03a1\u03a4-\u03c9\u0400-\u0482\u048a-\u04ff\u2010-\u2027\u2030-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3]+")
+# any but plain characters: those that are their own composed form, whose lower case doesn't depend on neighbours, and whose kind all Unicode versions agree on
+OTHER = re.compile("[^\n!-;=-~\u00a1-\u012f\u0131-\u02af\u0391-\u03a1\u03a4-\u03c9\u0400-\u0482\u048a-\u04ff\u2010-\u2027\u2030-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3]")
 
 
 @lru_cache(4)
@@ -51,17 +51,19 @@ def word_ids(path: str) -> Memo:
         ends = np.array([last for _, last in vocabulary(path, ending)] + [False])
 
     def make(new: list[bytes]) -> Columns:
-        texts = [w.decode() for w in new]
-        plain = [merges is not None and PLAIN.fullmatch(t) is not None for t in texts]
-        together = [t for t, ok in zip(texts, plain, strict=True) if ok]
-        marked = words.sub(rf"\g<0>{MARK}", "\n".join(together).lower()) if together else ""
-        ids = np.array(merges.encode_ordinary(marked.replace("\n", "")) if together else [], np.int64)
-        pieces = np.cumsum([x.count(MARK) for x in marked.split("\n")] if together else [])
-        stops = np.append(0, np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)]) + 1 if together else [])
-        first = stops[np.append(0, pieces).astype(np.int64)].astype(np.int64)
+        line = b"\n".join(new).decode()
+        texts = line.split("\n") if new else []
+        mask = np.full(len(new), merges is not None)
+        mask[np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), [m.start() for m in OTHER.finditer(line)], "right")] = False
+        plain = mask.tolist()
+        marked = words.sub(rf"\g<0>{MARK}", "\n".join([t for t, ok in zip(texts, plain, strict=True) if ok]).lower()) if any(plain) else ""
+        ids = np.array(merges.encode_ordinary(marked.replace("\n", "")) if marked else [], np.int64)
+        shown = np.frombuffer(marked.encode(), np.uint8)
+        pieces = np.cumsum(shown == ord(MARK))[np.append(np.flatnonzero(shown == ord("\n")), len(shown) - 1)] if marked else np.zeros(0, np.int64)
+        stops = np.append(0, np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)]) + 1) if marked else np.zeros(1, np.int64)
+        first = stops[np.append(0, pieces)].astype(np.int64)
         rest, sizes = joined([x.ids for x in encode([t for t, ok in zip(texts, plain, strict=True) if not ok], add_special_tokens=False)])
         order = np.empty(len(new), np.int64)
-        mask = np.array(plain, bool)
         order[mask], order[~mask] = np.arange(mask.sum()), mask.sum() + np.arange((~mask).sum())
         bounds = np.concatenate([first, first[-1] + np.cumsum(sizes)]).astype(np.int64)
         values, bounds = gather(np.concatenate([ids, rest]), bounds, order)
