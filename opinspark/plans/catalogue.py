@@ -9,6 +9,8 @@ from ..operators import evaluation as E
 from ..operators import summaries as M
 from ..sources import benchmark as B
 from ..sources.adapter import reviews, table
+from ..sources.stored import kept, new_folder
+from ..sources.versions import Versions
 from ..streaming import jobs as J
 from .judging import EXTERNAL_SQL, external
 from .queries import HASH_SQL, LEDGER_SQL, STATS_SQL, WITH_REVIEWS, _evidence, _mentions, _scored, query
@@ -309,27 +311,29 @@ def pending_jobs(spark, d):
     return J.pending(prints.select("product_id"), prints, stored).select("product_id", "source_hash")
 
 
-@query(f"""{HASH_SQL} SELECT 'built' AS kind, product_id, 0 AS attempt FROM prints WHERE product_id % 5 > 0 UNION ALL SELECT CASE WHEN product_id % 2 = 0 THEN 'dead' ELSE 'retry' END, product_id, CASE WHEN product_id % 2 = 0 THEN 3 ELSE 1 END FROM prints WHERE product_id % 5 = 0""")
+@query(f"""{HASH_SQL} SELECT 'built' AS kind, product_id, 0 AS attempt FROM prints WHERE product_id % 25 > 0 UNION ALL SELECT CASE WHEN product_id % 2 = 0 THEN 'dead' ELSE 'retry' END, product_id, CASE WHEN product_id % 2 = 0 THEN 3 ELSE 1 END FROM prints WHERE product_id % 25 = 0""")
 def rebuilt_profiles(spark, d):
-    """One batch of the worker: jobs of some products fail and go back, or to the dead letters."""
-    found: list = []
+    """One batch of the worker, tried twice: plans of some products fail as they run and go back, or to the dead letters; all land in keyed tables."""
+    kinds = "kind string, product_id long, attempt int"
+    tables = {kind: Versions(spark, new_folder(spark), "product_id", kinds) for kind in ("built", "retry", "dead")}
 
     def build(jobs):
-        if jobs.filter("product_id % 5 = 0").limit(1).count():
-            raise RuntimeError("cannot build")
-        return jobs
+        broken = F.when(F.col("product_id") % 25 == 0, F.raise_error(F.lit("cannot build")).cast("long")).otherwise(F.col("product_id"))
+        return jobs.withColumn("product_id", broken)
 
     def keep(kind: str):
-        return lambda rows: found.append(rows.select(F.lit(kind).alias("kind"), "product_id", F.col("attempt").cast("int").alias("attempt")))
+        def store(rows, number: int) -> None:
+            tables[kind].replace(rows, rows.select(F.lit(kind).alias("kind"), "product_id", F.col("attempt").cast("int").alias("attempt")), batch=("worker", number))
+
+        return store
 
     ids = reviews(spark, d).select("product_id").distinct()
-    attempt = F.when((F.col("product_id") % 5 == 0) & (F.col("product_id") % 2 == 0), 2).otherwise(0)
-    jobs = ids.select(F.lit("product").alias("job_type"), "product_id", F.lit(False).alias("force"), attempt.alias("attempt"))
-    J.rebuild_batch(build, keep("built"), keep("retry"), keep("dead"))(jobs, 0)
-    out = found[0]
-    for rows in found[1:]:
-        out = out.unionByName(rows)
-    return out
+    attempt = F.when((F.col("product_id") % 25 == 0) & (F.col("product_id") % 2 == 0), 2).otherwise(0)
+    jobs = kept(ids.select(F.lit("product").alias("job_type"), "product_id", F.lit(False).alias("force"), attempt.alias("attempt")))
+    for _ in range(2):  # the second time nothing is stored again
+        J.rebuild_batch(build, keep("built"), keep("retry"), keep("dead"))(jobs, 0)
+    built, again, dead = (t.read() for t in tables.values())
+    return built.unionByName(again).unionByName(dead)
 
 
 @query(f"{WITH_REVIEWS} SELECT review_id FROM reviews r WHERE EXISTS (SELECT 1 FROM reviews q WHERE q.product_id = r.product_id) AND comment <> ''")

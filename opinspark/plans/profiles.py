@@ -8,11 +8,14 @@ from ..functions import lexicons as L
 from ..functions import text as X
 from ..operators import aspects as A
 from ..operators import folds
+from ..operators import catalogue as C
 from ..operators import ngrams as N
+from ..operators import profiles as P
 from ..operators import suggest as S
 from ..operators import summaries as M
 from ..sources.adapter import reviews
-from .queries import GRAMS, SPANS_SQL, STOP, WITH_REVIEWS, query
+from ..sources.stored import kept, new_folder
+from .queries import GRAMS, SPANS_SQL, SQL, STOP, WITH_REVIEWS, query
 from .texts import REQUESTS_SQL, requests
 
 WEAK_SQL = """CASE WHEN section = 'plus' THEN 'positive' WHEN section = 'minus' THEN 'negative' WHEN section = 'comment' AND rating >= 4 THEN 'positive'
@@ -279,3 +282,32 @@ def phrase_reviews(spark, d):
     rows = reviews(spark, d)
     phrases = rows.select("product_id").distinct().select("product_id", F.explode(F.array(*[F.lit(p) for p in PHRASES])).alias("phrase"))
     return M.phrase_reviews(phrases, rows, "comment")
+
+
+SUGGEST_SQL = SQL["suggest_basic"]
+
+
+def _stored(spark, d):
+    """Profiles of most products; some are missing, some stale."""
+    store = P.Profiles(spark, new_folder(spark))
+    segs, prints = kept(segments(spark, d)), kept(C.fingerprint(reviews(spark, d), "product_id"))
+    had = prints.filter("product_id % 5 > 0").withColumn("source_hash", F.when(F.col("product_id") % 5 == 1, "older").otherwise(F.col("source_hash")))
+    store.build(segs, had, N.phrase_bank(segs), batch=("worker", 1))
+    return store, store.prepare(requests(spark, d), prints)
+
+
+@query(f"""{REQUESTS_SQL} SELECT request_id, product_id, CASE product_id % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'stale' ELSE 'ready' END AS profile, product_id % 5 < 2 AS fallback_used FROM requests""")
+def prepared_contexts(spark, d):
+    return _stored(spark, d)[1][0].select("request_id", "product_id", "profile", "fallback_used")
+
+
+@query(f"""{REQUESTS_SQL} SELECT DISTINCT product_id, CASE product_id % 5 WHEN 0 THEN 'prepare_missing' ELSE 'prepare_stale' END AS reason FROM requests WHERE product_id % 5 < 2""")
+def repair_jobs(spark, d):
+    return _stored(spark, d)[1][1].select("product_id", "reason")
+
+
+@query(SUGGEST_SQL.replace("u AS (SELECT * FROM by_prefix UNION ALL SELECT * FROM by_ngram)", "u AS (SELECT * FROM (SELECT * FROM by_prefix UNION ALL SELECT * FROM by_ngram) WHERE request_id IN (SELECT request_id FROM states WHERE product_id % 5 > 0))"))
+def stored_suggestions(spark, d):
+    """Suggestions from stored profiles: nothing of them is built for a request, and products without one get generic starters."""
+    store, (contexts, _) = _stored(spark, d)
+    return store.suggest(contexts).withColumn("score", F.round("score", 9))

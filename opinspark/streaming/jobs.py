@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import kept
 from .state import locked, spaced
 
 JOB = "job_type string, product_id long, user_id long, force boolean, attempt int, enqueued_at timestamp"
@@ -75,39 +77,45 @@ def invalidations(reviews: DataFrame) -> DataFrame:
 
 def rebuild_batch(
     build: Callable[[DataFrame], DataFrame],
-    store: Callable[[DataFrame], None],
-    retry: Callable[[DataFrame], None],
-    dead: Callable[[DataFrame], None],
+    store: Callable[[DataFrame, int], None],
+    retry: Callable[[DataFrame, int], None],
+    dead: Callable[[DataFrame, int], None],
     most: int = 3,
-    one_by_one: int = 100,
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: build and store profiles; failed jobs go back, forced, or to the dead letters after ``most`` tries.
 
-    Where a batch fails as a whole, its jobs are tried key by key (up to ``one_by_one`` keys, else in as many parts), so that one bad
-    job doesn't take the others with it.
+    A part of a batch whose build fails is halved by a hash of its keys, and so on down to single keys, so that a bad job falls alone however many keys
+    a batch has: a bad one costs as many tries as the number of keys has binary digits. What is built is written down before
+    it is stored, so that nothing of a failed build is. ``store``, ``retry`` and ``dead`` get a number that is the same when a batch is
+    tried again and differs between its parts: a keyed table that remembers it counts each part once.
     """
 
-    def attempt(jobs: DataFrame) -> str | None:
+    def attempt(jobs: DataFrame, number: int) -> str | None:
         try:
-            store(build(jobs))
+            built = kept(build(jobs))
+            store(built, number)
         except Exception as why:  # noqa: BLE001  a failed job must not stop the stream
             return str(why)[:500]
         return None
 
-    def run(batch: DataFrame, _: int) -> None:
-        if attempt(batch) is None:
-            return
-        keyed = with_key(batch)
-        parts = min(one_by_one, keyed.select("job_key").distinct().count())
-        place = F.pmod(F.dense_rank().over(Window.orderBy("job_key")), F.lit(parts)) if parts < one_by_one else F.pmod(F.xxhash64("job_key"), F.lit(parts))
-        keyed = keyed.withColumn("_part", place)
-        for part in range(parts):
-            jobs = keyed.filter(F.col("_part") == part).drop("_part", "job_key")
-            why = attempt(jobs)
-            if why is not None:
-                tried = jobs.withColumn("attempt", F.coalesce("attempt", F.lit(0)) + 1).withColumn("force", F.lit(True))
-                retry(tried.filter(F.col("attempt") < most))
-                dead(tried.filter(F.col("attempt") >= most).withColumn("error", F.lit(why)))
+    def run(batch: DataFrame, batch_id: int) -> None:
+        keyed = kept(with_key(batch).withColumn("_hash", F.xxhash64("job_key")))
+        numbers = count(batch_id << 20)
+        parts = [(keyed, 0)]
+        while parts:
+            jobs, depth = parts.pop()
+            why = attempt(jobs.drop("job_key", "_hash"), next(numbers))
+            if why is None:
+                continue
+            bit = F.shiftright("_hash", depth).bitwiseAND(1)
+            if depth < 64 and len(jobs.select("job_key").distinct().take(2)) > 1:
+                halves = [jobs.filter(bit == b) for b in (0, 1)]
+                parts += [(h, depth + 1) for h in halves if h.take(1)]
+                continue
+            tried = jobs.drop("job_key", "_hash").withColumn("attempt", F.coalesce("attempt", F.lit(0)) + 1).withColumn("force", F.lit(True))
+            number = next(numbers)
+            retry(tried.filter(F.col("attempt") < most), number)
+            dead(tried.filter(F.col("attempt") >= most).withColumn("error", F.lit(why)), number)
 
     return run
 

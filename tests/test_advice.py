@@ -18,7 +18,7 @@ def test_forced_jobs_of_a_stream_pass_by(spark, tmp_path):
     (tmp_path / "src").mkdir()
     jobs = [{"job_type": "product", "product_id": 1, "force": f, "attempt": n, "enqueued_at": f"2024-01-01T00:0{n}:00Z"} for n, f in enumerate((False, True, False, True))]
     (tmp_path / "src/a.json").write_text("\n".join(json.dumps({"payload": json.dumps(j)}) for j in jobs))
-    run = J.rebuild_batch(lambda b: b, lambda b: b.write.mode("append").parquet(stored), lambda b: None, lambda b: None)
+    run = J.rebuild_batch(lambda b: b, lambda b, n: b.write.mode("append").parquet(stored), lambda b, n: None, lambda b, n: None)
     J.start_worker(J.deduplicated(J.job_stream(spark, src)), run, str(tmp_path / "ck")).awaitTermination(120)
     got = spark.read.parquet(stored).collect()
     assert sorted(r.attempt for r in got if r.force) == [1, 3]

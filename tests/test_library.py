@@ -155,14 +155,14 @@ def test_streams(spark, tmp_path):
     jobs = [{"job_type": "product", "product_id": i % 2, "enqueued_at": f"2024-01-01T00:0{i}:00Z"} for i in range(4)]
     (tmp_path / "src/a.json").write_text("\n".join(json.dumps({"payload": json.dumps(j)}) for j in jobs))
     stream = J.deduplicated(J.job_stream(spark, src))
-    run = J.rebuild_batch(lambda b: b, lambda b: b.write.mode("append").parquet(stored), lambda b: None, lambda b: None)
+    run = J.rebuild_batch(lambda b: b, lambda b, n: b.write.mode("append").parquet(stored), lambda b, n: None, lambda b, n: None)
     J.start_worker(stream, run, str(tmp_path / "ck")).awaitTermination(120)
     assert sorted(r.product_id for r in spark.read.parquet(stored).collect()) == [0, 1]
 
     def fail(_):
         raise RuntimeError("no")
 
-    bad = J.rebuild_batch(fail, lambda b: None, lambda b: b.write.mode("append").parquet(str(tmp_path / "retry")), lambda b: b.write.mode("append").parquet(dead))
+    bad = J.rebuild_batch(fail, lambda b, n: None, lambda b, n: b.write.mode("append").parquet(str(tmp_path / "retry")), lambda b, n: b.write.mode("append").parquet(dead))
     bad(spark.createDataFrame([("product", 1, 2), ("product", 2, 0)], "job_type string, product_id long, attempt int"), 0)
     assert [r.product_id for r in spark.read.parquet(dead).collect()] == [1]
     assert [(r.product_id, r.force) for r in spark.read.parquet(str(tmp_path / "retry")).collect()] == [(2, True)]
@@ -190,7 +190,7 @@ def test_failed_jobs_come_back_through_the_stream(spark):
             raise RuntimeError("no")
         return jobs
 
-    run = J.rebuild_batch(build, lambda b: kept.extend(b.collect()), lambda b: again.extend(b.collect()), lambda b: dead.extend(b.collect()))
+    run = J.rebuild_batch(build, lambda b, n: kept.extend(b.collect()), lambda b, n: again.extend(b.collect()), lambda b, n: dead.extend(b.collect()))
     jobs = spark.createDataFrame([("product", i, False, a) for i, a in ((1, 0), (2, 0), (3, 0), (3, 2))], "job_type string, product_id long, force boolean, attempt int")
     run(jobs, 0)
     assert sorted(r.product_id for r in kept) == [1, 2]

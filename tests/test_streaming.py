@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from opinspark.operators import catalogue as C
@@ -12,6 +13,15 @@ from opinspark.streaming import state as S
 JOB = "job_type string, product_id long, user_id long, force boolean, attempt int, enqueued_at timestamp"
 
 
+@pytest.fixture(autouse=True)
+def one_partition(spark):
+    """Each partition of a state has a worker of its own in each batch; one will do for a few keys."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def ran(spark, tmp_path, batches, late):
     """The jobs that pass a stream which gets the batches (lists of (product, second, force, attempt)) one at a time."""
     src, out = tmp_path / "src", str(tmp_path / "out")
