@@ -20,15 +20,14 @@ from .queries import GRAMS, SPANS_SQL, SQL, STOP, STRIP, USEFUL_SQL, WITH_REVIEW
 # Tails that trip the filters, dealt out by id.
 TAILS = ("", " 12 руб", " ДОСТАВКА", " Заказал вчера", " 5 дн", " через неделю сломался", " a.b+c@d-e.fg", " +7 900 123-45-67", " 1a2b3c4", " 01.02.2024", " и не все", " полгода")
 TAIL_SQL = "([" + ", ".join(f"'{t}'" for t in TAILS) + f"])[(review_id + span_index) % {len(TAILS)} + 1]"
-PIECES_SQL = f"""{SPANS_SQL}, tailed AS (SELECT review_id, product_id, span_index, left(span_text, 1 + (review_id * 7 + span_index) % 40) || {TAIL_SQL} AS phrase FROM all_spans)"""
+PIECES_SQL = f"""{SPANS_SQL}, tailed AS (SELECT review_id, product_id, span_index, span_text || {TAIL_SQL} AS phrase FROM all_spans)"""
 
 
 def _pieces(spark, d):
     tails = F.array(*[F.lit(t) for t in TAILS])
     rows = A.pieces(A.sections(reviews(spark, d)))
     tail = F.get(tails, ((F.col("review_id") + F.col("span_index")) % len(TAILS)).cast("int"))
-    cut = (1 + (F.col("review_id") * 7 + F.col("span_index")) % 40).cast("int")
-    return rows.select("review_id", "product_id", "span_index", F.concat(F.left("span_text", cut), tail).alias("phrase"))
+    return rows.select("review_id", "product_id", "span_index", F.concat("span_text", tail).alias("phrase"))
 
 
 def _any(low: str, parts) -> str:
@@ -51,11 +50,11 @@ def specific_facts(spark, d):
 
 
 @query(f"""{PIECES_SQL} SELECT t.review_id, span_index, phrase FROM tailed t JOIN reviews r USING (review_id) WHERE length(phrase) <= 80 AND NOT regexp_matches(phrase, '(?i){L.UNSAFE}')
-  AND NOT regexp_matches(phrase, '{L.DATE}') AND NOT ({STRIP.format("lower(phrase)")} <> '' AND contains(lower(left(comment, 200)), {STRIP.format("lower(phrase)")}))
-  AND NOT ({_any(STRIP.format("lower(phrase)"), L.DURATION)} AND NOT {_any("lower(left(comment, 200))", L.DURATION_TYPED)})""")
+  AND NOT regexp_matches(phrase, '{L.DATE}') AND NOT ({STRIP.format("lower(phrase)")} <> '' AND contains(lower(comment), {STRIP.format("lower(phrase)")}))
+  AND NOT ({_any(STRIP.format("lower(phrase)"), L.DURATION)} AND NOT {_any("lower(comment)", L.DURATION_TYPED)})""")
 def safety_filter(spark, d):
     rows = _pieces(spark, d).join(reviews(spark, d).select("review_id", "comment"), "review_id")
-    return rows.filter(X.safe_suggestion(F.col("phrase"), F.left("comment", F.lit(200)))).select("review_id", "span_index", "phrase")
+    return rows.filter(X.safe_suggestion(F.col("phrase"), F.col("comment"))).select("review_id", "span_index", "phrase")
 
 
 @query(f"{PIECES_SQL} SELECT review_id, span_index, regexp_matches(phrase, '[[:punct:]]') AS punctuation FROM tailed")
