@@ -70,3 +70,19 @@ READERS = {
     "фитнес": "посетители", "бассейн": "посетители", "йога": "участники",
 }
 READERS_DEFAULT = "пользователи"
+
+# The stub method's sentences and key phrases.
+STUB = {
+    "overall": "Это тестовая суммаризация %d отзывов. В реальном методе здесь будет результат работы алгоритма суммаризации.",
+    "neutral": "Проанализировано %d отзывов. Пользователи отмечают как положительные, так и отрицательные стороны продукта.",
+    "pros": "Основные плюсы по мнению пользователей: %s...",
+    "no_pros": "Пользователи отмечают качество продукта и соотношение цена/качество.",
+    "cons": "Основные минусы по мнению пользователей: %s...",
+    "no_cons": "Некоторые пользователи отмечают отдельные недостатки, требующие внимания.",
+}
+STUB_PHRASES = (
+    ("хорошее качество", "positive", 5, 0.25),
+    ("быстрая доставка", "positive", 3, 0.15),
+    ("соответствует описанию", "neutral", 4, 0.20),
+    ("мелкие недочёты", "negative", 2, 0.10),
+)

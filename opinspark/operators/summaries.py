@@ -90,18 +90,33 @@ def verify_texts(texts: DataFrame, model: Model, tries: int = 3) -> DataFrame:
 
 
 def stub(reviews: DataFrame, overall: bool = False) -> DataFrame:
-    """Counts, and the first three pluses and minuses by id."""
-    def firsts(c: str):
-        some = F.filter(F.array_sort(F.collect_list(F.struct("review_id", c))), lambda x: x[c].isNotNull() & (x[c] != ""))
-        return F.array_join(F.slice(F.transform(some, lambda x: x[c]), 1, 3), "; ")
-
-    rows = reviews.groupBy("product_id").agg(F.count("*").alias("reviews_count"), F.avg("rating").alias("rating_avg"), firsts("plus").alias("pros"), firsts("minus").alias("cons"))
+    """Counts, and the first three pluses and minuses by id; or, ``overall``, those as one text. Only three of each are gathered."""
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("said")) for c in ("plus", "minus")])).alias("x")
+    said = reviews.select("product_id", "review_id", sides).select("product_id", "review_id", "x.*").filter("said <> ''")
+    first = Window.partitionBy("product_id", "side").orderBy("review_id", "said")
+    said = said.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= 3)
+    of = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("_n", "said")))), lambda x: x["said"]), "; ")
+    texts = said.groupBy("product_id").agg(of("plus").alias("pros"), of("minus").alias("cons"))
+    rows = reviews.groupBy("product_id").agg(F.count("*").alias("reviews_count"), F.avg("rating").alias("rating_avg")).join(texts, "product_id", "left")
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     if overall:
         return rows.select("product_id", "reviews_count", "rating_avg", F.concat_ws("\n", some("pros"), some("cons")).alias("text_overall"))
     return rows.select("product_id", "reviews_count", "rating_avg", some("pros").alias("text_pros"), some("cons").alias("text_cons"))
 
 
+def stub_texts(reviews: DataFrame, overall: bool = False) -> DataFrame:
+    """The stub's whole summary: its fixed sentences around counts and quotes, and its fixed key phrases; ``overall`` has one text and no phrases."""
+    rows = stub(reviews)
+    if overall:
+        return rows.select("product_id", "reviews_count", "rating_avg", F.format_string(L.STUB["overall"], "reviews_count").alias("text_overall"))
+    quoted = lambda c, kind: F.when(F.col(c).isNotNull(), F.format_string(L.STUB[kind], c)).otherwise(L.STUB[f"no_{kind}"])
+    phrases = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(m).alias("sentiment"), F.lit(n).cast("long").alias("count"), F.lit(s).alias("share")) for p, m, n, s in L.STUB_PHRASES])
+    return rows.select(
+        "product_id", "reviews_count", "rating_avg", F.format_string(L.STUB["neutral"], "reviews_count").alias("text_neutral"),
+        quoted("text_pros", "pros").alias("text_pros"), quoted("text_cons", "cons").alias("text_cons"), phrases.alias("key_phrases"),
+    )
+
+
 def with_text(reviews: DataFrame) -> DataFrame:
     """Reviews that say something, with their ``full_text``."""
     text = X.full_text(F.col("title"), F.col("comment"), F.col("plus"), F.col("minus"))
@@ -231,7 +246,14 @@ def aspect_evidence(reviews: DataFrame, p: A.Params = A.Params()) -> dict[str, D
     }
 
 
-METHODS: dict[str, Callable] = {"stub": stub, "llm": llm, "aspect": aspect, "aspect_phrases": aspect_phrases, "aspect_evidence": aspect_evidence}
+METHODS: dict[str, Callable] = {"stub": stub, "stub_texts": stub_texts, "llm": llm, "aspect": aspect, "aspect_phrases": aspect_phrases, "aspect_evidence": aspect_evidence}
+
+
+def register(name: str, method: Callable) -> None:
+    """Adds a method to those that ``summarize`` knows; a name that is taken raises."""
+    if name in METHODS:
+        raise KeyError(f"there is a method {name} already")
+    METHODS[name] = method
 
 
 def summarize(method: str, reviews: DataFrame, *args, **params):

@@ -404,3 +404,14 @@ SELECT product_id, count(*) AS reviews_count, avg(rating) AS rating_avg, string_
   string_agg(minus, '; ' ORDER BY review_id) FILTER (minus <> '' AND m <= 3) AS text_cons FROM k GROUP BY 1""")
 def stub_summary(spark, d):
     return M.stub(reviews(spark, d))
+
+
+@query(f"""{WITH_REVIEWS}, k AS (SELECT *, row_number() OVER (PARTITION BY product_id, nullif(plus, '') IS NULL ORDER BY review_id) AS p, row_number() OVER (PARTITION BY product_id, nullif(minus, '') IS NULL ORDER BY review_id) AS m FROM reviews),
+t AS (SELECT product_id, count(*) AS n, string_agg(plus, '; ' ORDER BY review_id) FILTER (plus <> '' AND p <= 3) AS pros, string_agg(minus, '; ' ORDER BY review_id) FILTER (minus <> '' AND m <= 3) AS cons FROM k GROUP BY 1)
+SELECT product_id, replace('{L.STUB["overall"]}', '%d', n::VARCHAR) AS text_overall, replace('{L.STUB["neutral"]}', '%d', n::VARCHAR) AS text_neutral,
+  CASE WHEN pros IS NULL THEN '{L.STUB["no_pros"]}' ELSE replace('{L.STUB["pros"]}', '%s', pros) END AS text_pros, CASE WHEN cons IS NULL THEN '{L.STUB["no_cons"]}' ELSE replace('{L.STUB["cons"]}', '%s', cons) END AS text_cons,
+  '{", ".join(f"{p}:{m}:{n}" for p, m, n, _ in L.STUB_PHRASES)}' AS key_phrases FROM t""")
+def stub_texts(spark, d):
+    rows, whole = reviews(spark, d), M.summarize("stub_texts", reviews(spark, d), overall=True).select("product_id", "text_overall")
+    shown = F.transform("key_phrases", lambda x: F.concat_ws(":", x["phrase"], x["sentiment"], x["count"].cast("string")))
+    return M.summarize("stub_texts", rows).join(whole, "product_id").select("product_id", "text_overall", "text_neutral", "text_pros", "text_cons", F.array_join(shown, ", ").alias("key_phrases"))
