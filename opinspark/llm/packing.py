@@ -92,17 +92,18 @@ def tokenize(docs: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
                 data, n = texts.data.tobytes(), len(texts)
                 places = memo.places([data[a:b] for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)])
                 ids, bounds = gather(*memo.of("ids"), places)
-                ids, begin = ids.astype("<u4"), bounds[words.of]
+                begin = bounds[words.of]
+                ids = np.insert(ids, begin[1:], end).astype("<u4")  # the end id after each document's own
+                begin = begin + np.arange(n + 1)
                 row = (np.int64(part) << 33) + np.arange(at, at + n)
                 out = {"row": row, "source_part": np.full(n, part), "doc_id": rows.column("doc_id"), "ord": K.mix(row.astype(np.uint64)).view(np.int64)}
                 out |= {c: [] for c in kinds if c not in out}
                 for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-                    mine = np.append(ids[a:b], np.uint32(end)).astype("<u4")
-                    whole = len(mine) // capacity
-                    rest = mine[whole * capacity :].tobytes()
+                    whole = (b - a) // capacity
+                    rest = ids[a + whole * capacity : b].tobytes()
                     out["full_before"].append(full)
-                    out["n_tokens"].append(len(mine))
-                    out["checks"].append([zlib.crc32(mine[i * capacity : (i + 1) * capacity].tobytes()) for i in range(whole)])
+                    out["n_tokens"].append(b - a)
+                    out["checks"].append([zlib.crc32(ids[i : i + capacity]) for i in range(a, a + whole * capacity, capacity)])
                     out["rest"].append(len(rest) // 4)
                     out["rest_crc32"].append(zlib.crc32(rest))
                     out["rest_ids"].append(rest)
