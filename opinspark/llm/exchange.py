@@ -145,5 +145,18 @@ def among(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return table[at] == keys
 
 
+def among_pairs(table: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Which (key, check) pairs are rows of ``table``: 128 bits are compared, whatever rows share a key."""
+    out = np.zeros(len(keys), bool)
+    if not len(table):
+        return out
+    table = table[np.lexsort((table[:, 1], table[:, 0]))]
+    at, end = np.searchsorted(table[:, 0], keys, "left"), np.searchsorted(table[:, 0], keys, "right")
+    for k in range(int((end - at).max(initial=0))):  # one, but for keys that several checks share
+        some = at + k < end
+        out[some] |= table[at[some] + k, 1] == checks[some]
+    return out
+
+
 def ids_of(table: pa.Table) -> np.ndarray:
     return np.asarray(table.column("doc_id").combine_chunks().fill_null(NONE)).astype(np.int64)

@@ -355,7 +355,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         size = np.diff(np.append(begin, len(k)))
         keep = np.zeros(len(k), bool)
         keep[order] = np.repeat((size > 1) | (np.maximum.reduceat(flags[order], begin) > 0), size)
-        found = X.answer(table, key, row, keep)
+        found = X.answer(table, np.stack([key, check], axis=1), row, keep)  # both hashes come back
         none = pa.nulls(len(found), pa.binary())
         return pa.table({"chunk": found.column("chunk"), "contents": none, "masks": none, "strings": found.column("keys")})
 
@@ -403,9 +403,9 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             at = start[part][piece] + offset
             np.add.at(edge, at, 1)
             np.add.at(edge, at + length, -1)
-        repeats = np.sort(np.frombuffer(b"".join(x or b"" for x in found.column("strings").to_pylist()), np.uint64))
-        begin, (key, _) = own.strings(np.flatnonzero(X.among(contents[state & HOT > 0], hashes) & ~full))
-        at = begin[X.among(repeats, key)]
+        repeats = np.frombuffer(b"".join(x or b"" for x in found.column("strings").to_pylist()), np.uint64).reshape(-1, 2)
+        begin, (key, check) = own.strings(np.flatnonzero(X.among(contents[state & HOT > 0], hashes) & ~full))
+        at = begin[X.among_pairs(repeats, key, check)]
         np.add.at(edge, at, 1)
         np.add.at(edge, at + length, -1)
         return _cut(table, own, np.cumsum(edge[:-1]) > 0, data)

@@ -6,6 +6,7 @@ import pyarrow as pa
 from helpers import documents, rows
 
 from opinspark.llm import kernels as K
+from opinspark.llm.exchange import among_pairs
 from opinspark.llm.suffix_dedup import fingerprints, repeated, suffix_dedup, suffix_ranks
 
 
@@ -109,3 +110,17 @@ def test_passage_of_many_texts(spark):
 def test_empty_and_repeats(spark):
     assert suffix_dedup(documents(spark, [])).count() == 0
     check(spark, [(1, "x" * 150 + "y" * 150, "", "", 0, 0, "", 0)] * 2 + [(2, None, "", "", 0, 0, "", 0)])
+
+
+def test_strings_are_matched_by_both_hashes():
+    table = np.array([[5, 1], [5, 7], [9, 2]], np.uint64)
+    keys, checks = np.array([5, 5, 5, 9, 9, 4], np.uint64), np.array([1, 7, 2, 2, 1, 1], np.uint64)
+    assert among_pairs(table, keys, checks).tolist() == [True, True, False, True, False, False]
+    assert among_pairs(table[:0], keys, checks).sum() == 0
+
+
+def test_many_rows_without_an_id(spark):
+    shared = "".join(chr(97 + i * 7 % 26) for i in range(230))
+    docs = [(None, f"{i} {shared} {i * 31}", "en", "s", 0, 0, "", 0) for i in range(60)]
+    got = suffix_dedup(documents(spark, docs), hot_pieces=16).collect()
+    assert len(got) == 60 and {r.n_spans for r in got} == {1} and min(r.n_removed for r in got) >= 230
