@@ -415,3 +415,17 @@ def stub_texts(spark, d):
     rows, whole = reviews(spark, d), M.summarize("stub_texts", reviews(spark, d), overall=True).select("product_id", "text_overall")
     shown = F.transform("key_phrases", lambda x: F.concat_ws(":", x["phrase"], x["sentiment"], x["count"].cast("string")))
     return M.summarize("stub_texts", rows).join(whole, "product_id").select("product_id", "text_overall", "text_neutral", "text_pros", "text_cons", F.array_join(shown, ", ").alias("key_phrases"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 9 < 3 THEN NULL ELSE user_id % 7 END AS product_id, CASE WHEN event_id % 9 >= 3 THEN event_id % 4 END::INTEGER AS attempt, CASE WHEN event_id % 9 >= 3 THEN epoch_us(ts) END AS at,
+  CASE event_id % 9 WHEN 0 THEN 'empty payload' WHEN 1 THEN 'expected JSON object' WHEN 2 THEN 'expected JSON object' END AS problem FROM events""")
+def job_messages(spark, d):
+    """Jobs to messages and back, as text and as bytes; some messages are missing, broken or no object."""
+    jobs = table(spark, d, "events").select(
+        "event_id", F.lit("product").alias("job_type"), (F.col("user_id") % 7).alias("product_id"), F.lit(None).cast("long").alias("user_id"),
+        F.lit(False).alias("force"), (F.col("event_id") % 4).cast("int").alias("attempt"), F.col("ts").cast("timestamp").alias("enqueued_at"),
+    )
+    kind = F.col("event_id") % 9
+    sent = J.encoded(jobs).withColumn("payload", F.when(kind == 1, "[1, 2]").when(kind == 2, '{"job_type": "pro').when(kind > 2, F.col("payload")))
+    both = J.decoded(sent.filter("event_id % 2 = 0")).unionByName(J.decoded(sent.filter("event_id % 2 = 1").withColumn("payload", F.col("payload").cast("binary"))))
+    return both.select("event_id", "product_id", "attempt", F.unix_micros("enqueued_at").alias("at"), "problem")

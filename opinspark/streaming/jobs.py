@@ -13,14 +13,29 @@ from ..sources.stored import kept
 from .state import locked, spaced
 
 JOB = "job_type string, product_id long, user_id long, force boolean, attempt int, enqueued_at timestamp"
+WHOLE_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}  # microseconds too
 EVENTS = ("prepared", "shown", "accepted", "ignored", "edited", "dismissed")
 
 
+def encoded(jobs: DataFrame) -> DataFrame:
+    """Jobs as messages: one JSON object a row, under ``payload``; null fields are left out. Columns that aren't a job's stay beside it."""
+    fields = [c.split()[0] for c in JOB.split(", ")]
+    return jobs.select(*[c for c in jobs.columns if c not in fields], F.to_json(F.struct(*[c for c in fields if c in jobs.columns]), WHOLE_TIMES).alias("payload"))
+
+
+def decoded(messages: DataFrame) -> DataFrame:
+    """Messages (``payload`` as text or bytes) as jobs, and ``problem``: why one can't be read (its job's fields are null then)."""
+    text = F.col("payload").cast("string")
+    whole = F.from_json(text, "map<string,string>")
+    problem = F.when(text.isNull(), "empty payload").when(whole.isNull() | ~F.rlike(text, F.lit(r"^\s*\{")), "expected JSON object")
+    kept = [c for c in messages.columns if c != "payload"]
+    return messages.select(*kept, F.from_json(text, JOB).alias("j"), problem.alias("problem")).select(*kept, "j.*", "problem")
+
+
 def job_stream(spark: SparkSession, path: str, files_per_batch: int = 5) -> DataFrame:
-    """Job messages from JSON files, a few a batch; the checkpoint remembers where it stopped."""
-    return spark.readStream.schema("payload string").option("maxFilesPerTrigger", files_per_batch).json(path).select(
-        F.from_json("payload", JOB).alias("j")
-    ).select("j.*")
+    """Job messages from JSON files, a few a batch; the checkpoint remembers where it stopped. Messages that can't be read are left out."""
+    messages = spark.readStream.schema("payload string").option("maxFilesPerTrigger", files_per_batch).json(path)
+    return decoded(messages).filter("problem is null").drop("problem")
 
 
 def with_key(jobs: DataFrame) -> DataFrame:
