@@ -31,14 +31,14 @@ class Locks(StatefulProcessor):
     """Lets a key's row pass and locks the key for ``seconds`` from that row's time on (``at``); rows meanwhile fall.
 
     Rows are judged as they arrive, those of one batch in order of time; a row older than the last one that passed falls, for
-    that one is newer. State goes some time after a lock has ended.
+    that one is newer. A key's state is one number, and stays: there is one a product or user.
     """
 
     def __init__(self, at: str, tie: str, seconds: int):
         self.at, self.tie, self.gap = at, tie, seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at long", ttlDurationMs=4 * self.gap // 1000)
+        self.last = handle.getValueState("last", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values([self.at, self.tie], kind="stable")
@@ -97,13 +97,17 @@ class OrderedLocks(StatefulProcessor):
 
 
 class Contexts(StatefulProcessor):
-    """What was last put for a key answers its asks for ``seconds``; rows of one batch count in order of time, puts first."""
+    """What was last put for a key answers its asks for ``seconds``; rows of one batch count in order of time, puts first.
+
+    A timer clears what has lived its time once the watermark is past that.
+    """
 
     def __init__(self, seconds: int):
         self.gap = seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.put = handle.getValueState("put", "at long, payload string", ttlDurationMs=2 * self.gap // 1000)
+        self.handle = handle
+        self.put = handle.getValueState("put", "at long, payload string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
@@ -118,8 +122,14 @@ class Contexts(StatefulProcessor):
                 answers.append((key[0], int(ask_id), held[1]))
         if fresh:
             self.put.update(tuple(held))
+            self.handle.registerTimer(-(-(held[0] + self.gap) // 1000))
         yield pd.DataFrame(answers, columns=["context_id", "ask_id", "payload"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.put.exists() and self.put.get()[0] + self.gap <= timerValues.getCurrentWatermarkInMs() * 1000:
+            self.put.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -139,7 +149,7 @@ def locked(rows: DataFrame, key: str, at: str, seconds: int, late: int = 0) -> D
     tie = "tie_of_row"  # names that begin with an underscore don't reach Python state
     rows = _keyed(rows).withColumn(tie, F.xxhash64(*[c for c in rows.columns if c not in (key, at, "force")]))
     if not late:
-        found = rows.groupBy(key).transformWithStateInPandas(Locks(at, tie, seconds), rows.schema, "Append", "ProcessingTime")
+        found = rows.groupBy(key).transformWithStateInPandas(Locks(at, tie, seconds), rows.schema, "Append", "None")
     else:
         rows = rows.withWatermark(at, f"{late} seconds")
         schema = StructType.fromJson(rows.schema.jsonValue())
@@ -149,7 +159,10 @@ def locked(rows: DataFrame, key: str, at: str, seconds: int, late: int = 0) -> D
     return found.drop(tie)
 
 
-def contexts(rows: DataFrame, seconds: int = 1800) -> DataFrame:
-    """A stream of puts (``context_id, at, payload``; ``ask_id`` null) and asks (``ask_id``) -> answered asks: ``context_id, ask_id, payload``."""
-    rows = _keyed(rows.select("context_id", F.col("ask_id").cast("long").alias("ask_id"), "at", "payload"))
-    return rows.groupBy("context_id").transformWithStateInPandas(Contexts(seconds), "context_id string, ask_id long, payload string", "Append", "ProcessingTime")
+def contexts(rows: DataFrame, seconds: int = 1800, late: int = 86_400) -> DataFrame:
+    """A stream of puts (``context_id, at, payload``; ``ask_id`` null) and asks (``ask_id``) -> answered asks: ``context_id, ask_id, payload``.
+
+    Rows may be ``late`` seconds behind the newest one; by then no context of their time is alive.
+    """
+    rows = _keyed(rows.select("context_id", F.col("ask_id").cast("long").alias("ask_id"), "at", "payload")).withWatermark("at", f"{late} seconds")
+    return rows.groupBy("context_id").transformWithStateInPandas(Contexts(seconds), "context_id string, ask_id long, payload string", "Append", "EventTime")

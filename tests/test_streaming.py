@@ -31,7 +31,7 @@ def ran(spark, tmp_path, batches, late):
         (src / f"{n:03}.json").write_text("\n".join(json.dumps({"payload": json.dumps(x)}) for x in lines))
         stream = J.deduplicated(J.job_stream(spark, str(src), files_per_batch=1), late=late)
         done = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-        done.awaitTermination(120)  # each batch is a run of its own: state comes back from the checkpoint
+        assert done.awaitTermination(120)  # each batch is a run of its own: state comes back from the checkpoint
     return sorted((r.product_id, r.attempt) for r in spark.read.schema(JOB).parquet(out).collect() if r.product_id >= 0)
 
 
@@ -72,7 +72,8 @@ def test_contexts_live_their_time(spark, tmp_path):
     for part in (rows[:30], rows[30:]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src).withColumn("at", F.timestamp_seconds("t"))
-        S.contexts(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+        done = S.contexts(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        assert done.awaitTermination(120)
     got = sorted((r.ask_id, r.payload) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     all_rows = spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds("t"))
     put = all_rows.filter("ask_id is null").select("context_id", F.col("at").alias("put_at"), "payload")
