@@ -1,6 +1,9 @@
 """Faults that readers of the third round found."""
 
 from opinspark.operators import suggest as S
+from opinspark.plans.registry import QUERIES
+
+DATA = "/root/testdata/sf0.001"
 
 CANDIDATE = "request_id long, field string, rating double, before string, source string, text string, insert_text string, mode string, weak string, prefix double, ngram double, aspect double, mood double, frequency double, style double, quality double, place int"
 
@@ -10,3 +13,9 @@ def test_scores_that_differ_in_the_last_bits_are_ties(spark):
     rows += [(1, "title", None, "", "ngram", "la", "la", "append", "neutral", 0.0, 1.0, 0.0, 0.5, 0.5 + 2e-15, 0.0, 0.5, 1)]
     got = S.rank(spark.createDataFrame(rows, CANDIDATE)).collect()
     assert [r.source for r in sorted(got, key=lambda r: r.rank)] == ["prefix", "ngram"]
+
+
+def test_every_fifth_product_fails_to_build(spark):
+    found = QUERIES["rebuilt_profiles"](spark, DATA).collect()
+    assert {r.product_id for r in found if r.kind != "built"} == set(range(0, 50, 5))
+    assert {(r.kind, r.attempt) for r in found if r.product_id % 10 == 5} == {("retry", 1)}
