@@ -1,8 +1,10 @@
 """Faults that readers of the third round found."""
 
+from opinspark.operators import ngrams as N
 from opinspark.operators import suggest as S
 from opinspark.plans.registry import QUERIES
 
+SEGMENTS = "product_id long, user_id long, seq struct<review_id:long,span_index:int>, field string, weak string, rating double, tokens array<string>"
 DATA = "/root/testdata/sf0.001"
 
 CANDIDATE = "request_id long, field string, rating double, before string, source string, text string, insert_text string, mode string, weak string, prefix double, ngram double, aspect double, mood double, frequency double, style double, quality double, place int"
@@ -19,3 +21,17 @@ def test_every_fifth_product_fails_to_build(spark):
     found = QUERIES["rebuilt_profiles"](spark, DATA).collect()
     assert {r.product_id for r in found if r.kind != "built"} == set(range(0, 50, 5))
     assert {(r.kind, r.attempt) for r in found if r.product_id % 10 == 5} == {("retry", 1)}
+
+
+def plan(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phrases_are_counted_in_hash_tables_after_one_exchange(spark):
+    segs = spark.createDataFrame([(1, 1, (9 * 10**18, 3), "plus", "positive", 5.0, ["a", "bcd", "a", "bcd"]), (1, 1, (9 * 10**18 + 1, 0), "comment", None, None, ["a", "bcd"])], SEGMENTS)
+    bank, keys = N.phrase_bank(segs), N.keyphrases(segs, stop=("a",))
+    for rows in (bank, keys):
+        assert "SortAggregate" not in plan(rows)
+    assert plan(bank).count("Exchange") == 1
+    assert [(r.phrase, r.n, r.field, r.weak, r.rating_avg) for r in bank.collect()] == [("a bcd", 3, "comment", None, 5.0)]
+    assert [(r.phrase, r.n, r.field, r.weak) for r in keys.collect()] == [("bcd", 3, "plus", "positive")]
