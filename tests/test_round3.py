@@ -35,3 +35,14 @@ def test_phrases_are_counted_in_hash_tables_after_one_exchange(spark):
     assert plan(bank).count("Exchange") == 1
     assert [(r.phrase, r.n, r.field, r.weak, r.rating_avg) for r in bank.collect()] == [("a bcd", 3, "comment", None, 5.0)]
     assert [(r.phrase, r.n, r.field, r.weak) for r in keys.collect()] == [("bcd", 3, "plus", "positive")]
+
+
+def test_continuations_meet_by_one_exchange(spark):
+    segs = spark.createDataFrame([(1, 1, (9 * 10**18, 0), "minus", "negative", 1.0, ["a", "b", "c"]), (1, 1, (-5, 2), "comment", None, None, ["b", "d", "b", "c"])], SEGMENTS)
+    rows = N.continuations(segs)
+    assert "SortAggregate" not in plan(rows) and plan(rows).count("Exchange") == 1
+    whole = {(r.context, r.rank, r.next, r.n, r.weak) for r in rows.collect()}
+    assert {x for x in whole if x[0] == "b"} == {("b", 1, "d", 1, None), ("b", 2, "c", 2, None)}
+    asked = spark.createDataFrame([(1, "b"), (1, "b"), (1, "a b"), (1, "c b"), (2, "b")], "product_id long, context string")
+    some = N.continuations(segs, asked=asked).collect()
+    assert {(r.context, r.rank, r.next, r.n, r.weak) for r in some} == {x for x in whole if x[0] in ("b", "a b")} and len(some) == 3
