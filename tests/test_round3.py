@@ -1,5 +1,6 @@
 """Faults that readers of the third round found."""
 
+from opinspark.operators import aspects as A
 from opinspark.operators import ngrams as N
 from opinspark.operators import suggest as S
 from opinspark.plans.registry import QUERIES
@@ -46,3 +47,11 @@ def test_continuations_meet_by_one_exchange(spark):
     asked = spark.createDataFrame([(1, "b"), (1, "b"), (1, "a b"), (1, "c b"), (2, "b")], "product_id long, context string")
     some = N.continuations(segs, asked=asked).collect()
     assert {(r.context, r.rank, r.next, r.n, r.weak) for r in some} == {x for x in whole if x[0] in ("b", "a b")} and len(some) == 3
+
+
+def test_only_the_first_candidates_of_a_task_go_to_their_product(spark):
+    words = [(1, " ".join(f"w{i}x{j}" for j in range(400))) for i in range(4)] + [(1, "often said often")]
+    rows = A.candidates(spark.createDataFrame(words, "product_id long, normalized string"))
+    assert plan(rows).count("WindowGroupLimit") == 4  # in the task and after the exchange, of each kind and of all
+    got = {r.candidate: r.n for r in rows.collect()}
+    assert len(got) == 120 and got["often"] == 3
