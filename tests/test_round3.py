@@ -55,3 +55,13 @@ def test_only_the_first_candidates_of_a_task_go_to_their_product(spark):
     assert plan(rows).count("WindowGroupLimit") == 4  # in the task and after the exchange, of each kind and of all
     got = {r.candidate: r.n for r in rows.collect()}
     assert len(got) == 120 and got["often"] == 3
+
+
+def test_a_task_keeps_the_first_phrases_of_an_aspect(spark):
+    keys = spark.createDataFrame([(1, "tea", 3), (1, "cup", 2)], "product_id long, phrase string, n long")
+    clusters = spark.createDataFrame([(1, "tea", "tea"), (1, "cup", "cup")], "product_id long, label string, name string")
+    bank = spark.createDataFrame([(1, f"tea {i}", i / 20, ("positive", "mixed", None)[i % 3]) for i in range(20)], "product_id long, phrase string, quality double, weak string")
+    rows = N.discover_aspects(keys, clusters, bank, phrases=2)
+    assert plan(rows).count("WindowGroupLimit") == 4
+    got = {r.label: (r.representative, r.positive, r.negative) for r in rows.collect()}
+    assert got == {"tea": (["tea 19", "tea 18"], ["tea 18", "tea 15"], []), "cup": ([], [], [])}
