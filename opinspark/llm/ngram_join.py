@@ -10,6 +10,8 @@ verified once, on whole sets.
 Equal sets are one class from the start. A group of rows that share an n-gram isn't
 expanded into all pairs: in a few rounds, each row meets the first row that isn't yet in its
 component; all pairs are then formed only between rows that are still unconnected.
+No link leaves its component. So all links are counted last, inside the components that have others than those found so
+far: their classes are dealt out to blocks, and two blocks meet as one product of matrices.
 
 No task gets all rows of a frequent n-gram: a task that has met one ``HOT_ROWS`` times deals out further rows of it by
 ``SALTS`` salts. The first rows of such n-grams come from aggregates that start before the shuffle, and their pairs are
@@ -37,6 +39,9 @@ PARTS = 64
 HOT_ROWS = 64  # rows of an n-gram that a task sends to the n-gram's one place
 SALTS = 256
 BLOCK_ROWS = 4096  # rows of an n-gram that meet as one block
+BLOCK_CLASSES = 256  # classes of a component that meet as one block
+BLOCK_GRAMS = 1 << 20  # their n-grams, where these are more
+WIDTH = 4096  # columns of a matrix of classes and n-grams
 PARITY = ["parity_0", "parity_1", "parity_2", "parity_3"]  # 64 bits each
 
 
@@ -229,6 +234,77 @@ def _similar(n: int, percent: int) -> Callable:
     return run
 
 
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many n-grams each of the sets ``left`` has in common with each of ``right``."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, met = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = met > 1
+    keep = shared[column]
+    row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2**24 are exact
+    for start in range(0, int(shared.sum()), WIDTH):
+        a, b = np.searchsorted(column, (start, start + WIDTH))
+        has = np.zeros((len(sets), WIDTH), np.float32)
+        has[row[a:b], column[a:b] - start] = 1
+        common += has[left] @ has[right].T
+    return common.astype(np.int64)
+
+
+def _linked(n: int, percent: int) -> Callable:
+    """Of rows sorted by blocks that meet (root, lo, hi): each class with the number of those of the other block it links to."""
+
+    def counts(pair: tuple, rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        _, lo, hi = pair
+        classes, own, sets = (list(c) for c in zip(*rows, strict=True))
+        own, size = np.array(own), np.array([len(s) for s in sets])
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        common = _common(sets, left, right)
+        links = (100 + percent) * common >= percent * (size[left][:, None] + size[right][None])
+        if lo == hi:
+            np.fill_diagonal(links, False)
+        total = np.zeros(len(sets), np.int64)
+        total[left] = links.sum(1)
+        if lo != hi:
+            total[right] = links.sum(0)
+        return pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(total)], names=["class", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, rows = None, []
+        for batch in batches:
+            for part, texts in K.parts(batch, "text"):
+                grams, of = gram_sets(texts, n)
+                named = [part.column(c).to_pylist() for c in ("root", "lo", "hi", "class", "own")]
+                for i, (root, lo, hi, key, own) in enumerate(zip(*named, strict=True)):
+                    if (root, lo, hi) != pair:
+                        if len(rows) > 1:
+                            yield counts(pair, rows)
+                        pair, rows = (root, lo, hi), []
+                    rows.append((key, own, grams[of[i] : of[i + 1]]))
+        if len(rows) > 1:
+            yield counts(pair, rows)
+
+    return run
+
+
+def _all_links(classes: DataFrame, known: DataFrame, n: int, percent: int, broadcast_rows: int, block_classes: int) -> DataFrame:
+    """(class, links) for ``classes`` (class, root) of whole components: to how many of the others each one links.
+
+    A component of b blocks has b * (b + 1) / 2 pairs of blocks, and each text travels b times. A class that no n-gram of a
+    prefix leads to isn't ``known``, and has no link.
+    """
+    rows = known.select("class", "text", "n").join(_few(classes, broadcast_rows), "class")
+    blocks = F.ceil(F.greatest(F.count("*") / block_classes, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks")
+    rows = rows.join(_few(rows.groupBy("root").agg(blocks), broadcast_rows), "root")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "class", "text")
+    rows = rows.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+    found = rows.mapInArrow(_linked(n, percent), "class long, links long")
+    return found.groupBy("class").agg(F.sum("links").alias("links"))
+
+
 def _among(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
     return table[at] == keys
@@ -418,19 +494,20 @@ def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text:
 
 
 def ngram_jaccard_components(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, broadcast_rows: int = 2_000_000, pivot_rounds: int = 4, pivot_gain: int = 20, hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, broadcast_rows: int = 2_000_000, pivot_rounds: int = 4, pivot_gain: int = 20, hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS, block_classes: int = BLOCK_CLASSES
 ) -> DataFrame:
     """``doc_id, text_hash, n_shingles, class, component_id, n_links``: one row per row of ``docs``.
 
     Texts link when the Jaccard similarity of their n-gram sets is ``percent`` / 100 or more.
     ``class`` is a key of the n-gram set (null if it's empty), ``component_id`` the smallest id reachable
-    by links, ``n_links`` the verified links of the class to others (those that were needed: classes
-    already connected aren't compared again). Null, empty and wordless texts have no n-grams, link
+    by links, ``n_links`` to how many other classes its class links (all of them; copies share a class
+    and aren't counted). Null, empty and wordless texts have no n-grams, link
     with nothing and are components by themselves. Repeated rows are equal texts, and so linked. A null id is
     never smallest. n-grams and classes are told apart by 64-bit hashes.
 
     Pivot rounds end after ``pivot_rounds``, or when one adds less than 1 in ``pivot_gain`` links; what they leave is
-    compared in full. ``hot_rows`` and ``block_rows`` say when an n-gram's rows are dealt out, and change no result.
+    compared in full. ``hot_rows`` and ``block_rows`` say when an n-gram's rows are dealt out, ``block_classes`` how a component's
+    classes are, and change no result.
     Words are lower-cased in A-Z. Other columns are not looked at.
     """
     spark = docs.sparkSession
@@ -508,8 +585,12 @@ def ngram_jaccard_components(
     classes = described.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").join(degree, "class", "left")
     classes = materialize(classes.select("class", "least", F.coalesce("root", "class").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(classes.join(least, "root").select("class", "component_id", "n_links"))
+    # a component is whole where each two of its classes have been found to link
+    of_root = [F.min("least").alias("component_id"), (F.sum("n_links") < F.count("*") * (F.count("*") - 1)).alias("open")]
+    classes = materialize(classes.join(classes.groupBy("root").agg(*of_root), "root"))
+    all_links = _all_links(classes.filter("open").select("class", "root"), known, n, percent, broadcast_rows, block_classes)
+    classes = classes.join(all_links, "class", "left").select("class", "component_id", F.coalesce("links", "n_links").alias("n_links"))
+    classes = materialize(classes)
     return described.join(classes, "class", "left").select(
         "doc_id",
         "text_hash",
