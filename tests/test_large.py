@@ -4,6 +4,10 @@ import tracemalloc
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from opinspark.functions import text as X
+from opinspark.operators import evaluation as E
 from opinspark.operators import folds
 
 
@@ -33,3 +37,22 @@ def test_average_link_needs_no_matrix_of_all_pairs():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert 0 < found.max() < 2499 and peak < 100e6
+
+
+def plan(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_claims_meet_evidence_in_blocks(spark):
+    """F32: no row holds all of a product's vectors; what is held is what ``cosine`` says, odd vectors included."""
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 3, rng.normal(0, 1, 8).tolist()) for i in range(240)]
+    rows += [(240, 0, None), (241, 0, [None, *[1.0] * 7]), (242, 1, [float("nan"), *[1.0] * 7]), (243, 0, [1.0, 2.0]), (244, 2, [0.0] * 8), (245, None, [1.0] * 8), (246, 7, [1.0] * 8), (247, 0, rows[7][2])]
+    table = spark.createDataFrame(rows, "id long, product_id long, v array<double>")
+    proof = table.filter("id % 7 = 0 and (product_id > 0 or product_id is null) or id = 21")
+    got = E.supported_by_vectors(table, proof, ["product_id"], "v", 0.6, parts=4)
+    assert "collect_list" not in plan(got)
+    pairs = table.alias("a").join(proof.select("product_id", F.col("v").alias("w")), "product_id", "left").withColumn("c", X.cosine(F.col("v"), F.col("w")))
+    want = pairs.groupBy("id", "product_id").agg(F.coalesce(F.max("c") >= 0.6, F.lit(False)).alias("ok")).groupBy("product_id").agg(F.avg(F.col("ok").cast("double")).alias("s"))
+    assert {(r.product_id, round(r.evidence_support, 12)) for r in got.collect()} == {(r.product_id, round(r.s, 12)) for r in want.collect()}
+    assert 0 < min(r.s for r in want.collect() if r.product_id in (1, 2)) < 1
