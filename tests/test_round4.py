@@ -3,7 +3,11 @@
 import random
 import time
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from opinspark.operators import folds
+from opinspark.operators import keywords as K
 from opinspark.plans import judging
 from opinspark.plans.registry import QUERIES
 
@@ -34,3 +38,18 @@ def test_systems_are_compared_from_one_reading(spark):
 
 def test_turns_of_a_small_file_are_dealt_out(spark):
     assert judging.external(spark, DATA).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_best_keyphrases_come_from_as_many_phrases_as_it_takes(spark):
+    dice = random.Random(5)
+    words = ["battery", "batteries", "screens", "screen", "speakers", "camera", "cameras", "charger", "display", "displays"]
+    texts = sorted({" ".join(dice.sample(words, 3)) + "s" * dice.randrange(3) for _ in range(400)})
+    rows = [(p, t, dice.choice([0.1, 0.1 + 1e-12, 0.2, dice.random()])) for p in (1, 2) for t in texts] + [(3, "one phrase", 0.5)]
+    found = spark.createDataFrame(rows, "product_id long, phrase string, raw_score double")
+    stay = folds.distinct_phrases(found.withColumn("quality", -F.col("raw_score")), 90.0).select("product_id", "phrase")
+    rank = F.row_number().over(Window.partitionBy("product_id").orderBy(F.round("raw_score", 9), "phrase"))
+    want = found.join(stay, ["product_id", "phrase"]).withColumn("rank", rank).filter("rank <= 12").collect()
+    for first in (2, 40, 2000):
+        got = K.best_keyphrases(found, 12, 90.0, first)
+        assert got.columns == ["product_id", "phrase", "raw_score", "rank"]
+        assert sorted(got.collect()) == sorted(want)
