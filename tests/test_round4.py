@@ -6,10 +6,11 @@ import time
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from opinspark.functions.vectors import hashed_trigrams
 from opinspark.operators import folds
 from opinspark.operators import keywords as K
 from opinspark.plans import judging
-from opinspark.plans.registry import QUERIES
+from opinspark.plans.registry import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 
@@ -53,3 +54,12 @@ def test_best_keyphrases_come_from_as_many_phrases_as_it_takes(spark):
         got = K.best_keyphrases(found, 12, 90.0, first)
         assert got.columns == ["product_id", "phrase", "raw_score", "rank"]
         assert sorted(got.collect()) == sorted(want)
+
+
+def test_keyphrase_union_reads_all_segments(spark):
+    names = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    rows = [(1, (i, 0), f"word{n} thing{n}", [f"word{n}", f"thing{n}"]) for i, n in enumerate(names)]
+    segs = spark.createDataFrame(rows, "product_id long, seq struct<review_id:long,span_index:int>, text string, tokens array<string>")
+    count = lambda most: K.near_keyphrases(segs, hashed_trigrams(), segments=most).select("seq").distinct().count()
+    assert (count(None), count(200)) == (300, 200)
+    assert "<= 200" not in SQL["keyphrase_union"] and "<= 200" in SQL["near_keyphrases"]
